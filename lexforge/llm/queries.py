@@ -7,11 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import frequency, tokens
+from . import frequency, neardup, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_pairs(table(spark, folder, "papers"))
+
+
+def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.groups(table(spark, folder, "papers"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return frequency.useless(*(table(spark, folder, t) for t in ("papers", "term", "gram", "idf", "index_document")))
 
