@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import frequency, neardup, tokens
+from . import frequency, neardup, nearest, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +21,14 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.groups(table(spark, folder, "papers"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest.neighbour_pairs(table(spark, folder, "papers"))
+
+
+def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest.neighbours(table(spark, folder, "papers")).withColumn("similarity", F.round("similarity", 6))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return frequency.useless(*(table(spark, folder, t) for t in ("papers", "term", "gram", "idf", "index_document")))
 
