@@ -119,12 +119,19 @@ def _list_array(x: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel(), kind))
 
 
-def usable_vectors(papers: DataFrame) -> DataFrame:
-    """(paper_id, vector) of the papers whose ``other.para_vec`` has 64 elements, all finite, not all zero."""
-    vectors = one_per_paper(papers, F.col("other.para_vec").cast("array<float>").alias("vector")).withColumnRenamed("v0", "vector")
+def usable_vectors(papers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The papers with a usable vector (paper_id, content), and the vectors (content, vector).
+
+    Usable: 64 elements, all finite, not all zero. ``content`` names a vector; a paper has that of
+    its first harvest. The vectors themselves are shuffled once, copies merged before.
+    """
     limit = F.lit(float("inf"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < limit))
-    return vectors.where((F.size("vector") == WIDTH) & finite & F.exists("vector", lambda x: x != 0))
+    usable = (F.size("vector") == WIDTH) & finite & F.exists("vector", lambda x: x != 0)
+    raw = papers.withColumn("vector", F.col("other.para_vec").cast("array<float>"))
+    content = F.when(usable, F.concat(F.hex(F.xxhash64("vector")), F.lit("-"), F.hex(F.hash("vector"))))
+    first = one_per_paper(raw, content).withColumnRenamed("v0", "content").where(F.col("content").isNotNull())
+    return first, raw.where(usable).select(content.alias("content"), "vector").groupBy("content").agg(F.first("vector").alias("vector"))
 
 
 def _best(sims: np.ndarray, k: int) -> np.ndarray:
@@ -175,6 +182,65 @@ def _placed(tree: Tree, visits: int):
     return run
 
 
+#: (leaf, cells of the leaf, cell, group of the cell, parts of its searches), a row per cell.
+Plan = list[tuple[int, int, int, int, int]]
+
+
+def _spread(ids: np.ndarray, n: int) -> np.ndarray:
+    """A number below n for each id, even if ids of one partition follow each other."""
+    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % n
+
+
+def _stored(plan: Plan):
+    """Every vector to the cell of its leaf, once for each part of the searches there."""
+    cells = {(leaf, cell): (g, parts) for leaf, _, cell, g, parts in plan}
+    most = {leaf: n for leaf, n, *_ in plan}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, leaves = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            g, part, rows = [], [], []
+            for leaf in np.unique(leaves):
+                own = np.flatnonzero(leaves == leaf)
+                for cell in range(most[leaf]):
+                    some = own[_spread(ids[own], most[leaf]) == cell]
+                    group, parts = cells[leaf, cell]
+                    for p in range(parts):
+                        g.append(np.full(len(some), group)), part.append(np.full(len(some), p)), rows.append(some)
+            take = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(g), pa.int32()), pa.array(np.concatenate(part), pa.int32()), batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take)], ["g", "part", "id", "vector", "leaf"])
+
+    return run
+
+
+def _asking(plan: Plan):
+    """Every search to the groups that hold leaves it visits, once a group, with those leaves."""
+    leaf, _, _, group, parts = (np.array(x) for x in zip(*plan))
+    order = np.argsort(leaf, kind="stable")
+    leaf, group, parts = leaf[order], group[order], parts[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 4096):
+                one = batch.slice(start, 4096)
+                ids, visits = one.column(0).to_numpy(), one.column(2)
+                per = np.diff(visits.offsets.to_numpy())
+                row, at = np.repeat(np.arange(len(ids)), per), visits.flatten().to_numpy()
+                low, high = np.searchsorted(leaf, at), np.searchsorted(leaf, at, "right")
+                n = high - low  # cells of each visited leaf
+                row, at = np.repeat(row, n), np.repeat(at, n)
+                cell = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                g, part = group[cell], _spread(ids[row], 1 << 20) % parts[cell]
+                _, first = np.unique(np.stack([row, g, part, at]), axis=1, return_index=True)
+                row, g, part, at = row[first], g[first], part[first], at[first]
+                new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (g[1:] != g[:-1]) | (part[1:] != part[:-1])]))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(row)).astype(np.int32)), pa.array(at.astype(np.int32)))
+                take = pa.array(row[new])
+                yield pa.RecordBatch.from_arrays([pa.array(g[new], pa.int32()), pa.array(part[new], pa.int32()), one.column(0).take(take), one.column(1).take(take), lists], ["gq", "pq", "q", "qv", "at"])
+
+    return run
+
+
 def _compare(k: int):
     def run(key, vectors: pa.Table, queries: pa.Table) -> pa.Table:
         none = pa.table({"q": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
@@ -213,7 +279,7 @@ def _compare(k: int):
     return run
 
 
-def neighbours(papers: DataFrame, k: int = 5, recall: float = 0.998) -> DataFrame:
+def neighbours(papers: DataFrame, k: int = 5, recall: float = 0.997) -> DataFrame:
     """(paper_id, rank, neighbour_id, similarity): the k papers of the nearest vectors by cosine, ties to the smaller id.
 
     Papers without a usable vector (64 elements, all finite, not all zero) are neither queries nor
@@ -226,13 +292,14 @@ def neighbours(papers: DataFrame, k: int = 5, recall: float = 0.998) -> DataFram
     no rows.
     """
     spark = papers.sparkSession
-    vectors = cut(usable_vectors(papers).withColumn("content", F.xxhash64("vector")).withColumn("other", F.hash("vector")))
-    key = ["content", "other"]
-    small = vectors.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy("paper_id"))).where(F.col("r") <= k + 1)
-    classes = cut(small.groupBy(*key).agg(F.sort_array(F.collect_list("paper_id")).alias("ids"), F.first("vector").alias("vector")).withColumn("id", F.monotonically_increasing_id()))
+    owners, vectors = usable_vectors(papers)
+    owners = cut(owners)
+    small = owners.withColumn("r", F.row_number().over(Window.partitionBy("content").orderBy("paper_id"))).where(F.col("r") <= k + 1)
+    lists = small.groupBy("content").agg(F.sort_array(F.collect_list("paper_id")).alias("ids"))  # k + 1 at most
+    classes = cut(lists.join(vectors, "content").withColumn("id", F.monotonically_increasing_id()))
 
     total = classes.count()
-    ordered = classes.select("id", "vector", F.xxhash64("content", F.lit(1)).alias("h")).orderBy("h").limit(SAMPLE)
+    ordered = classes.select("id", "vector", F.xxhash64("content").alias("h")).orderBy("h", "id").limit(SAMPLE)
     sample = ordered.select("id", "vector").collect()  # at most SAMPLE rows
     rows = unit_rows(np.array([r["vector"] for r in sample]).reshape(-1, WIDTH))
     tree = Tree(rows, total)
@@ -255,29 +322,24 @@ def neighbours(papers: DataFrame, k: int = 5, recall: float = 0.998) -> DataFram
             vectors_in, visits_in = vectors_in + in_cell, visits_in + by
             if parts > 1:
                 group, vectors_in, visits_in = group + 1, 0, 0
-    layout = F.broadcast(spark.createDataFrame(plan, "leaf int, cells int, cell int, g int, parts int"))  # a row per cell
-
-    inside = placed.select("id", "vector", "leaf").join(layout, "leaf").where(F.pmod(F.xxhash64("id"), F.col("cells")) == F.col("cell"))
-    inside = inside.select("id", "vector", "leaf", "g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    asking = placed.select("id", F.explode("visits").alias("leaf")).join(layout, "leaf").select("id", "leaf", "g", F.pmod(F.hash("id"), F.col("parts")).alias("part"))
-    asking = asking.groupBy("id", "g", "part").agg(F.collect_set("leaf").alias("at")).join(placed.select("id", "vector"), "id")  # a search has few leaves
-    asking = asking.select(F.col("id").alias("q"), F.col("vector").alias("qv"), "at", F.col("g").alias("gq"), F.col("part").alias("pq"))
+    inside = placed.select("id", "vector", "leaf").mapInArrow(_stored(plan), "g int, part int, id long, vector array<float>, leaf int")
+    asking = placed.select("id", "vector", "visits").mapInArrow(_asking(plan), "gq int, pq int, q long, qv array<float>, at array<int>")
     compared = inside.groupBy("g", "part").cogroup(asking.groupBy("gq", "pq")).applyInArrow(_compare(k), "q long, id long, sim double")
 
     best = compared.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "id"))).where(F.col("r") <= k)
     others = best.join(classes.select("id", "ids"), "id").select("q", F.explode(F.slice("ids", 1, k)).alias("n"), "sim")
     others = others.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "n"))).where(F.col("r") <= k)
     lists = others.groupBy("q").agg(F.collect_list(F.struct("sim", "n")).alias("others"))  # k at most
-    around = classes.select(*key, "id", "ids").join(lists.withColumnRenamed("q", "id"), "id", "left")
+    around = classes.select("content", "id", "ids").join(lists.withColumnRenamed("q", "id"), "id", "left")
     own = F.transform("ids", lambda x: F.struct(F.lit(1.0).alias("sim"), x.alias("n")))
-    around = around.select(*key, F.concat(own, F.coalesce("others", F.array().cast("array<struct<sim:double,n:string>>"))).alias("near"))
-    members = vectors.select("paper_id", *key).join(around, key)
+    around = around.select("content", F.concat(own, F.coalesce("others", F.array().cast("array<struct<sim:double,n:string>>"))).alias("near"))
+    members = owners.join(around, "content")
     near = F.filter("near", lambda x: x["n"] != F.col("paper_id"))
     lists = members.select("paper_id", F.slice(F.array_sort(near, lambda x, y: F.when(x["sim"] > y["sim"], -1).when(x["sim"] < y["sim"], 1).when(x["n"] < y["n"], -1).otherwise(1)), 1, k).alias("near"))
     return lists.select("paper_id", F.posexplode("near").alias("p", "x")).select("paper_id", (F.col("p") + 1).alias("rank"), F.col("x.n").alias("neighbour_id"), F.col("x.sim").alias("similarity"))
 
 
-def neighbour_pairs(papers: DataFrame, k: int = 5, recall: float = 0.998) -> DataFrame:
+def neighbour_pairs(papers: DataFrame, k: int = 5, recall: float = 0.997) -> DataFrame:
     """(paper_id_1, paper_id_2), smaller id first: one is among the other's k nearest."""
     near = neighbours(papers, k, recall)
     return near.select(F.least("paper_id", "neighbour_id").alias("paper_id_1"), F.greatest("paper_id", "neighbour_id").alias("paper_id_2")).distinct()
