@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import frequency, neardup, nearest, tokens
+from . import encodings, frequency, neardup, nearest, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,5 +53,14 @@ def p7_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.decoded(tokens.token_ids(table(spark, folder, "documents")))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return encodings.repaired(table(spark, folder, "documents")).where("garbled").select("doc_id")
+
+
+def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
+    done = encodings.repaired(table(spark, folder, "documents")).where("garbled")
+    return done.select("doc_id", F.array_join("chain", ", then ").alias("chain"), "restored")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
