@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import encodings, frequency, neardup, nearest, tokens
+from . import encodings, frequency, mixing, neardup, nearest, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +53,15 @@ def p7_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.decoded(tokens.token_ids(table(spark, folder, "documents")))
 
 
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixed(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    shares = mixing.mixed(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+    return shares.select("source", "weight", "max_repeat", "available_tokens", *[F.round(c, 6).alias(c) for c in ("epochs", "target_share", "actual_share")], "actual_tokens")
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return encodings.repaired(table(spark, folder, "documents")).where("garbled").select("doc_id")
 
