@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import encodings, frequency, mixing, neardup, nearest, tokens
+from . import encodings, frequency, mixing, names, neardup, nearest, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,14 @@ def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest.neighbours(table(spark, folder, "papers")).withColumn("similarity", F.round("similarity", 6))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return names.linked_names(table(spark, folder, "papers"), table(spark, folder, "given_names"))
+
+
+def p4_entities(spark: SparkSession, folder: str) -> DataFrame:
+    return names.entities(table(spark, folder, "papers"), table(spark, folder, "given_names"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return frequency.useless(*(table(spark, folder, t) for t in ("papers", "term", "gram", "idf", "index_document")))
 
