@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import encodings, frequency, mixing, names, neardup, nearest, tokens
+from . import encodings, frequency, mixing, names, neardup, nearest, scans, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +53,14 @@ def p5_grams(spark: SparkSession, folder: str) -> DataFrame:
     return frequency.gram_frequencies(*(table(spark, folder, t) for t in ("gram", "idf", "index_document")))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.noise(table(spark, folder, "papers"))
+
+
+def p6_text(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.repaired(table(spark, folder, "papers"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_ids(table(spark, folder, "documents"))
 

@@ -17,7 +17,7 @@ from statistics import median
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -52,12 +52,13 @@ class Line:
         self.letters = sum(c.isalpha() for c in self.text)
 
 
-_PAGE = re.compile(r"^(?:page|p\.?|pg\.?|s\.)?[\s\-–—\[(|.]*(?:\d{1,5}|[ivxlc]{1,7})[\s\-–—\])|.]*(?:(?:of|/)\s*\d{1,5})?$", re.I)
+_PAGE = re.compile(r"^(?:page|p\.?|pg\.?|s\.)?[\s\-–—\[(|.]*(?:\d{1,5}|[ivxlc]{1,7})[\s\-–—\])|]*(?:(?:of|/)\s*\d{1,5})?$", re.I)
 
 
 def _like(shape: str) -> str:
     """A shape whose misread characters don't matter much: letters only, those often confused as one."""
-    return re.sub(r"[^a-z]+", "", shape.translate(str.maketrans("05819!†ɑ", "osblgita"))).translate(str.maketrans("cbi", "ehl"))
+    worded = "".join(w for w in shape.split() if any(c.isalpha() for c in w))
+    return re.sub(r"[^a-z]+", "", worded.translate(str.maketrans("05819!†ɑ", "osblgita"))).translate(str.maketrans("cbi", "ehl"))
 
 
 def line_features(raw: list[str]) -> tuple[list[Line], np.ndarray]:
@@ -406,21 +407,21 @@ def break_features(left: str, right: str, mark: str, whole: int, compound: int,
     return [math.log1p(whole), math.log1p(compound), math.log1p(min(a, b)), math.log1p(max(a, b)), min(len(left), len(right)), mark in "-‐‑", right[:1].isupper(), math.log1p(whole) - math.log1p(compound)]
 
 
-def join_classifier(words: dict[str, int], compounds: dict[str, int], seed: int = 4) -> Boosted:
-    """Tells a broken word from a compound at a line end: known words cut anywhere against known compounds."""
+def join_classifier(whole: list[tuple[str, int]], compounds: list[tuple[str, int]], counts: dict[str, int], seed: int = 4) -> Boosted:
+    """Tells a broken word from a compound at a line end: known words cut anywhere against known compounds.
+
+    ``counts`` has the papers of the words that the halves may be.
+    """
     rng = np.random.default_rng(seed)
     x, y = [], []
-    for w, n in words.items():
+    for w, n in whole:
         i = int(rng.integers(2, len(w) - 1))
-        l, r = w[:i], w[i:]
-        # half of the words as if nowhere else in the collection
-        seen = n if rng.random() < 0.5 else 0
-        x.append(break_features(l, r, "-­¬‐"[int(rng.integers(0, 4))], seen, 0, words.get(l, 0), words.get(r, 0))), y.append(1)
-    for c, n in compounds.items():
-        l, _, r = c.partition("-")
-        if r and l.isalpha():
-            r = r.partition("-")[0]
-            x.append(break_features(l, r, "-‐"[int(rng.integers(0, 2))], words.get(l + r, 0), n, words.get(l, 0), words.get(r, 0))), y.append(0)
+        left, right = w[:i], w[i:]
+        seen = n if rng.random() < 0.5 else 0  # half of them as if they stood nowhere else
+        x.append(break_features(left, right, "-­¬‐"[int(rng.integers(0, 4))], seen, 0, counts.get(left, 0), counts.get(right, 0))), y.append(1)
+    for c, n in compounds:
+        left, right = c.split("-")[:2]
+        x.append(break_features(left, right, "-‐"[int(rng.integers(0, 2))], counts.get(left + right, 0), n, counts.get(left, 0), counts.get(right, 0))), y.append(0)
     if not x or min(y) == max(y):
         x, y = [*x, [5.0, 0, 0, 0, 3, 0, 0, 5.0], [0.0, 5.0, 5.0, 5.0, 3, 1, 0, -5.0]], [*y, 1, 0]
     return Boosted().fit(np.array(x), np.array(y))
@@ -483,9 +484,10 @@ def _breaks(found: DataFrame, words: DataFrame) -> DataFrame:
     wide = counted.groupBy("left", "mark", "right").agg(*[F.max(F.when(F.col("i") == i, F.col("n"))).alias(f"n{i}") for i in range(4)])
     sample = words.where((F.col("n") >= KNOWN) & (F.length("word") >= 5) & F.col("word").rlike(r"^\p{L}+$")).orderBy(F.xxhash64("word")).limit(SAMPLE_WORDS).collect()
     hyphened = words.where((F.col("n") >= 2) & F.col("word").rlike(r"^\p{L}+-\p{L}")).orderBy(F.xxhash64("word")).limit(SAMPLE_WORDS).collect()
-    halves = {h for r in hyphened for h in r["word"].split("-")}
-    short = words.join(F.broadcast(words.sparkSession.createDataFrame([(h,) for h in sorted(halves)] or [("",)], "word string")), "word").collect()  # at most the halves of the sample
-    model = join_classifier({r["word"]: r["n"] for r in [*sample] if len(r["word"]) >= 5}, {r["word"]: r["n"] for r in hyphened}) if not short else _with_halves(sample, hyphened, short)
+    halves = sorted({h for r in hyphened for h in r["word"].split("-")})
+    asked = words.sparkSession.createDataFrame([(h,) for h in halves or [""]], "word string")
+    counts = {r["word"]: r["n"] for r in [*words.join(F.broadcast(asked), "word").collect(), *sample]}  # the halves of the sample
+    model = join_classifier([(r["word"], r["n"]) for r in sample], [(r["word"], r["n"]) for r in hyphened], counts)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -497,22 +499,6 @@ def _breaks(found: DataFrame, words: DataFrame) -> DataFrame:
     return wide.mapInArrow(judged, "left string, mark string, right string")
 
 
-def _with_halves(sample: list, hyphened: list, short: list) -> Boosted:
-    counts = {r["word"]: r["n"] for r in short} | {r["word"]: r["n"] for r in sample}
-    rng = np.random.default_rng(4)
-    x, y = [], []
-    for r in sample:
-        w, n = r["word"], r["n"]
-        i = int(rng.integers(2, len(w) - 1))
-        left, right = w[:i], w[i:]
-        seen = n if rng.random() < 0.5 else 0
-        x.append(break_features(left, right, "-­¬‐"[int(rng.integers(0, 4))], seen, 0, counts.get(left, 0), counts.get(right, 0))), y.append(1)
-    for r in hyphened:
-        left, right = r["word"].split("-")[:2]
-        x.append(break_features(left, right, "-‐"[int(rng.integers(0, 2))], counts.get(left + right, 0), r["n"], counts.get(left, 0), counts.get(right, 0))), y.append(0)
-    return Boosted().fit(np.array(x), np.array(y)) if x and min(y) < max(y) else join_classifier({}, {})
-
-
 def _occurrences(bodies: DataFrame, misread: DataFrame) -> DataFrame:
     """(paper_id, word, times, better) of the misread words in every body."""
     if misread.count() <= BROADCAST_WORDS:
@@ -543,3 +529,96 @@ def noise(papers: DataFrame) -> DataFrame:
     read = _occurrences(bodies, misread).groupBy("paper_id", "word").agg(F.max("times").alias("times")).groupBy("paper_id").agg(F.sum("times").alias("n"))
     wrong = read.where("n >= 2").select("paper_id", F.lit("misread").alias("kind"))
     return furniture.unionByName(broken).unionByName(wrong).distinct()
+
+
+def _repaired(model: Boosted):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for body, fixes, breaks in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                if not body:
+                    texts.append(body)
+                    continue
+                better = {f["word"]: f["better"] for f in fixes or []}
+                broken = {(b["left"], b["mark"], b["right"].lower()) for b in breaks or []}
+                texts.append(paragraphs(body, model, better, broken))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["paper_id", "text"])
+
+    return run
+
+
+def _cased(new: str, old: str) -> str:
+    letters = [c for c in old if c.isalpha()]
+    if len(letters) > 1 and all(c.isupper() for c in letters):
+        return new.upper()
+    return new[:1].upper() + new[1:] if old[:1].isupper() or (not old[:1].isalpha() and letters and letters[0].isupper()) else new
+
+
+def paragraphs(body: str, model: Boosted, better: dict[str, str], broken: set[tuple[str, str, str]]) -> str:
+    """The body without furniture, lines joined to paragraphs, broken words mended and misread words replaced.
+
+    A paragraph ends at an empty or indented line and where a line is shorter than three quarters of
+    the usual one after the end of a sentence; furniture between two lines of a sentence leaves no gap.
+    """
+    raw = body.split("\n")
+    lines, hit, _ = furniture(raw, model)
+    usual = median([len(x.text) for x in lines if x.words > 3] or [1])
+    parts: list[list[str]] = [[]]
+    gap = False
+    for line, text, off in zip(lines, raw, hit):
+        if off:
+            continue
+        text = text.replace("\x0c", "")
+        if not text.strip():
+            gap = True
+            continue
+        last = parts[-1][-1] if parts[-1] else ""
+        ended = last[-1:] in ".:!?"
+        if last and (gap and (ended or len(last) < 0.75 * usual) or text[:2] == "  " and ended or ended and len(last) < 0.75 * usual):
+            parts.append([])
+        gap = False
+        parts[-1].append(text.strip())
+    out = []
+    for own in parts:
+        joined = ""
+        for text in own:
+            m = _BREAK.search(joined)
+            right = re.match(r"[^\W\d_]{1,40}", text)
+            if m and right:
+                whole = (m[1].lower(), m[2], right[0].lower()) in broken
+                joined = joined[: m.end(1)] + ("" if whole else "-") + text
+            else:
+                joined += (" " if joined else "") + text
+        if better:
+            joined = re.sub(r"[^\s\-‐‑/–—]+", lambda m: _mended(m[0], better), joined)
+        out.append(joined)
+    return "\n\n".join(x for x in out if x)
+
+
+def _mended(chunk: str, better: dict[str, str]) -> str:
+    words = chunk_words(chunk)
+    if len(words) == 1 and words[0] in better and (at := chunk.lower().find(words[0])) >= 0:
+        old = chunk[at : at + len(words[0])]
+        return chunk[:at] + _cased(better[words[0]], old) + chunk[at + len(words[0]) :]
+    return chunk
+
+
+def repaired(papers: DataFrame) -> DataFrame:
+    """(paper_id, text, kinds): every body as continuous paragraphs, and the kinds of noise it had, joined by commas.
+
+    One row per paper_id; null and empty bodies stay as they are and have no kinds. Rows without a
+    paper_id are left out.
+    """
+    bodies, words, misread, lines = _trained(papers)
+    found = cut(bodies.mapInArrow(_judged_lines(lines), "paper_id string, kind string, left string, mark string, right string"))
+    broken = cut(found.where("kind = 'break'").join(_breaks(found, words), ["left", "mark", "right"]))
+    read = cut(_occurrences(bodies, misread))
+    # the lists of one paper
+    fixes = read.select("paper_id", "word", "better").distinct().groupBy("paper_id").agg(F.collect_list(F.struct("word", "better")).alias("fixes"))
+    breaks = broken.distinct().groupBy("paper_id").agg(F.collect_list(F.struct("left", "mark", "right")).alias("breaks"))
+    counted = read.groupBy("paper_id", "word").agg(F.max("times").alias("times")).groupBy("paper_id").agg(F.sum("times").alias("n")).where("n >= 2")
+    kinds = found.where("kind <> 'break'").select("paper_id", "kind").unionByName(broken.select("paper_id", F.lit("hyphen").alias("kind"))).unionByName(counted.select("paper_id", F.lit("misread").alias("kind")))
+    kinds = kinds.groupBy("paper_id").agg(F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"))
+    whole = papers.where(F.col("paper_id").isNotNull()).select("paper_id", F.col("body").cast("string").alias("body")).dropDuplicates(["paper_id"])
+    joined = whole.join(fixes, "paper_id", "left").join(breaks, "paper_id", "left").select("paper_id", "body", "fixes", "breaks")
+    return joined.mapInArrow(_repaired(lines), "paper_id string, text string").join(kinds, "paper_id", "left").na.fill("", ["kinds"])
