@@ -13,6 +13,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from statistics import median
 
 import numpy as np
@@ -33,26 +34,26 @@ CONFUSIONS = 400
 BROADCAST_WORDS = 500_000
 
 _BREAK = re.compile(r"([^\W\d_]{1,40})[ \t]*([-­¬‐‑])[ \t\x0c]*$")
+_ANY_BREAK = re.compile(r"[-­¬‐‑][ \t\x0c]*\n")
 _NUMBER = re.compile(r"\d+|\b[ivxlc]+\b", re.I)
 _BLOCK = 200_000
 
 
 # Lines
 
+_PAGE = re.compile(r"^(?:page|p\.?|pg\.?|s\.)?[\s\-–—\[(|.]*(?:\d{1,5}|[ivxlc]{1,7})[\s\-–—\])|]*(?:(?:of|/)\s*\d{1,5})?$", re.I)
+
 
 class Line:
-    __slots__ = ("text", "shape", "number", "words", "letters")
+    __slots__ = ("text", "shape", "number", "words", "page")
 
     def __init__(self, text: str):
         self.text = text.replace("\x0c", "").strip()
         self.shape = re.sub(r"[^\w]+", " ", _NUMBER.sub("0", self.text.lower())).strip()
         m = _NUMBER.search(self.text)
         self.number = int(m[0]) if m and m[0].isdigit() and len(m[0]) < 7 else None
-        self.words = len(self.text.split())
-        self.letters = sum(c.isalpha() for c in self.text)
-
-
-_PAGE = re.compile(r"^(?:page|p\.?|pg\.?|s\.)?[\s\-–—\[(|.]*(?:\d{1,5}|[ivxlc]{1,7})[\s\-–—\])|]*(?:(?:of|/)\s*\d{1,5})?$", re.I)
+        self.words = self.text.count(" ") + 1
+        self.page = bool(_PAGE.match(self.text))
 
 
 def _like(shape: str) -> str:
@@ -61,38 +62,42 @@ def _like(shape: str) -> str:
     return re.sub(r"[^a-z]+", "", worded.translate(str.maketrans("05819!†ɑ", "osblgita"))).translate(str.maketrans("cbi", "ehl"))
 
 
-def line_features(raw: list[str]) -> tuple[list[Line], np.ndarray]:
-    """Features of every line with the lines around it."""
+def line_features(raw: list[str], every: bool = False) -> tuple[list[Line], np.ndarray, np.ndarray]:
+    """The lines, features of each with the lines around it, and which may be furniture.
+
+    Only those with the form of a page number and those that come back may be; unless ``every`` line
+    is asked for, the others' features stay 0.
+    """
     lines = [Line(x) for x in raw]
-    full = [len(x.text) for x in lines if x.words > 3] or [1]
-    usual = median(full)
+    usual = median([len(x.text) for x in lines if x.words > 3] or [1])
     likes = [_like(x.shape) for x in lines]
     repeats = Counter(k for k in likes if len(k) > 3)
     shapes = Counter(x.shape for x in lines if x.text)
-    numbered = [(i, x.number) for i, x in enumerate(lines) if x.number is not None and _PAGE.match(x.text)]
+    numbered = [(i, x.number) for i, x in enumerate(lines) if x.number is not None and x.page]
     steps = defaultdict(int)
     for (i, a), (j, b) in zip(numbered, numbered[1:]):
         if b - a in (1, 2):
             steps[i] += 1
             steps[j] += 1
     out = np.zeros((len(lines), 15))
+    may = np.array([bool(x.text) and len(x.text) < 90 and (x.page or repeats[k] > 1) for x, k in zip(lines, likes)], bool)
     solid = [i for i, x in enumerate(lines) if x.text]
-    place = {i: k for k, i in enumerate(solid)}
-    for i, x in enumerate(lines):
-        if not x.text:
+    for k, i in enumerate(solid):
+        if not (every or may[i]):
             continue
-        k = place[i]
+        x = lines[i]
         before = lines[solid[k - 1]] if k else None
         after = lines[solid[k + 1]] if k + 1 < len(solid) else None
-        first, last = x.text[:1], before.text[-1:] if before else "."
-        near_page = any(0 <= k + d < len(solid) and _PAGE.match(lines[solid[k + d]].text) for d in (-1, 1))
+        last = before.text[-1:] if before else "."
+        near_page = bool(before and before.page or after and after.page)
+        bare = sum(c.isalpha() for c in x.text) < 3
         out[i] = [
-            bool(_PAGE.match(x.text)), steps[i], repeats[likes[i]] if len(likes[i]) > 3 else 0, shapes[x.shape] if x.letters < 3 else 0,
-            last not in ".:!?", bool(after and after.text[:1].islower()), bool(before is None), bool(after is None),
+            x.page, steps[i], repeats[likes[i]] if len(likes[i]) > 3 else 0, shapes[x.shape] if bare else 0,
+            last not in ".:!?", bool(after and after.text[:1].islower()), before is None, after is None,
             i > 0 and not lines[i - 1].text, i + 1 < len(lines) and not lines[i + 1].text,
-            len(x.text) / usual, near_page, "\x0c" in raw[i] or (i > 0 and "\x0c" in raw[i - 1]), x.text[-1:] in ".,;", (sum(c.isupper() or c.isdigit() for c in x.text) / len(x.text)) if first else 0,
+            len(x.text) / usual, near_page, "\x0c" in raw[i] or (i > 0 and "\x0c" in raw[i - 1]), x.text[-1:] in ".,;", sum(c.isupper() or c.isdigit() for c in x.text) / len(x.text),
         ]
-    return lines, out
+    return lines, out, may
 
 
 def _furniture_labels(lines: list[Line], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +129,7 @@ def _furniture_labels(lines: list[Line], x: np.ndarray) -> tuple[np.ndarray, np.
 def line_classifier(bodies: list[str]) -> Boosted:
     xs, ys = [], []
     for body in bodies:
-        lines, x = line_features(body.split("\n"))
+        lines, x, _ = line_features(body.split("\n"), True)
         y, sure = _furniture_labels(lines, x)
         plain = np.flatnonzero(sure & (y == 0))
         keep = np.concatenate([np.flatnonzero(sure & (y == 1)), plain[:: max(1, len(plain) // 12)]])
@@ -135,21 +140,34 @@ def line_classifier(bodies: list[str]) -> Boosted:
     return Boosted().fit(x, y)
 
 
-def furniture(raw: list[str], model: Boosted) -> tuple[list[Line], np.ndarray, set[str]]:
-    """The lines, which of them are furniture, and the kinds found: 'page' and 'header'."""
-    lines, x = line_features(raw)
-    short = np.flatnonzero([bool(line.text) and (len(line.text) < 90) for line in lines])
-    hit = np.zeros(len(lines), bool)
-    # only lines that have a number's form or come back can be furniture
-    some = short[(x[short, 0] > 0) | (x[short, 2] > 1)] if len(short) else short
-    hit[some] = model.score(x[some]) > 0.5
-    kinds = set()
-    if any(hit[i] and x[i, 0] for i in some):
-        kinds.add("page")
-    groups = Counter(_like(lines[i].shape) for i in some if hit[i] and not x[i, 0])
-    if any(n > 1 for n in groups.values()):
-        kinds.add("header")
-    return lines, hit, kinds
+_ANY_PAGE = re.compile(_PAGE.pattern.replace("^", r"^[ \t\x0c]*", 1).replace(r"\s", r"[ \t]").replace("[[ \\t]", "[ \\t").replace("$", r"[ \t\x0c]*$"), re.I | re.M)
+_ROUGH = {ord(c): None for c in "0123456789 \t\x0c.,;:!?()[]{}'\"-–—|/†"} | str.maketrans("cbiɑ", "ehla")
+
+
+def may_have_furniture(body: str) -> bool:
+    """False where no line has the form of a page number, no page ends and no two lines are alike but for signs and digits."""
+    if "\x0c" in body or _ANY_PAGE.search(body):
+        return True
+    keys = [k for x in body.lower().split("\n") if len(x) < 90 and len(k := x.translate(_ROUGH)) > 3]
+    return len(set(keys)) < len(keys)
+
+
+def furniture(raws: list[list[str]], model: Boosted) -> list[tuple[list[Line], np.ndarray, set[str]]]:
+    """For each text its lines, which of them are furniture, and the kinds found: 'page' and 'header'."""
+    made = [line_features(raw) for raw in raws]
+    scores = model.score(np.concatenate([x[may] for _, x, may in made])) if made else np.empty(0)
+    out, at = [], 0
+    for lines, _, may in made:
+        some = np.flatnonzero(may)
+        hit = np.zeros(len(lines), bool)
+        hit[some] = scores[at : at + len(some)] > 0.5
+        at += len(some)
+        kinds = {"page"} if any(hit[i] and lines[i].page for i in some) else set()
+        groups = Counter(_like(lines[i].shape) for i in some if hit[i] and not lines[i].page)
+        if any(n > 1 for n in groups.values()):
+            kinds.add("header")
+        out.append((lines, hit, kinds))
+    return out
 
 
 # Words
@@ -158,14 +176,15 @@ _EDGE = ".,;:()[]{}<>“”\"'’‘«»?„|…"
 _SPLIT = re.compile(r"[-‐‑/–—]+")
 
 
-def chunk_words(chunk: str) -> list[str]:
+@lru_cache(maxsize=300_000)
+def chunk_words(chunk: str) -> tuple[str, ...]:
     """The words of a run without white space, lower-cased, with odd characters inside kept."""
     core = chunk.strip(_EDGE).rstrip("!").lower()
     if not core:
-        return []
+        return ()
     if core.endswith(("’s", "'s")):
         core = core[:-2]
-    return [w for p in _SPLIT.split(core) if (w := p.strip(_EDGE)) and 2 < len(w) <= 40 and sum(c.isalpha() for c in w) * 2 > len(w)]
+    return tuple([w for p in _SPLIT.split(core) if (w := p.strip(_EDGE)) and 2 < len(w) <= 40 and sum(c.isalpha() for c in w) * 2 > len(w)])
 
 
 def _text_and_breaks(lines: list[str]) -> tuple[list[str], list[tuple[str, str, str, int]]]:
@@ -192,6 +211,11 @@ def _text_and_breaks(lines: list[str]) -> tuple[list[str], list[tuple[str, str,
     return chunks, breaks
 
 
+def _chunks(body: str) -> list[str]:
+    """The runs of :func:`_text_and_breaks`, at once where no line ends in a hyphen."""
+    return _text_and_breaks(body.split("\n"))[0] if _ANY_BREAK.search(body) else body.split()
+
+
 def _count(bodies: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Papers per word, of compounds with a hyphen too, by block."""
     n: Counter[str] = Counter()
@@ -202,12 +226,9 @@ def _count(bodies: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in bodies:
         for body in batch.column(0).to_pylist():
             if body:
-                own: set[str] = set()
-                for chunk in set(_text_and_breaks(body.split("\n"))[0]):
-                    words = chunk_words(chunk)
-                    own.update(words)
-                    if len(words) > 1 and "-" in chunk:
-                        own.add("-".join(words))
+                chunks = set(_chunks(body))
+                own = set().union(*map(chunk_words, chunks))
+                own.update("-".join(w) for c in chunks if "-" in c and len(w := chunk_words(c)) > 1)
                 n.update(own)
                 if len(n) > _BLOCK:
                     yield out()
@@ -431,14 +452,17 @@ def _judged_lines(model: Boosted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for paper, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not body:
-                    continue
-                raw = body.split("\n")
-                _, hit, kinds = furniture(raw, model)
-                out += [(paper, k, None, None, None) for k in kinds]
-                rest = [x for x, h in zip(raw, hit) if not h]
-                out += [(paper, "break", l.lower(), m, r.lower() if not r[:1].isupper() or l.isupper() else r) for l, m, r, _ in _text_and_breaks(rest)[1]]
+            papers, bodies = (batch.column(i).to_pylist() for i in range(2))
+            some = [i for i, body in enumerate(bodies) if body and may_have_furniture(body)]
+            judged = dict(zip(some, furniture([bodies[i].split("\n") for i in some], model)))
+            for i, (paper, body) in enumerate(zip(papers, bodies)):
+                if i in judged:
+                    out += [(paper, k, None, None, None) for k in judged[i][2]]
+                if body and _ANY_BREAK.search(body):
+                    rest = body.split("\n")
+                    if i in judged:
+                        rest = [x for x, h in zip(rest, judged[i][1]) if not h]
+                    out += [(paper, "break", l.lower(), m, r.lower() if not r[:1].isupper() or l.isupper() else r) for l, m, r, _ in _text_and_breaks(rest)[1]]
             columns = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], ["paper_id", "kind", "left", "mark", "right"])
 
@@ -449,16 +473,20 @@ def _misread_in(words: set[str] | None):
     """(paper_id, word, times) of the words of a body, all of them or those of a set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, tuple[str, ...]] = {}
         for batch in batches:
             papers, found, times = [], [], []
             for paper, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if body:
-                    chunks = Counter(_text_and_breaks(body.split("\n"))[0])
                     own: Counter[str] = Counter()
-                    for chunk, n in chunks.items():
-                        for w in chunk_words(chunk):
-                            if words is None or w in words:
-                                own[w] += n
+                    for chunk in _chunks(body):
+                        hits = memo.get(chunk)
+                        if hits is None:
+                            if len(memo) > _BLOCK:
+                                memo.clear()
+                            hits = memo[chunk] = tuple(w for w in chunk_words(chunk) if words is None or w in words)
+                        if hits:
+                            own.update(hits)
                     papers += [paper] * len(own)
                     found += own.keys()
                     times += own.values()
@@ -561,7 +589,7 @@ def paragraphs(body: str, model: Boosted, better: dict[str, str], broken: set[tu
     the usual one after the end of a sentence; furniture between two lines of a sentence leaves no gap.
     """
     raw = body.split("\n")
-    lines, hit, _ = furniture(raw, model)
+    lines, hit, _ = furniture([raw], model)[0]
     usual = median([len(x.text) for x in lines if x.words > 3] or [1])
     parts: list[list[str]] = [[]]
     gap = False
