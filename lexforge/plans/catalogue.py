@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import skew
 from ..sources.tables import table
+from . import learning, search
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,9 +32,13 @@ SKEW_SQL = {
 }
 
 
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    return search.field_weighted_batch(spark, folder)
+
+
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p2_totals": p2_totals}
+    return {"p2_found": p2_found, "p2_totals": p2_totals} | search.QUERIES | learning.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SKEW_SQL)
+    return SKEW_SQL | search.SQL | learning.SQL
