@@ -196,8 +196,8 @@ def content_links(papers: DataFrame, similarity: float = 0.5) -> tuple[DataFrame
     if crowded:  # a crowded anchor's fingerprints are spread over tiles on one side and repeated on the other
         tiles = 64
         hot = F.col("anchor").isin(crowded)
-        left = met.withColumn("tile", F.when(hot, F.pmod(F.xxhash64("id"), F.lit(tiles))).otherwise(F.lit(0)))
-        right = met.withColumn("tile", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(tiles - 1))).otherwise(F.array(F.lit(0)))).cast("long"))
+        left = met.withColumn("tile", F.when(hot, F.pmod(F.xxhash64("id"), F.lit(tiles))).otherwise(F.lit(0).cast("long")))
+        right = met.withColumn("tile", F.explode(F.when(hot, F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))))
         on = ["anchor", "tile"]
     pairs = left.withColumnRenamed("id", "a").join(right.withColumnRenamed("id", "b"), on).where("a < b").select("a", "b").distinct()
 
