@@ -23,8 +23,11 @@ def water_fill(weights: dict[str, float], caps: dict[str, float], total: float)
     """Amounts in proportion to the weights that sum to ``total`` or, if the caps don't allow it, to all caps.
 
     Sources whose proportional amount exceeds their cap are clamped there and what they can't take
-    is spread over the others by weight, until nothing exceeds. Weights of zero get nothing.
+    is spread over the others by weight, until nothing exceeds. Weights of zero, or below 1e-12 of the
+    largest, get nothing.
     """
+    most = max(weights.values(), default=0.0)
+    weights = {s: w / most if most > 0 and w / most >= 1e-12 else 0.0 for s, w in weights.items()}
     amounts = {s: 0.0 for s in weights}
     free = {s for s, w in weights.items() if w > 0 and caps.get(s, 0) > 0}
     left = min(float(total), float(sum(caps[s] for s in free)))

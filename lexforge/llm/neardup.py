@@ -191,7 +191,7 @@ def content_links(papers: DataFrame, similarity: float = 0.5) -> tuple[DataFrame
     members = own.join(classes.select("content", "first"), "content", "left").select("paper_id", F.coalesce("first", "paper_id").alias("first"), F.col("content").isNotNull().alias("comparable"))
 
     met = classes.select("id", "symbols").mapInArrow(_anchor_rows, "anchor long, id long")
-    crowded = heavy_keys(met, ["anchor"])["anchor"]
+    crowded = heavy_keys(met, ["anchor"], 0.0005)["anchor"]
     left, right, on = met, met, ["anchor"]
     if crowded:  # a crowded anchor's fingerprints are spread over tiles on one side and repeated on the other
         tiles = 64
