@@ -189,14 +189,20 @@ class Comparer:
             return False
         return max(ratio(x, y) for x in one for y in two) >= GIVEN_RATIO
 
+    @staticmethod
+    def _readings(x: dict) -> list[tuple[str, list[str]]]:
+        """Family and given names; a full name before the family name may be part of a double one that lost its hyphen."""
+        family, given = x["family"], x["given"]
+        double = len(given) > 1 and len(given[-1]) > 2 and given[-1] not in x["common"]
+        return [(family, given), (given[-1] + family, given[:-1])] if double else [(family, given)]
+
     def person(self, a: dict, b: dict) -> bool:
-        if ratio(a["family"], b["family"]) < SURNAME_RATIO:
-            return False
-        x, y = a["given"], b["given"]
-        if not x or not y:
-            return False
-        known = [set(a["common"]), set(b["common"])]
-        return all(self.given_fit(p, q, p in known[0], q in known[1]) for p, q in zip(x, y))
+        known = set(a["common"]), set(b["common"])
+        for family, x in self._readings(a):
+            for other, y in self._readings(b):
+                if x and y and ratio(family, other) >= SURNAME_RATIO and all(self.given_fit(p, q, p in known[0], q in known[1]) for p, q in zip(x, y)):
+                    return True
+        return False
 
     def organisation(self, a: dict, b: dict) -> bool:
         if max((ratio(p, q) for p in a["tokens"] for q in b["tokens"] if p not in _GENERIC and q not in _GENERIC), default=0) < SURNAME_RATIO:
