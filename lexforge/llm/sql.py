@@ -18,8 +18,28 @@ _GRAM_COUNTS = """
     gram_marks AS (SELECT gram_id, n, CASE WHEN n < 2 THEN 'rare' WHEN n > 0.3 * (SELECT count(*) FROM index_document) THEN 'common' END AS mark FROM summed)"""
 
 
+_TRIPLES = r"""
+    texts AS (SELECT paper_id, any_value(coalesce(title, '') || ' ' || coalesce(body, '')) AS text FROM papers WHERE paper_id IS NOT NULL GROUP BY paper_id),
+    lists AS (SELECT paper_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM texts),
+    places AS (SELECT paper_id, w, unnest(range(1, len(w) - 1)) AS i FROM lists),
+    triples AS (SELECT DISTINCT paper_id, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z FROM places),
+    sizes AS (SELECT paper_id, count(*) AS n FROM triples GROUP BY paper_id),
+    common AS (SELECT a.paper_id AS p, b.paper_id AS q, count(*) AS c FROM triples a JOIN triples b ON a.x = b.x AND a.y = b.y AND a.z = b.z AND a.paper_id < b.paper_id GROUP BY ALL)"""
+
+_NEAR = """
+    vectors AS (SELECT paper_id, CAST(any_value(other.para_vec) AS DOUBLE[]) AS v FROM papers WHERE paper_id IS NOT NULL GROUP BY paper_id),
+    usable AS (SELECT paper_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM vectors
+        WHERE len(v) = 64 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+    products AS (SELECT a.paper_id AS p, b.paper_id AS q, list_sum(list_transform(list_zip(a.v, b.v), lambda x: x[1] * x[2])) AS s FROM usable a JOIN usable b ON a.paper_id <> b.paper_id),
+    near AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY s DESC, q) AS r FROM products QUALIFY r <= 5)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": f"""WITH {_TRIPLES} SELECT p AS paper_id_1, q AS paper_id_2 FROM common JOIN sizes a ON p = a.paper_id JOIN sizes b ON q = b.paper_id
+            WHERE 2 * c >= a.n + b.n - c""",
+        "p3_found": f"WITH {_NEAR} SELECT DISTINCT least(p, q) AS paper_id_1, greatest(p, q) AS paper_id_2 FROM near",
+        "p3_neighbours": f"WITH {_NEAR} SELECT p AS paper_id, CAST(r AS INTEGER) AS rank, q AS neighbour_id, round(s, 6) AS similarity FROM near",
         "p5_terms": f"WITH {_TERM_COUNTS} SELECT * FROM marked",
         "p5_vocabulary": rf"""WITH {_TERM_COUNTS},
             typed AS (SELECT DISTINCT word FROM named WHERE word <> '')
@@ -27,6 +47,7 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN coalesce(n_papers, 0) < 3 THEN 'rare' WHEN n_papers > 0.3 * (SELECT count(DISTINCT paper_id) FROM papers WHERE body IS NOT NULL) THEN 'common' END AS mark
             FROM counted FULL JOIN typed ON counted.word = typed.word""",
         "p5_grams": f"WITH {_GRAM_COUNTS} SELECT * FROM gram_marks",
+        "p7_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         "p5_found": f"""WITH {_TERM_COUNTS}, {_GRAM_COUNTS}
             SELECT 'term' AS kind, term_id AS key_id, mark FROM marked WHERE word <> '' AND mark IS NOT NULL
             UNION ALL SELECT 'gram', gram_id, mark FROM gram_marks WHERE mark IS NOT NULL""",
