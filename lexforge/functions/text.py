@@ -81,7 +81,7 @@ def first_and_rest(gram: Column) -> tuple[Column, Column]:
 
 
 def character_windows(text: Column, width: int = 3) -> Column:
-    """Arrays of the code points in every window of ``width`` characters."""
+    """Arrays of the code points in every window of ``width`` characters; null for null."""
     codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c))
     starts = F.when(F.size(codes) >= width, F.sequence(F.lit(1), F.size(codes) - (width - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.slice(codes, i, width))
+    return F.when(text.isNotNull(), F.transform(starts, lambda i: F.slice(codes, i, width)))
