@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small
 from .lexical import top
 
 
@@ -53,6 +54,6 @@ def impact_search(queries: DataFrame, vectors: DataFrame, key: str, n: int = 10,
         size = F.abs("w")
         before = F.sum(size).over(Window.partitionBy("query_id").orderBy(F.desc(size), "term").rowsBetween(Window.unboundedPreceding, -1))
         weighed = weighed.withColumn("before", F.coalesce(before, F.lit(0.0))).withColumn("whole", F.sum(size).over(Window.partitionBy("query_id"))).where(F.col("before") < share * F.col("whole"))
-    matched = weighed.select("query_id", "term", "w").join(vectors.select(F.col(key).alias("doc"), "term", F.col("val").alias("x")), "term")
+    matched = broadcast_if_small(weighed.select("query_id", "term", "w")).join(vectors.select(F.col(key).alias("doc"), "term", F.col("val").alias("x")), "term")
     scored = matched.groupBy("query_id", "doc").agg(F.sum(F.col("w") * F.col("x")).alias("score"))
     return top(scored, n, offset).select("query_id", "rank", "doc", "score")

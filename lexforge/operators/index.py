@@ -83,11 +83,21 @@ def numbered(rows: DataFrame, order: list[str], name: str, start: int = 0) -> Da
     return placed.join(F.broadcast(shift), "_p").withColumn(name, F.col("_i") + F.col("_shift")).drop("_p", "_i", "_shift")  # a row per partition
 
 
-def insert_absent(old: DataFrame, new: DataFrame, key: str, number: str) -> DataFrame:
-    """``old`` (number, key) with the keys of ``new`` it lacks, numbered on from its largest number."""
+def insert_absent(old: DataFrame, new: DataFrame, key: str | list[str], number: str) -> DataFrame:
+    """``old`` (number, key) with the keys of ``new`` it lacks, numbered on from its largest number in the order of the keys."""
+    keys = [key] if isinstance(key, str) else key
     last = old.agg(F.coalesce(F.max(number), F.lit(-1))).first()[0]
-    fresh = new.select(key).distinct().join(old.select(key), key, "left_anti")
-    return old.select(number, key).unionByName(numbered(fresh, [key], number, last + 1).select(F.col(number).cast("long").alias(number), key))
+    fresh = new.select(*keys).distinct().join(old.select(*keys), keys, "left_anti")
+    return old.select(number, *keys).unionByName(numbered(fresh, keys, number, last + 1).select(F.col(number).cast("long").alias(number), *keys))
+
+
+def add_grams(grams: DataFrame, df: DataFrame, delta: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The dictionary (gram_id, term1, term2) and its (gram_id, df) with the counts (term1, term2, df) of new texts.
+
+    Grams the dictionary lacks get the next numbers; those it has keep theirs and their df grows.
+    """
+    known = insert_absent(grams, delta, ["term1", "term2"], "gram_id")
+    return known, merge_counts(df, delta.join(known, ["term1", "term2"]).select("gram_id", "df"), ["gram_id"], "df")
 
 
 def merge_counts(old: DataFrame, delta: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import grams, valid_query, words
+from ..session import broadcast_if_small
 
 #: Weights of the unit types; a wiki text counts as a full text.
 WEIGHTS = {1: 0.4, 2: 0.2, 3: 0.2, 4: 0.2, 5: 0.4}
@@ -52,9 +53,10 @@ def scores(vectors: DataFrame, postings: DataFrame, on: list[str], owner: Column
     """(query_id, doc, score): products of query and text weights summed by owner.
 
     Equal grams of one query are added up before the join, and products are pre-aggregated before
-    they are shuffled by owner.
+    they are shuffled by owner. A batch of queries whose size allows it goes to the postings, which
+    then aren't shuffled by gram.
     """
-    grouped = vectors.groupBy("query_id", *on).agg(F.sum("ltc").alias("ltc"))
+    grouped = broadcast_if_small(vectors.groupBy("query_id", *on).agg(F.sum("ltc").alias("ltc")))
     part = F.col("lnc") * F.col("ltc") * (weight if weight is not None else F.lit(1.0))
     return grouped.join(postings, on).groupBy("query_id", owner.alias("doc")).agg(F.coalesce(F.sum(part), F.lit(0.0)).alias("score"))
 
@@ -103,6 +105,7 @@ def search_stored(queries: DataFrame, terms: DataFrame, gram: DataFrame, idf: Da
     named, df = stored_grams(terms, gram, idf)
     vectors = query_vectors(query_grams(queries).join(df, ["term1", "term2"], "left"), units.count())
     wanted = named.join(vectors.select("query_id", "term1", "term2", "ltc"), ["term1", "term2"]).groupBy("query_id", "gram_id").agg(F.sum("ltc").alias("ltc"))
+    wanted = broadcast_if_small(wanted)
     postings = tf.join(wanted.select("gram_id").distinct(), "gram_id", "left_semi").groupBy("gram_id", "doc_id").agg(F.max("lnc").alias("lnc"))
     typed = postings.join(units.select("doc_id", "parent_doc", "doc_type"), "doc_id")
     scored = scores(wanted, typed, ["gram_id"], F.coalesce("parent_doc", "doc_id"), type_weight(F.col("doc_type"), weights or WEIGHTS))

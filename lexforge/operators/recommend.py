@@ -90,3 +90,39 @@ def recommend(user_rows: DataFrame, vectors: DataFrame, n: int = 20, offset: int
         return rows.select("doc_id", F.lit(0.0).alias("score")).limit(0)
     model = linear_svm(rows)
     return rows.where("label = 0").select("doc_id", margin(F.col("v"), model).alias("score")).orderBy(F.desc(F.round("score", 6)), "doc_id").offset(offset).limit(n)
+
+
+def history_candidates(history: DataFrame, vectors: DataFrame, paragraph: DataFrame, n: int = 20, seeds: int = 5, window: int = 100) -> DataFrame:
+    """(user_id, doc_id): n documents related to each of a few of a user's recent documents.
+
+    ``history`` holds (user_id, doc_id, rank). The seeds are the documents of lowest md5 among the
+    ``window`` latest. All users' seeds are searched for in one batch.
+    """
+    recent = history.where(F.col("rank") <= window).select("user_id", "doc_id").distinct()
+    order = Window.partitionBy("user_id").orderBy(hashed_order("doc_id", F.col("user_id")), "doc_id")
+    chosen = recent.withColumn("r", F.row_number().over(order)).where(F.col("r") <= seeds).select("user_id", "doc_id")
+    near = related(chosen.select("doc_id"), vectors, paragraph, "doc_id", n)
+    return chosen.join(near.select(F.col("query_id").alias("doc_id"), "doc"), "doc_id").select("user_id", F.col("doc").alias("doc_id")).distinct()
+
+
+def recommend_to(user, history: DataFrame, vectors: DataFrame, paragraph: DataFrame, terms: DataFrame | None = None, n: int = 20, offset: int = 0) -> DataFrame:
+    """(doc_id, score): what to show a user, best first.
+
+    ``terms`` (user_id, term) are words the user chose: they make one query whose best 2n + offset
+    documents are the candidates, otherwise the user's history gives them. Without a history the
+    candidates stand as found; with one a machine is trained on it against the candidates and a hundred
+    others. Nothing is known of a user without terms and history, so there are no rows.
+    """
+    own = history.where(F.col("user_id") == user)
+    words = terms.where(F.col("user_id") == user).limit(100) if terms is not None else None
+    if words is not None and not words.isEmpty():
+        asked = words.groupBy(F.lit(0).alias("query_id"), "term").agg(F.log1p(F.count(F.lit(1))).alias("val"))
+        found = impact_search(asked, vectors, "doc_id", 2 * n + offset)
+        if own.isEmpty():
+            return found.where((F.col("rank") > offset) & (F.col("rank") <= offset + n)).select(F.col("doc").alias("doc_id"), "score")
+        candidates = found.select(F.lit(user).alias("user_id"), F.col("doc").alias("doc_id"))
+    else:
+        candidates = history_candidates(own, vectors, paragraph, n)
+    every = vectors.select("doc_id").distinct()
+    rows = training_set(own, candidates, every, own.select("user_id").distinct())
+    return recommend(rows.select("doc_id", "label"), paragraph, n, offset)

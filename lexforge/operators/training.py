@@ -88,3 +88,22 @@ def text_vectors(tokens: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
     parts = counts.join(vectors.select("term", F.col("v").cast("array<double>").alias("v")), "term").select(key, "n", F.posexplode("v").alias("i", "x"))
     summed = parts.groupBy(key, "i").agg(F.sum(F.col("x") * F.col("n")).alias("x")).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
     return summed.select(key, unit(F.col("v")).alias("v"))
+
+
+def label_ids(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``tokens`` with the token_id of each term, the vocabulary's last id for a term it lacks."""
+    last = vocab.agg(F.coalesce(F.max("token_id"), F.lit(0))).first()[0]
+    return tokens.join(vocab.select("term", "token_id"), "term", "left").withColumn("token_id", F.coalesce("token_id", F.lit(last)))
+
+
+def text_spans(texts: DataFrame, key: str, least: int = 100, most: int = 100_000, seed: int = 1) -> DataFrame:
+    """(key, span): a piece of each text of ``least`` characters or more, between the marks <s> and </s>.
+
+    Begin and length, up to ``most``, are taken from a hash of the key, so reruns agree. Shorter and
+    null texts have none.
+    """
+    u = [F.pmod(F.xxhash64(key, F.lit(seed + i)), F.lit(1 << 30)) / float(1 << 30) for i in range(2)]
+    rows = texts.where(F.length("text") >= least).withColumn("_n", F.length("text"))
+    size = (least + F.floor(u[0] * (F.least("_n", F.lit(most)) - least + 1))).cast("int")
+    begin = F.floor(u[1] * (F.col("_n") - F.col("_size") + 1)).cast("int") + 1
+    return rows.withColumn("_size", size).select(key, F.concat(F.lit("<s>"), F.substring(F.col("text"), begin, F.col("_size")), F.lit("</s>")).alias("span"))

@@ -39,3 +39,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def broadcast_if_small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """``df``, computed once, with a broadcast hint if it has at most ``most`` rows; larger it is joined by shuffle."""
+    from pyspark.sql import functions as F
+
+    kept = cut(df)
+    return F.broadcast(kept) if kept.count() <= most else kept

@@ -166,3 +166,23 @@ def test_training_samples_equal_loops(spark):
     kept = training.subsampled(tokens, training.drop_probability(vocab, 0.05), "doc_id")
     assert 0 < kept.count() < tokens.count()
     assert sum(r["q"] for r in training.noise_share(vocab).collect()) == pytest.approx(1)
+
+
+def test_labels_and_spans(spark):
+    vocab = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "term string, token_id long")
+    tokens = spark.createDataFrame([(1, "a"), (2, "zz"), (3, None)], "pos int, term string")
+    assert sorted((r["pos"], r["token_id"]) for r in training.label_ids(tokens, vocab).collect()) == [(1, 0), (2, 2), (3, 2)]
+    text = "".join(chr(97 + i % 26) for i in range(500))
+    rows = spark.createDataFrame([(i, text) for i in range(40)] + [(90, "short"), (91, None), (92, "x" * 100)], "doc_id long, text string")
+    spans = {r["doc_id"]: r["span"] for r in training.text_spans(rows, "doc_id").collect()}
+    assert set(spans) == {*range(40), 92} and spans[92] == f"<s>{'x' * 100}</s>"
+    assert all(100 <= len(spans[i]) - 7 <= 500 and spans[i][3:-4] in text for i in range(40)) and len(set(spans.values())) > 30
+
+
+def test_gram_dictionary_grows(spark):
+    grams = spark.createDataFrame([(0, "a", ""), (1, "a", "b")], "gram_id long, term1 string, term2 string")
+    df = spark.createDataFrame([(0, 3), (1, 1)], "gram_id long, df long")
+    delta = spark.createDataFrame([("a", "", 2), ("b", "", 1), ("a", "c", 1)], "term1 string, term2 string, df long")
+    known, now = index.add_grams(grams, df, delta)
+    assert sorted(map(tuple, known.collect())) == [(0, "a", ""), (1, "a", "b"), (2, "a", "c"), (3, "b", "")]
+    assert sorted(map(tuple, now.collect())) == [(0, 5), (1, 1), (2, 1), (3, 1)]

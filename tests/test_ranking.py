@@ -85,3 +85,17 @@ def test_related_documents(spark):
     found = [(r["query_id"], r["rank"], r["doc"], r["score"]) for r in recommend.related(vectors.where("doc_id in (1, 5)").select("doc_id"), vectors, paragraph, "doc_id", 3).orderBy("query_id", "rank").collect()]
     assert [x for x in found if x[0] == 1] == [(1, 1, 1, 0.0), (1, 2, 3, -1.0), (1, 3, 2, -25.0)]
     assert {x[2] for x in found if x[0] == 5} <= {1, 2, 4, 5}
+
+
+def test_recommendations_from_terms_and_history(spark):
+    rng = np.random.default_rng(5)
+    vectors = spark.createDataFrame([(d, t, 0.3) for d in range(40) for t in ("even" if d % 2 == 0 else "odd", f"t{d % 5}")], "doc_id long, term string, val double")
+    paragraph = spark.createDataFrame([(d, [float(a) for a in rng.normal(size=3) + (4 if d % 2 else -4)]) for d in range(40)], "doc_id long, v array<double>")
+    history = spark.createDataFrame([(1, 1, 1), (1, 3, 2), (1, 5, 3)], "user_id long, doc_id long, rank int")
+    terms = spark.createDataFrame([(2, "odd"), (2, "t1")], "user_id long, term string")
+    found = [r["doc_id"] for r in recommend.recommend_to(1, history, vectors, paragraph, n=5).collect()]
+    assert len(found) == 5 and all(d % 2 == 1 and d not in (1, 3, 5) for d in found)
+    assert 0 < recommend.recommend_to(2, history, vectors, paragraph, terms, n=5).count() <= 5
+    assert recommend.recommend_to(3, history, vectors, paragraph, terms).count() == 0
+    near = {(r["user_id"], r["doc_id"]) for r in recommend.history_candidates(history, vectors, paragraph, 4, 2).collect()}
+    assert near and {u for u, _ in near} == {1}

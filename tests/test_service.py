@@ -54,14 +54,23 @@ def units(spark, *texts):
     return spark.createDataFrame([(f"d{i}", 1, t, None) for i, t in enumerate(texts)], "text_id string, doc_type short, text string, parent string")
 
 
+def vectors(spark):
+    return spark.createDataFrame([(d, t, 0.5) for d, ts in {1: "ab", 2: "ab", 3: "bc", 4: "xy", 5: "xa"}.items() for t in ts], "doc_id long, term string, val double")
+
+
+def paragraph(spark):
+    return spark.createDataFrame([(d, [float(d), 1.0]) for d in range(1, 6)], "doc_id long, v array<float>")
+
+
 def test_service_over_http(spark):
-    service = SearchService(spark, units(spark, "alpha beta", "beta gamma", "delta"))
+    history = spark.createDataFrame([(7, 1, 1), (7, 2, 2)], "user_id long, doc_id long, rank int")
+    service = SearchService(spark, units(spark, "alpha beta", "beta gamma", "delta"), vectors(spark), paragraph(spark), history, lambda: units(spark, "nothing", "alpha"))
     server = serve(service, 0)
     threading.Thread(target=server.serve_forever, daemon=True).start()
 
-    def get(path):
+    def get(path, method="GET"):
         try:
-            with urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}{path}") as answer:
+            with urllib.request.urlopen(urllib.request.Request(f"http://127.0.0.1:{server.server_port}{path}", method=method)) as answer:
                 return answer.status, json.load(answer)
         except urllib.error.HTTPError as error:
             return error.code, json.load(error)
@@ -72,13 +81,45 @@ def test_service_over_http(spark):
         assert get("/search?q=beta&maxResults=1&offset=1")[1]["results"][0]["_id"] == "d1"
         assert get("/search?q=unknown")[1]["numResults"] == 0
         assert get("/search")[0] == 422 and get("/search?q=a&maxResults=x")[0] == 422 and get("/other")[0] == 404
-        service.changed(units(spark, "nothing", "alpha"))
+        assert [r["_id"] for r in get("/related-docs?docid=1&maxResults=2")[1]["results"]] == ["1", "2"]
+        assert get("/related-docs?docid=99")[1]["numResults"] == 0
+        assert {r["_id"] for r in get("/user-recommendations?userid=7")[1]["results"]} <= {"3", "4", "5"}
+        assert get("/user-recommendations?userid=8")[1]["numResults"] == 0 and get("/user-recommendations")[0] == 422
+        assert get("/notifynewdoc", "POST")[0] == 200 and get("/else", "POST")[0] == 404
         assert get("/search?q=Alpha&maxResults=2")[1]["results"][0]["_id"] == "d1"
     finally:
         server.shutdown()
         server.server_close()
 
 
+def test_paged_harvest(spark, tmp_path):
+    from lexforge.sources.harvest import PagedHarvest, page_path
+
+    page = "<r xmlns='x'><record><metadata><arXiv><id>{}</id><title>t</title><authors><author><keyname>K</keyname></author></authors></arXiv></metadata></record><resumptionToken>{}</resumptionToken></r>"
+    pages = {"": ("1", "a|1"), "a|1": ("2", "a|2"), "a|2": ("3", "")}
+
+    def put(token):
+        with open(page_path(str(tmp_path / "pages"), token), "w") as file:
+            file.write(page.format(*pages[token]))
+
+    def run():
+        stream = spark.readStream.format("paged_harvest").load(str(tmp_path / "pages"))
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).start()
+        try:
+            for _ in range(5):
+                query.processAllAvailable()
+        finally:
+            query.stop()
+        return sorted(r["arXiv_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    (tmp_path / "pages").mkdir()
+    spark.dataSource.register(PagedHarvest)
+    put(""), put("a|1")
+    assert run() == ["1", "2"]
+    put("a|2")
+    assert run() == ["1", "2", "3"]  # goes on from the last token
+
+
 def test_stream_builds_the_same_index(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"word{i % 7} common text {i}") for i in range(40)], "doc_id long, text string")
     docs.repartition(5).write.parquet(str(tmp_path / "in"))
