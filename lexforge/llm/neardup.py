@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.skew import heavy_keys
@@ -23,12 +23,14 @@ from ..session import cut
 from .links import components
 from .papers import words_of
 
-#: Length and dimension of the code; with 11 and 3 a pair of similarity 0.5 meets with probability 0.967, of 0.6 with 0.993.
-M, K = 11, 3
+#: Length and dimension of the code; with 12 and 3 a pair of similarity 0.5 meets with probability 0.981, of 0.6 with 0.997.
+M, K = 12, 3
 PRIME = (1 << 31) - 1
 BINS = 64
 #: Bins of the sketch that may differ: at a similarity of one half 28 do, with a deviation of 4.
 MOST_DIFFERENT = 43
+#: Papers of one content that are all paired with each other and with as many of a linked content; further copies are linked to the first.
+SPREAD = 16
 #: Ids above this number aren't broadcast.
 BROADCAST_IDS = 1_000_000
 
@@ -224,16 +226,23 @@ def content_links(papers: DataFrame, similarity: float = 0.5) -> tuple[DataFrame
 def near_pairs(papers: DataFrame, similarity: float = 0.5) -> DataFrame:
     """(paper_id_1, paper_id_2), smaller id first: the links between papers.
 
-    Papers with the same set of triples are linked to the first of them, not all to each other, and
-    a link between different contents is given for every paper of the one with the first of the
-    other. Null and short texts are in no pair, an empty table gives none.
+    Papers with the same set of triples are one content. All pairs are given among the first
+    ``SPREAD`` papers of a content and of the contents linked to it; every further copy is linked to
+    the first paper of its own and of each linked content. So a crowd of copies gives rows in
+    proportion to its size, and no link between different contents is lost. Null and short texts are
+    in no pair, an empty table gives none.
     """
     members, links = content_links(papers, similarity)
     members, links = cut(members.where("comparable").select("paper_id", "first")), cut(links.select("a", "b"))
+    # the limit is applied before the shuffle too, so a crowd isn't gathered
+    early = members.withColumn("r", F.row_number().over(Window.partitionBy("first").orderBy("paper_id"))).where(F.col("r") <= SPREAD).select("paper_id", "first")
+    p, q = (early.select(F.col("first").alias(x), F.col("paper_id").alias(y)) for x, y in (("a", "p"), ("b", "q")))
+    among = p.join(q, F.col("a") == F.col("b")).where("p < q").select("p", "q")
+    between = links.join(p, "a").join(q, "b").select("p", "q")
     copies = members.where("paper_id <> first").select(F.col("first").alias("p"), F.col("paper_id").alias("q"))
     one = links.join(members.withColumnRenamed("first", "a"), "a").select(F.col("paper_id").alias("p"), F.col("b").alias("q"))
     two = links.join(members.withColumnRenamed("first", "b"), "b").select(F.col("a").alias("p"), F.col("paper_id").alias("q"))
-    pairs = copies.unionByName(one).unionByName(two)
+    pairs = among.unionByName(between).unionByName(copies).unionByName(one).unionByName(two)
     return pairs.select(F.least("p", "q").alias("paper_id_1"), F.greatest("p", "q").alias("paper_id_2")).distinct()
 
 

@@ -26,6 +26,8 @@ from .boosting import Boosted
 
 #: Bodies that the line classifier is trained on, and words the other two are trained on, at most.
 SAMPLE_BODIES, SAMPLE_WORDS = 1500, 4000
+#: Characters of each of these bodies that are trained on; all bodies are judged whole.
+SAMPLE_CHARACTERS = 20_000
 #: Papers that must have a word for it to be a candidate, and how often a candidate must outnumber the word it replaces.
 KNOWN, OUTNUMBERS = 4, 8
 #: Kinds of confusion kept, the most frequent ones.
@@ -500,7 +502,8 @@ def _trained(papers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Booste
     bodies = papers.select("paper_id", F.col("body").cast("string").alias("body")).where(F.col("paper_id").isNotNull() & (F.length("body") > 0))
     words = cut(known_words(bodies.select("body")))
     sample = bodies.orderBy(F.xxhash64("paper_id"), "body").limit(SAMPLE_BODIES)
-    lines = line_classifier([r["body"] for r in sample.select("body").collect()])  # at most SAMPLE_BODIES
+    part = F.substring("body", 1, SAMPLE_CHARACTERS).alias("body")
+    lines = line_classifier([r["body"] for r in sample.select(part).collect()])  # at most SAMPLE_BODIES
     return bodies, words, cut(misread_words(words, bodies.count())), lines
 
 

@@ -80,6 +80,14 @@ def test_kinds_are_found(spark):
         assert len(a & b) >= 0.93 * len(a), kind
 
 
+def test_words_beyond_the_bound_are_joined(spark, monkeypatch):
+    rows, _ = corpus(80)
+    table = papers(spark, rows)
+    sent = sorted(map(tuple, scans.noise(table).collect()))
+    monkeypatch.setattr(scans, "BROADCAST_WORDS", 0)
+    assert sorted(map(tuple, scans.noise(table).collect())) == sent
+
+
 def test_text_is_repaired(spark):
     rows, true = corpus()
     made = {r["paper_id"]: r for r in scans.repaired(papers(spark, rows)).collect()}
