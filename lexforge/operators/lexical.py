@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import grams, valid_query, words
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, cut
 
 #: Weights of the unit types; a wiki text counts as a full text.
 WEIGHTS = {1: 0.4, 2: 0.2, 3: 0.2, 4: 0.2, 5: 0.4}
@@ -113,12 +113,19 @@ def search_stored(queries: DataFrame, terms: DataFrame, gram: DataFrame, idf: Da
 
 
 def search_units(queries: DataFrame, units: DataFrame, weights: dict[int, float] | None = None, n: int = 10, idf=idf_log) -> DataFrame:
-    """(query_id, rank, doc, score) over units (text_id, doc_type, text, parent) that are indexed for it."""
+    """(query_id, rank, doc, score) over units (text_id, doc_type, text, parent) that are indexed for it.
+
+    The index is built once and written to the checkpoint folder; df and scores come from it. Units
+    are scored first and meet their type and parent only then, as few of them match.
+    """
     from .index import document_frequency, log_weights, term_counts
 
-    counts = term_counts(units, "text_id")
-    df = document_frequency(counts).select(F.col("term").alias("term1"), F.lit("").alias("term2"), "df")
-    vectors = query_vectors(query_grams(queries).join(df, ["term1", "term2"], "left"), units.count(), idf)
-    postings = log_weights(counts, "text_id").join(units.select("text_id", "doc_type", "parent"), "text_id").withColumnRenamed("term", "term1").withColumn("term2", F.lit(""))
-    scored = scores(vectors, postings, ["term1", "term2"], F.coalesce("parent", "text_id"), type_weight(F.col("doc_type"), weights or WEIGHTS))
+    postings = cut(log_weights(term_counts(units, "text_id"), "text_id"))
+    about = cut(units.select("text_id", "doc_type", "parent"))
+    df = document_frequency(postings).select(F.col("term").alias("term1"), F.lit("").alias("term2"), "df")
+    vectors = query_vectors(query_grams(queries).join(df, ["term1", "term2"], "left"), about.count(), idf).where("term2 = ''")
+    matched = scores(vectors, postings.select(F.col("term").alias("term1"), "text_id", "lnc"), ["term1"], F.col("text_id"))
+    typed = matched.withColumnRenamed("doc", "text_id").join(about, "text_id")
+    weighed = F.col("score") * type_weight(F.col("doc_type"), weights or WEIGHTS)
+    scored = typed.groupBy("query_id", F.coalesce("parent", "text_id").alias("doc")).agg(F.sum(weighed).alias("score"))
     return top(scored, n).select("query_id", "rank", "doc", "score")

@@ -107,6 +107,7 @@ def smoothed_tfidf(spark, folder):
 
 def smoothed_search(spark, folder):
     raw, near = _smoothed(spark, folder)
+    raw = cut(raw)
     square = raw.groupBy("doc_id").agg(F.sum(F.col("val") * F.col("val")).alias("s"))
     vectors = raw.join(square, "doc_id").select("doc_id", "term", (F.col("val") / F.when(F.col("s") == 0, 1.0).otherwise(F.col("s"))).alias("val"))
     tokens = query_set(spark, folder).where(T.valid_query(F.col("text"))).select("query_id", T.words(F.col("text")).alias("tokens"))
@@ -115,7 +116,7 @@ def smoothed_search(spark, folder):
 
 
 def _doc_vectors(spark, folder):
-    return impact.tfidf_vectors(index.term_counts(documents(spark, folder), "doc_id"), "doc_id", "l2sq")
+    return cut(impact.tfidf_vectors(index.term_counts(documents(spark, folder), "doc_id"), "doc_id", "l2sq"))
 
 
 def _paragraphs(spark, folder):

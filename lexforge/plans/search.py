@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import corpus, impact, index, lexical
+from ..session import cut
 from ..sources.sinks import envelope, result_line, with_titles
 from ..sources.tables import table
 
@@ -87,11 +88,10 @@ def _idf(variant):
 
 def _scored(spark, folder):
     own = documents(spark, folder)
-    counts = index.term_counts(own, "doc_id")
-    df = index.document_frequency(counts).select(F.col("term").alias("term1"), F.lit("").alias("term2"), "df")
-    vectors = lexical.query_vectors(lexical.query_grams(query_set(spark, folder)).join(df, ["term1", "term2"], "left"), own.count())
-    postings = index.log_weights(counts, "doc_id").withColumnRenamed("term", "term1").withColumn("term2", F.lit(""))
-    return lexical.scores(vectors, postings, ["term1", "term2"], F.col("doc_id"))
+    postings = cut(index.log_weights(index.term_counts(own, "doc_id"), "doc_id"))
+    df = index.document_frequency(postings).select(F.col("term").alias("term1"), F.lit("").alias("term2"), "df")
+    vectors = lexical.query_vectors(lexical.query_grams(query_set(spark, folder)).join(df, ["term1", "term2"], "left"), own.count()).where("term2 = ''")
+    return lexical.scores(vectors, postings.withColumnRenamed("term", "term1"), ["term1"], F.col("doc_id"))
 
 
 def query_weights(spark, folder):
@@ -239,13 +239,13 @@ def _query_counts(spark, folder):
 
 
 def impact_search(spark, folder):
-    vectors = impact.tfidf_vectors(_counts(spark, folder), "doc_id", "l2sq")
+    vectors = cut(impact.tfidf_vectors(_counts(spark, folder), "doc_id", "l2sq"))
     queries = _query_counts(spark, folder).select("query_id", "term", F.log1p("n").alias("val"))
     return impact.impact_search(queries, vectors, "doc_id", 10).withColumnRenamed("doc", "doc_id")
 
 
 def impact_search_pruned(spark, folder):
-    vectors = impact.tfidf_vectors(_counts(spark, folder), "doc_id", "l2sq")
+    vectors = cut(impact.tfidf_vectors(_counts(spark, folder), "doc_id", "l2sq"))
     queries = _query_counts(spark, folder).select("query_id", "term", F.log1p("n").alias("val"))
     return impact.impact_search(queries, vectors, "doc_id", 10, share=0.7).withColumnRenamed("doc", "doc_id")
 

@@ -47,3 +47,12 @@ def broadcast_if_small(df: DataFrame, most: int = 200_000) -> DataFrame:
 
     kept = cut(df)
     return F.broadcast(kept) if kept.count() <= most else kept
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """The rows of a scan over all cores where its files give fewer splits than there are cores.
+
+    For work that costs far more than moving the rows. Larger inputs have enough splits and stay.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
