@@ -46,6 +46,13 @@ _BLOCK = 200_000
 _PAGE = re.compile(r"^(?:page|p\.?|pg\.?|s\.)?[\s\-–—\[(|.]*(?:\d{1,5}|[ivxlc]{1,7})[\s\-–—\])|]*(?:(?:of|/)\s*\d{1,5})?$", re.I)
 
 
+def roman(numeral: str) -> int:
+    """The number of a Roman numeral, however it is put together."""
+    values = ["ivxlc".index(c) for c in numeral.lower()]
+    worth = [(1, 5, 10, 50, 100)[v] for v in values]
+    return sum(-w if w < after else w for w, after in zip(worth, [*worth[1:], 0]))
+
+
 class Line:
     __slots__ = ("text", "shape", "number", "words", "page")
 
@@ -53,7 +60,7 @@ class Line:
         self.text = text.replace("\x0c", "").strip()
         self.shape = re.sub(r"[^\w]+", " ", _NUMBER.sub("0", self.text.lower())).strip()
         m = _NUMBER.search(self.text)
-        self.number = int(m[0]) if m and m[0].isdigit() and len(m[0]) < 7 else None
+        self.number = None if m is None or len(m[0]) > 7 else int(m[0]) if m[0].isdigit() else roman(m[0])
         self.words = self.text.count(" ") + 1
         self.page = bool(_PAGE.match(self.text))
 

@@ -10,6 +10,7 @@ from .tables import papers
 
 STOCK = "reward policy signal measure error constant boundary spectrum lattice gradient surface frequency noise channel matrix solution parameter transition observed measured computed strongly weakly between without although because these results suggest that nonlinear stochastic adaptive resolution distribution equation structure".split()
 COMPOUNDS = ["low-rank", "steady-state", "high-energy", "first-order"]
+ROMAN = "o i ii iii iv v vi vii viii ix x xi xii xiii xiv xv xvi xvii xviii xix xx".split()
 SWAPS = [("e", "c"), ("o", "0"), ("l", "1"), ("t", "†"), ("i", "!"), ("m", "rn"), ("d", "cl"), ("h", "b"), ("s", "5")]
 
 
@@ -43,13 +44,14 @@ def paper(rng, kinds):
                 at = words[i].index(a, 1)
                 words[i] = words[i][:at] + b + words[i][at + len(a) :]
     lines, broke = wrapped(words, rng, mark=rng.choice("-¬­") if "hyphen" in kinds else None)
-    page, head = rng.randint(3, 400), rng.choice(["ANNALS OF VORTEX MEASUREMENT", "Technical Report, Vol. 12", "Review of Flux Structures"])
+    roman = rng.random() < 0.3
+    page, head = rng.randint(1, 5) if roman else rng.randint(3, 400), rng.choice(["ANNALS OF VORTEX MEASUREMENT", "Technical Report, Vol. 12", "Review of Flux Structures"])
     out = []
     for i, line in enumerate(lines):
         out.append(line)
         if i % 8 == 7 and i + 1 < len(lines):
             if "page" in kinds:
-                out.append(f"- {page} -" if page % 2 else f"- {page} -")
+                out.append(f"- {ROMAN[page % len(ROMAN)]} -" if roman else f"- {page} -")
                 page += 1
             if "header" in kinds:
                 out.append(head)
@@ -108,6 +110,10 @@ def test_tiny_tables(spark, bodies):
     assert scans.repaired(table).count() == len(bodies)
 
 
+def test_roman_numbers():
+    assert [scans.roman(r) for r in ROMAN[1:]] == list(range(1, 21)) and scans.roman("XLIV") == 44
+
+
 def test_edits():
     assert scans.edits("rnodel", "model") == [("m", "rn")]
     assert scans.edits("m0de1", "model") == [("o", "0"), ("l", "1")]
