@@ -19,7 +19,8 @@ def test_water_fill(sources, total):
     caps = {str(i): c for i, (_, c) in enumerate(sources)}
     out = mixing.water_fill(weights, caps, total)
     assert all(-1e-9 <= out[s] <= caps[s] + 1e-6 for s in out)
-    weights = {s: w if w >= 1e-12 * max(weights.values()) else 0.0 for s, w in weights.items()}
+    most = max(weights.values()) or 1.0  # tiny weights would overflow the ratios below
+    weights = {s: w / most if w / most >= 1e-12 else 0.0 for s, w in weights.items()}
     reachable = sum(caps[s] for s in caps if weights[s] > 0)
     assert sum(out.values()) == pytest.approx(min(total, reachable), abs=1e-6)
     below = [out[s] / weights[s] for s in out if weights[s] > 0 and 0 < out[s] < caps[s] - 1e-6]
