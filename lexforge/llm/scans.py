@@ -48,7 +48,7 @@ _PAGE = re.compile(r"^(?:page|p\.?|pg\.?|s\.)?[\s\-–—\[(|.]*(?:\d{1,5}|[ivxl
 
 def roman(numeral: str) -> int:
     """The number of a Roman numeral, however it is put together."""
-    values = ["ivxlc".index(c) for c in numeral.lower()]
+    values = ["ivxlc".index(c) for c in numeral.lower() if c in "ivxlc"]  # _NUMBER also takes a dotted or dotless i
     worth = [(1, 5, 10, 50, 100)[v] for v in values]
     return sum(-w if w < after else w for w, after in zip(worth, [*worth[1:], 0]))
 
@@ -149,16 +149,39 @@ def line_classifier(bodies: list[str]) -> Boosted:
     return Boosted().fit(x, y)
 
 
-_ANY_PAGE = re.compile(_PAGE.pattern.replace("^", r"^[ \t\x0c]*", 1).replace(r"\s", r"[ \t]").replace("[[ \\t]", "[ \\t").replace("$", r"[ \t\x0c]*$"), re.I | re.M)
-_ROUGH = {ord(c): None for c in "0123456789 \t\x0c.,;:!?()[]{}'\"-–—|/†"} | str.maketrans("cbiɑ", "ehla")
+#: White space but for the line end, as strip() and \s know it.
+_GAPS = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c != "\n")
+_ANY_PAGE = re.compile(_PAGE.pattern.replace("^", f"^[{_GAPS}]*", 1).replace(r"[\s", f"[{_GAPS}").replace(r"\s", f"[{_GAPS}]").replace("$", f"[{_GAPS}]*$"), re.I | re.M)
+#: What is left of a line for :func:`_rough`: the letters that neither a digit nor a Roman numeral can stand for.
+_ROUGH, _LEFT_OUT = bytes.maketrans(b"b", b"h"), bytes(c for c in range(128) if chr(c) not in "abdfghjkmnpqrstuwyz\n")
+
+
+def _rough(body: str) -> list[bytes]:
+    """A key of each line at least as coarse as :func:`_like`: lines alike by that one have the same key here."""
+    return body.lower().replace("ɑ", "a").encode("ascii", "ignore").translate(_ROUGH, _LEFT_OUT).split(b"\n")
 
 
 def may_have_furniture(body: str) -> bool:
-    """False where no line has the form of a page number, no page ends and no two lines are alike but for signs and digits."""
+    """False only where :func:`line_features` finds no line that may be furniture: none has the form of a page number and no two are alike.
+
+    Lines are compared by a rough key first and only those that share it by :func:`_like`.
+    """
     if "\x0c" in body or _ANY_PAGE.search(body):
         return True
-    keys = [k for x in body.lower().split("\n") if len(x) < 90 and len(k := x.translate(_ROUGH)) > 3]
-    return len(set(keys)) < len(keys)
+    groups: dict[bytes, list[str]] = defaultdict(list)
+    for key, line in zip(_rough(body), body.split("\n")):
+        if line.strip():
+            groups[key].append(line)
+    short: dict[str, bool] = {}
+    for own in groups.values():
+        if len(own) > 1:
+            for x in map(Line, own):
+                k = _like(x.shape)
+                if len(k) > 3:
+                    if k in short and (short[k] or len(x.text) < 90):
+                        return True
+                    short[k] = short.get(k, False) or len(x.text) < 90
+    return False
 
 
 def furniture(raws: list[list[str]], model: Boosted) -> list[tuple[list[Line], np.ndarray, set[str]]]:

@@ -103,6 +103,35 @@ def test_text_is_repaired(spark):
         assert sum(w not in clean for w in words) <= 0.03 * len(words)
 
 
+HEADS = [("0N THE SHAPE OF WAVES", "ON THE SHAPE OF WAVES"), ("JOURNAL OF OPTICS xii", "JOURNAL OF OPTICS xiii"), ("LICE OX VEIL", "LICE  OX VEIL"), ("BASIC CELLS", "8ASIC CELLS"), (" " * 90 + "Annals of Flux", "Annals of Flux"), ("12\r", "a line\r"), ("\xa0- 7 -\u2003", "more")]
+
+
+@pytest.mark.parametrize("first, second", HEADS)
+def test_the_prefilter_lets_through_what_the_classifier_may_judge(first, second):
+    body = "\n".join(["Waves were measured in the chan-", first, "nel without a pause and", "", "", "then compu-", second, "ted again."])
+    assert scans.line_features(body.split("\n"))[2].any() == scans.may_have_furniture(body) == (second != "8ASIC CELLS")
+
+
+def test_the_prefilter_is_the_classifiers_own_test():
+    rng = random.Random(5)
+    words = ["0N", "ON", "xii", "XIV", "of", "0f", "cell", "ce11", "ɑlpha", "alpha", "b0y", "hoy", "5 8", "!", "†", "İ", "ill", "-", "\xa0", "x" * 80, "1" * 80]
+    for _ in range(20000):
+        body = "\n".join(" ".join(rng.choices(words, k=rng.randint(0, 4))) for _ in range(rng.randint(1, 5)))
+        assert scans.may_have_furniture(body) == bool(scans.line_features(body.split("\n"))[2].any()), body
+
+
+def test_headers_misread_in_their_letters_are_found_and_taken_out():
+    """p6_found and p6_text: the only marks of the header are a digit read for a letter or a Roman number."""
+    rng = random.Random(2)
+    for first, second in HEADS[:2]:
+        bodies = ["\n".join(x if i % 8 else f"{x}\n{second if i else first}" for i, x in enumerate(wrapped(rng.choices(STOCK, k=80), rng)[0])) for _ in range(30)]
+        model = scans.line_classifier(bodies)
+        judged = [list(scans._judged_lines(model)(iter([scans.pa.RecordBatch.from_arrays([scans.pa.array(["a"]), scans.pa.array([body])], ["paper_id", "body"])])))[0].column(1).to_pylist() for body in bodies]
+        found = [scans.furniture([body.split("\n")], model)[0][2] for body in bodies]
+        assert [set(k) - {"break"} for k in judged] == found
+        assert sum("header" in k for k in found) > 25
+
+
 @pytest.mark.parametrize("bodies", [[], [None], ["one line"], ["12"], ["a-\nb", "5"]])
 def test_tiny_tables(spark, bodies):
     table = papers(spark, [{"paper_id": str(i), "body": b} for i, b in enumerate(bodies)])
