@@ -246,15 +246,27 @@ def typed_names(papers: DataFrame) -> DataFrame:
     return author.select(name.alias("name")).where(F.length(F.trim("name")) > 0).distinct().select(F.monotonically_increasing_id().alias("id"), "name")
 
 
-def _blocks(parts: DataFrame) -> DataFrame:
-    """(block, id): the suffixes of every name's tokens, refined where they are common."""
+def _initials(comparer: Comparer) -> list[tuple[str, list[str]]]:
+    """(short form, the first letters of it and of the names it stands for) of every familiar form."""
+    return [(short, sorted({x[0] for x in comparer.forms(short) if x})) for short in comparer.formal if short]
+
+
+def _blocks(parts: DataFrame, comparer: Comparer) -> DataFrame:
+    """(block, id): the suffixes of every name's tokens, refined where they are common.
+
+    A name is in the refined blocks of the first letters of all forms of its given name, as any of them may be the one another name has.
+    """
     token = parts.select("id", "kind", "family", F.coalesce(F.get("given", F.lit(0)), F.get("tokens", F.lit(0)), F.lit("")).alias("first"), F.explode(F.array_distinct("tokens")).alias("token"))
     ends = F.sequence(F.lit(0), F.greatest(F.length("token") - SHORTEST, F.lit(0)))
     suffix = token.select("*", F.explode(F.transform(ends, lambda i: F.struct(F.substring(F.col("token"), i + 1, F.lit(1000)).alias("s"), (i == 0).alias("whole")))).alias("x")).select("id", "family", "first", "token", F.col("x.s").alias("suffix"), F.col("x.whole").alias("whole")).where(F.length("suffix") >= 3)
-    first_letter, head = F.substring("first", 1, 1), F.substring(F.when(F.length("family") > 0, F.col("family")).otherwise(F.col("first")), 1, 3)
-    levels = [F.concat_ws("|", F.lit("0"), "suffix"), F.concat_ws("|", F.lit("1"), "suffix", first_letter), F.concat_ws("|", F.lit("2"), "suffix", first_letter, head)]
+    initials = parts.sparkSession.createDataFrame(_initials(comparer), "first string, initials array<string>")
+    suffix = suffix.join(F.broadcast(initials), "first", "left").withColumn("initials", F.coalesce("initials", F.array(F.substring("first", 1, 1))))
+    head = F.substring(F.when(F.length("family") > 0, F.col("family")).otherwise(F.col("first")), 1, 3)
+    levels = [F.concat_ws("|", F.lit("0"), "suffix"), F.concat_ws("|", F.lit("1"), "suffix", "initial"), F.concat_ws("|", F.lit("2"), "suffix", "initial", head)]
     kept, rest = [], suffix
     for level, key in enumerate(levels):
+        if level == 1:
+            rest = rest.withColumn("initial", F.explode("initials"))
         keyed = rest.withColumn("block", key)
         sizes = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
         joined = keyed.join(sizes, "block")
@@ -284,13 +296,14 @@ def linked_names(papers: DataFrame, given_names: DataFrame) -> DataFrame:
     own = counted.select("id", "token").distinct().join(stats, "token").groupBy("id").agg(F.collect_list(F.struct("token", "share", "n")).alias("known"))  # the tokens of one name
     parts = cut(names.join(own, "id", "left").select("id", "name", "known").mapInArrow(_parsed, _PARTS))
 
-    block = cut(_blocks(parts))
-    a, b = block.withColumnRenamed("id", "a"), block.withColumnRenamed("id", "b")
-    pairs = a.join(b, "block").where("a < b").select("a", "b").distinct()
     forms = [tuple(r) for r in given_names.select("given_name", "short_form").distinct().limit(100_001).collect()]
     if len(forms) > 100_000:
         raise ValueError("given_names is no small table")
 
+    block = cut(_blocks(parts, Comparer(forms)))
+    a, b = block.withColumnRenamed("id", "a"), block.withColumnRenamed("id", "b")
+    pairs = a.join(b, "block").where("a < b").select("a", "b").distinct()
+
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         comparer = Comparer(forms)
         for batch in batches:

@@ -71,6 +71,17 @@ def test_common_suffixes_are_refined(spark, monkeypatch):
     assert expected <= found
 
 
+def test_short_forms_meet_in_a_crowd_of_one_family_name(spark):
+    """More names of one family than a block may hold, in every letter: a short form still meets its formal name."""
+    short = [("Robert", "Bob"), ("William", "Bill"), ("Margaret", "Peggy")]
+    crowd = [(a + v + "gulno" + b, "Smith") for a in "BRWMP" for v in "aeiou" for b in "fkp"]
+    own = [*crowd, *[(g, "Smith") for pair in short for g in pair], ("B.", "Smith"), ("R.", "Smith")]
+    assert len(own) > names.COMMON
+    found = {tuple(r) for r in names.linked_names(authors(spark, own), forms(spark, short)).collect()}
+    assert {tuple(sorted((f"{a} Smith", f"{b} Smith"))) for a, b in [*short, ("R.", "Bob"), ("B.", "Bob"), ("R.", "Robert")]} <= found
+    assert ("B. Smith", "Robert Smith") not in found
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("abcd", max_size=12), st.text("abcd", max_size=12))
 def test_common_subsequence(a, b):
