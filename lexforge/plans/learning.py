@@ -160,13 +160,28 @@ def recommend_svm(spark, folder):
 
 
 def _lists(spark, folder):
-    """The embeddings of a label as one list, better the smaller the id; twelve of each."""
+    """The embeddings of a label as one list, better the smaller the id; twelve of each, as in the SQL."""
     from pyspark.sql import Window
 
     own = table(spark, folder, "embeddings").withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where("r <= 12")
     return own.select(F.col("label").alias("qid"), F.col("vec_id").alias("doc"), (13 - F.col("r")).alias("target"))
 
 
+#: Rows a list is meant to hold; a label with more is split into lists by the hash of the id, so that pairs grow with the rows.
+LIST = 100
+
+
+def _whole_lists(spark, folder):
+    """Every embedding in one list of its label, better the smaller the id; qid is the label where it is not split."""
+    from pyspark.sql import Window
+
+    own = table(spark, folder, "embeddings").select("vec_id", "label")
+    sizes = own.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / LIST).alias("lists"))
+    span = (own.agg(F.max("label")).first()[0] or 0) + 1
+    split = own.join(sizes, "label").withColumn("qid", F.col("label") + span * F.pmod(F.xxhash64("vec_id"), F.col("lists")))
+    return split.select("qid", F.col("vec_id").alias("doc"), F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("vec_id"))).alias("target"))
+
+
 def _features(spark, folder):
     return _embeddings(spark, folder).select(F.col("id").alias("doc"), "v")
 
@@ -177,14 +192,14 @@ def svm_rank_pairs(spark, folder):
 
 
 def svm_rank_scores(spark, folder):
-    model = ranking.rank_machine(ranking.rank_pairs(_lists(spark, folder), _features(spark, folder)))
-    rows = _lists(spark, folder).join(_features(spark, folder), "doc")
+    model = ranking.rank_machine(ranking.rank_pairs(_whole_lists(spark, folder), _features(spark, folder)))
+    rows = _whole_lists(spark, folder).join(_features(spark, folder), "doc")
     return rows.select("qid", "doc", F.round(recommend.margin(F.col("v"), model), 6).alias("score"))
 
 
 def svm_rank_lines(spark, folder):
-    rows = _lists(spark, folder).join(_features(spark, folder), "doc")
-    return rows.select("qid", "doc", ranking.svm_rank_line(F.col("target"), F.col("qid"), F.slice("v", 1, 4)).alias("line"))
+    rows = _whole_lists(spark, folder).join(_features(spark, folder), "doc")
+    return rows.select("qid", "doc", ranking.svm_rank_line(F.col("target"), F.col("qid"), F.col("v")).alias("line"))
 
 
 def _relevant(spark, folder):

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexforge.operators import ranking, recommend
+from lexforge.plans import learning
 
 
 def test_fitness(spark):
@@ -99,3 +100,20 @@ def test_recommendations_from_terms_and_history(spark):
     assert recommend.recommend_to(3, history, vectors, paragraph, terms).count() == 0
     near = {(r["user_id"], r["doc_id"]) for r in recommend.history_candidates(history, vectors, paragraph, 4, 2).collect()}
     assert near and {u for u, _ in near} == {1}
+
+
+def test_every_embedding_is_ranked_with_all_its_features(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(i, int(i >= 250), [float(x) for x in rng.normal(size=64) + (i % 50) / 50]) for i in range(270)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    scores = learning.svm_rank_scores(spark, str(tmp_path)).collect()
+    lines = {r["doc"]: r for r in learning.svm_rank_lines(spark, str(tmp_path)).collect()}
+    assert sorted(r["doc"] for r in scores) == sorted(lines) == list(range(270))
+    assert all(len(r["line"].split("  ")[1].split()) == 64 for r in lines.values())
+    lists = {}
+    for doc, r in lines.items():
+        lists.setdefault(r["qid"], []).append((int(r["line"].split()[0]), doc))
+    assert sorted(lists[1]) == [(20 - k, 250 + k) for k in reversed(range(20))]
+    for qid, own in lists.items():
+        assert len({doc >= 250 for _, doc in own}) == 1 and len(own) < 2 * learning.LIST
+        assert [t for t, _ in sorted(own)] == list(range(1, len(own) + 1)) and [d for _, d in sorted(own)] == sorted((d for _, d in own), reverse=True)
