@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,6 +94,29 @@ def recommend(user_rows: DataFrame, vectors: DataFrame, n: int = 20, offset: int
     return rows.where("label = 0").select("doc_id", margin(F.col("v"), model).alias("score")).orderBy(F.desc(F.round("score", 6)), "doc_id").offset(offset).limit(n)
 
 
+def recommend_all(user_rows: DataFrame, vectors: DataFrame, n: int = 20) -> DataFrame:
+    """(user_id, doc_id, score): the n best of :func:`recommend` for every user of the training sets (user_id, doc_id, label).
+
+    A machine is trained for each user, four at a time; the driver gets the coefficients only.
+    """
+    from ..session import cut
+
+    spark = user_rows.sparkSession
+    rows = cut(user_rows.join(vectors, "doc_id").where("v is not null").select("user_id", "doc_id", "label", as_double(F.col("v")).alias("v")))
+    both = rows.groupBy("user_id").agg(F.count_distinct("label").alias("labels")).where("labels > 1")
+    users = sorted(r["user_id"] for r in both.collect())
+
+    def trained(user) -> tuple:
+        model = linear_svm(rows.where(F.col("user_id") == user).coalesce(1))
+        return user, [float(x) for x in model.coefficients], float(model.intercept)
+
+    with ThreadPoolExecutor(4) as pool:
+        models = spark.createDataFrame(list(pool.map(trained, users)), "user_id long, w array<double>, b double")
+    scored = rows.where("label = 0").join(models, "user_id").select("user_id", "doc_id", (dot(F.col("v"), F.col("w")) + F.col("b")).alias("score"))
+    order = Window.partitionBy("user_id").orderBy(F.desc(F.round("score", 6)), "doc_id")
+    return scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= n).drop("r")
+
+
 def history_candidates(history: DataFrame, vectors: DataFrame, paragraph: DataFrame, n: int = 20, seeds: int = 5, window: int = 100) -> DataFrame:
     """(user_id, doc_id): n documents related to each of a few of a user's recent documents.
 

@@ -117,3 +117,20 @@ def test_every_embedding_is_ranked_with_all_its_features(spark, tmp_path):
     for qid, own in lists.items():
         assert len({doc >= 250 for _, doc in own}) == 1 and len(own) < 2 * learning.LIST
         assert [t for t, _ in sorted(own)] == list(range(1, len(own) + 1)) and [d for _, d in sorted(own)] == sorted((d for _, d in own), reverse=True)
+
+
+def test_recommendations_for_every_fiftieth_user_from_all_documents(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    vectors = [(i, 0, [float(x) for x in rng.normal(size=64) + (1 if i >= 500 else -1)]) for i in range(600)]
+    spark.createDataFrame(vectors, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    events = [(500 + 7 * k % 100, user) for user in (0, 50, 51) for k in range(user // 50, 12)]
+    spark.createDataFrame(events, "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    found = learning.recommend_svm(spark, str(tmp_path)).collect()
+    assert {r["user_id"] for r in found} == {0, 50} and len(found) == 40
+    assert any(r["doc_id"] >= 500 for r in found)
+    items, history = spark.range(600).withColumnRenamed("id", "doc_id"), spark.createDataFrame([(50, d) for d in {e for e, u in events if u == 50}], "user_id long, doc_id long")
+    candidates = history.select("user_id", (F.col("doc_id") * 7 % 600).alias("doc_id"))
+    rows = recommend.training_set(history, candidates, items, history.select("user_id").distinct(), 100)
+    paragraph = spark.createDataFrame([(i, v) for i, _, v in vectors], "doc_id long, v array<float>")
+    alone = [(r["doc_id"], pytest.approx(r["score"], abs=1e-4)) for r in recommend.recommend(rows.select("doc_id", "label"), paragraph, 20).collect()]
+    assert sorted(alone, key=lambda x: x[0]) == sorted((r["doc_id"], r["score"]) for r in found if r["user_id"] == 50)
