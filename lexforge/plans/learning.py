@@ -239,7 +239,7 @@ def weight_grid_fitness(spark, folder):
 
 
 def weight_evolution(spark, folder):
-    best = ranking.evolve_weights(_partial(spark, folder).withColumn("score", F.round("score", 9)), _relevant(spark, folder), {t: 0.2 for t in range(1, 6)}, rounds=3)
+    best = ranking.evolve_weights(_partial(spark, folder).withColumn("score", F.round("score", 9)), _relevant(spark, folder), {t: 0.2 for t in range(1, 6)})
     rows = [(i, t, round(w, 6), round(f, 6)) for i, (f, own) in enumerate(best) for t, w in own.items()]
     return spark.createDataFrame(rows, "place int, doc_type int, weight double, fitness double")
 

@@ -1,3 +1,4 @@
+import inspect
 import math
 
 import numpy as np
@@ -134,3 +135,20 @@ def test_recommendations_for_every_fiftieth_user_from_all_documents(spark, tmp_p
     paragraph = spark.createDataFrame([(i, v) for i, _, v in vectors], "doc_id long, v array<float>")
     alone = [(r["doc_id"], pytest.approx(r["score"], abs=1e-4)) for r in recommend.recommend(rows.select("doc_id", "label"), paragraph, 20).collect()]
     assert sorted(alone, key=lambda x: x[0]) == sorted((r["doc_id"], r["score"]) for r in found if r["user_id"] == 50)
+
+
+def test_weight_evolution_runs_all_rounds(spark, monkeypatch):
+    asked = []
+    whole = inspect.signature(ranking.evolve_weights)
+
+    def evolve(*args, **named):
+        bound = whole.bind(*args, **named)
+        bound.apply_defaults()
+        asked.append(bound.arguments["rounds"])
+        return [(1.0, bound.arguments["start"])]
+
+    monkeypatch.setattr(ranking, "evolve_weights", evolve)
+    monkeypatch.setattr(learning, "_partial", lambda s, f: s.createDataFrame([], "query_id long, doc long, doc_type int, score double"))
+    monkeypatch.setattr(learning, "_relevant", lambda s, f: s.createDataFrame([], "query_id long, doc long"))
+    assert learning.weight_evolution(spark, "").count() == 5
+    assert asked == [40]
