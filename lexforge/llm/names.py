@@ -1,8 +1,7 @@
 """Which typed names mean the same person or organisation.
 
 Suffix blocking: every suffix of a name's tokens from ``SHORTEST`` letters on is a block; a suffix
-that too many names have is refined with other fields of the name, and only dropped if even that
-leaves too many. Names that share a block are compared by the ratio of their longest common
+that too many names have is refined with other fields of the name and never dropped. Names that share a block are compared by the ratio of their longest common
 subsequence, part by part.
 """
 
@@ -20,7 +19,7 @@ from ..session import cut
 from .links import components
 
 SHORTEST = 4
-#: Names a block may hold before its suffix is refined, and before a refined one is dropped for all but whole tokens.
+#: Names a block may hold before its suffix is refined.
 COMMON = 64
 SURNAME_RATIO, GIVEN_RATIO = 0.84, 0.74
 
@@ -258,7 +257,7 @@ def _blocks(parts: DataFrame, comparer: Comparer) -> DataFrame:
     """
     token = parts.select("id", "kind", "family", F.coalesce(F.get("given", F.lit(0)), F.get("tokens", F.lit(0)), F.lit("")).alias("first"), F.explode(F.array_distinct("tokens")).alias("token"))
     ends = F.sequence(F.lit(0), F.greatest(F.length("token") - SHORTEST, F.lit(0)))
-    suffix = token.select("*", F.explode(F.transform(ends, lambda i: F.struct(F.substring(F.col("token"), i + 1, F.lit(1000)).alias("s"), (i == 0).alias("whole")))).alias("x")).select("id", "family", "first", "token", F.col("x.s").alias("suffix"), F.col("x.whole").alias("whole")).where(F.length("suffix") >= 3)
+    suffix = token.select("*", F.explode(F.transform(ends, lambda i: F.substring(F.col("token"), i + 1, F.lit(1000)))).alias("suffix")).select("id", "family", "first", "token", "suffix").where(F.length("suffix") >= 3)
     initials = parts.sparkSession.createDataFrame(_initials(comparer), "first string, initials array<string>")
     suffix = suffix.join(F.broadcast(initials), "first", "left").withColumn("initials", F.coalesce("initials", F.array(F.substring("first", 1, 1))))
     head = F.substring(F.when(F.length("family") > 0, F.col("family")).otherwise(F.col("first")), 1, 3)
@@ -271,7 +270,7 @@ def _blocks(parts: DataFrame, comparer: Comparer) -> DataFrame:
         sizes = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
         joined = keyed.join(sizes, "block")
         last = level == len(levels) - 1
-        fits = (F.col("n") <= COMMON) | (F.col("whole") if last else F.lit(False))
+        fits = F.lit(True) if last else F.col("n") <= COMMON
         kept.append(joined.where(fits & (F.col("n") > 1)).select("block", "id"))
         rest = joined.where(F.col("n") > COMMON).drop("block", "n")
     out = kept[0]

@@ -82,6 +82,15 @@ def test_short_forms_meet_in_a_crowd_of_one_family_name(spark):
     assert ("B. Smith", "Robert Smith") not in found
 
 
+def test_a_proper_suffix_of_a_crowd_is_not_dropped(spark, monkeypatch):
+    """Two misspellings share only a suffix that more names of the same initial and head have than a block may hold."""
+    monkeypatch.setattr(names, "COMMON", 8)
+    crowd = [("Olga", f"Kar{a}u{b}ivanenko") for a in "bdfgknp" for b in "tdp"]
+    own = [*crowd, ("Olga", "Karmolivanenko"), ("O.", "Karmoivanenko")]
+    found = {tuple(r) for r in names.linked_names(authors(spark, own), forms(spark)).collect()}
+    assert ("O. Karmoivanenko", "Olga Karmolivanenko") in found
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("abcd", max_size=12), st.text("abcd", max_size=12))
 def test_common_subsequence(a, b):
