@@ -17,7 +17,7 @@ from .papers import one_per_paper
 WIDTH = 64
 #: The tree is fitted on at most so many vectors, those of the lowest hash; all vectors are indexed.
 SAMPLE = 20_000
-#: Queries, those of the next hashes, whose true neighbours say how many leaves a search must visit.
+#: Queries, those of the next hashes (of the last where no more are there), whose true neighbours say how many leaves a search must visit.
 CALIBRATION = 256
 BRANCHES = 8
 #: Vectors a leaf is meant to hold, and that one cell of a crowded leaf holds at most.
@@ -279,6 +279,14 @@ def _compare(k: int):
     return run
 
 
+def fitted_and_asking(sample: list) -> tuple[list, list]:
+    """The vectors the tree is fitted on and the calibration queries, which are others where there are more than ``SAMPLE``."""
+    if len(sample) <= SAMPLE:
+        return sample, sample[-CALIBRATION:]
+    n = max(len(sample) - CALIBRATION, min(SAMPLE, len(sample) // 2))
+    return sample[:n], sample[n:]
+
+
 def neighbours(papers: DataFrame, k: int = 5, recall: float = 0.997) -> DataFrame:
     """(paper_id, rank, neighbour_id, similarity): the k papers of the nearest vectors by cosine, ties to the smaller id.
 
@@ -299,11 +307,13 @@ def neighbours(papers: DataFrame, k: int = 5, recall: float = 0.997) -> DataFram
     classes = cut(lists.join(vectors, "content").withColumn("id", F.monotonically_increasing_id()))
 
     total = classes.count()
-    ordered = classes.select("id", "vector", F.xxhash64("content").alias("h")).orderBy("h", "id").limit(SAMPLE)
-    sample = ordered.select("id", "vector").collect()  # at most SAMPLE rows
-    rows = unit_rows(np.array([r["vector"] for r in sample]).reshape(-1, WIDTH))
+    ordered = classes.select("id", "vector", F.xxhash64("content").alias("h")).orderBy("h", "id").limit(SAMPLE + CALIBRATION)
+    fitted, queries = fitted_and_asking(ordered.select("id", "vector").collect())  # at most SAMPLE + CALIBRATION rows
+    rows = unit_rows(np.array([r["vector"] for r in fitted]).reshape(-1, WIDTH))
     tree = Tree(rows, total)
-    visits = calibrated_visits(tree, classes, sample[-CALIBRATION:], recall, k)
+    visits = calibrated_visits(tree, classes, queries, recall, k)
+    if len(fitted) < total:  # few queries measure roughly: the more careful of two measures is taken
+        visits = max(visits, calibrated_visits(tree, classes, fitted[-CALIBRATION:], recall, k))
     placed = cut(classes.select("id", "vector").mapInArrow(_placed(tree, visits), "id long, vector array<float>, leaf int, visits array<int>"))
 
     # A row per leaf reaches the driver: its vectors, and the searches that visit it.

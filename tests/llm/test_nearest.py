@@ -41,6 +41,30 @@ def test_recall_against_brute_force(spark, monkeypatch, leaf):
     assert len(found & true) >= (1 if leaf > 100 else 0.95) * len(true)
 
 
+@pytest.mark.parametrize("n, fitted, asking", [(30, 30, 20), (110, 90, 20), (200, 100, 20)])
+def test_calibration_queries_are_not_fitted_where_there_are_others(spark, monkeypatch, n, fitted, asking):
+    monkeypatch.setattr(nearest, "SAMPLE", 100)
+    monkeypatch.setattr(nearest, "CALIBRATION", 20)
+    seen = {}
+    tree, visits = nearest.Tree, nearest.calibrated_visits
+
+    def fit(sample, total):
+        seen["fitted"] = sample
+        return tree(sample, total, 10)
+
+    def calibrate(made, classes, queries, *rest):
+        seen.setdefault("asking", nearest.unit_rows(np.array([q["vector"] for q in queries])))
+        return visits(made, classes, queries, *rest)
+
+    monkeypatch.setattr(nearest, "Tree", fit)
+    monkeypatch.setattr(nearest, "calibrated_visits", calibrate)
+    rng = np.random.default_rng(8)
+    assert nearest.neighbours(papers(spark, [row(i, rng.normal(size=64)) for i in range(n)])).count() == 5 * n
+    assert (len(seen["fitted"]), len(seen["asking"])) == (fitted, asking)
+    both = {x.tobytes() for x in seen["fitted"]} & {x.tobytes() for x in seen["asking"]}
+    assert len(both) == (20 if n <= 100 else 0)
+
+
 def test_copies_and_unusable_vectors(spark):
     rng = np.random.default_rng(4)
     same = rng.normal(size=64)
