@@ -26,19 +26,57 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     )
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read back from the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that every executor reaches: the cluster's ``spark.checkpoint.dir``.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset (tests, one
-    machine) is a temporary one made. Reliable checkpoints survive the loss of an executor.
+    Only on one machine, where that setting is missing, a temporary folder stands in; elsewhere its
+    absence is an error, as a machine-local folder would lose or hide files.
     """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "lexforge-checkpoints"))
+    context = spark.sparkContext
+    known = context._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "lexforge-checkpoints"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and read back from the shared folder. Reliable checkpoints survive the loss of an executor."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is never broadcast by an estimate.
+
+    Estimates don't know how many rows come out of ``explode`` or of a Python function, so a side
+    that stems from one is joined by shuffle; adaptive execution still splits its skewed partitions.
+    """
+    return df.hint("merge")
+
+
+def first_rows(ordered: DataFrame, n: int) -> list:
+    """The first ``n`` rows of an ordered DataFrame. The partitions' own first rows meet in one task; only ``n`` rows reach the driver."""
+    return cut(ordered.limit(n)).collect()
+
+
+def hashed_sample(rows: DataFrame, total: int, n: int, *keys: str) -> list:
+    """``n`` of the ``total`` rows, those of the lowest hash of ``keys``, all rows if there are no more.
+
+    Rows are left out by their hash in the scan, so about ``1.3 * n`` move however many there are.
+    """
+    from pyspark.sql import functions as F
+
+    h = F.xxhash64(*keys)
+    if total > 2 * n:
+        share = min(1.0, 1.3 * n / total + 40 / total)
+        rows = rows.where(F.shiftrightunsigned(h, 1) < int(share * (1 << 63)))
+    return first_rows(rows.orderBy(h, *keys), n)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -48,7 +86,7 @@ def broadcast_if_small(df: DataFrame, most: int = 200_000) -> DataFrame:
     from pyspark.sql import functions as F
 
     kept = cut(df)
-    return F.broadcast(kept) if kept.count() <= most else kept
+    return F.broadcast(kept) if kept.count() <= most else by_shuffle(kept)
 
 
 def spread(scan: DataFrame, key: str) -> DataFrame:
