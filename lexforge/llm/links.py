@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import by_shuffle, cut
 
 
 def _stars(edges: DataFrame, smaller: bool) -> DataFrame:
@@ -18,7 +18,7 @@ def _stars(edges: DataFrame, smaller: bool) -> DataFrame:
     else:
         about = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = about.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    joined = about.join(least, "a")
+    joined = about.join(by_shuffle(least), "a")
     if smaller:
         moved = joined.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
     else:

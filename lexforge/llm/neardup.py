@@ -4,7 +4,8 @@ Anchor-point covering. The fingerprint of a text is a word of ``M`` symbols of a
 the minimum of its triples under another hash, so two texts differ in about (1 - similarity) * M
 symbols. The anchors are the codewords of the Reed-Solomon code of dimension ``K`` over that field,
 whose covering radius is M - K: any K symbols lie on one codeword. A fingerprint is sent to every
-anchor within that radius, so fingerprints at a distance up to M - K always meet at an anchor.
+anchor within that radius, so fingerprints at a distance up to M - K always meet at an anchor. What
+meets at an anchor is compared there by a 64-bit sketch; only the pairs that pass are shuffled.
 """
 
 from __future__ import annotations
@@ -15,11 +16,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.skew import heavy_keys
-from ..session import cut
+from ..session import broadcast_if_small, by_shuffle, cut, hashed_sample
 from .links import components
 from .papers import words_of
 
@@ -27,10 +27,16 @@ from .papers import words_of
 M, K = 12, 3
 PRIME = (1 << 31) - 1
 BINS = 64
-#: Bins of the sketch that may differ: at a similarity of one half 28 do, with a deviation of 4.
-MOST_DIFFERENT = 43
-#: Papers of one content that are all paired with each other and with as many of a linked content; further copies are linked to the first.
-SPREAD = 16
+#: Bits of the sketch that may differ: at a similarity of one half 16 do, with a deviation of 3.5.
+MOST_DIFFERENT = 28
+#: Fingerprints that are compared with each other at one anchor in one piece; those of a fuller anchor are spread over tiles of about this size.
+CROWD = 2048
+#: Fingerprints whose anchors are counted at the driver to know those that an anchor of at least PROBE_HITS of them would flood.
+PROBE, PROBE_HITS = 4000, 20
+#: Copies of a content that one tile of the pairs of papers holds.
+COPIES = 1024
+#: Pairs compared at once in memory.
+_AT_ONCE = 1 << 21
 #: Ids above this number aren't broadcast.
 BROADCAST_IDS = 1_000_000
 
@@ -81,15 +87,13 @@ def _symbols(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """Three bits of the least hash of each of 64 bins, as three words of 64 bits, (len(sets), 3)."""
+    """A bit of the least hash of each of 64 bins, as one word of 64 bits a set."""
     joined, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     # a set is sorted, so the first hash of a bin is its least
     cell = owner * BINS + (joined >> _U(58)).astype(np.int64)
     cells, first = np.unique(cell, return_index=True)
-    bits = _mixed(joined[first])
-    out = np.zeros((len(sets), 3), np.uint64)
-    for i in range(3):
-        np.bitwise_or.at(out[:, i], cells // BINS, ((bits >> _U(i)) & _U(1)) << (cells % BINS).astype(np.uint64))
+    out = np.zeros(len(sets), np.uint64)
+    np.bitwise_or.at(out, cells // BINS, (_mixed(joined[first]) & _U(1)) << (cells % BINS).astype(np.uint64))
     return out
 
 
@@ -105,14 +109,13 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             sets = [triples(t) for t in _text(part, 1)]
             some = [s for s in sets if len(s)]
             kept = np.array([bool(len(s)) for s in sets])
-            symbols, sketches, keys = np.zeros((len(sets), M), np.int32), np.zeros((len(sets), 3), np.int64), [None] * len(sets)
+            symbols, sketches, keys = np.zeros((len(sets), M), np.int32), np.zeros(len(sets), np.int64), [None] * len(sets)
             if some:
                 symbols[kept], sketches[kept] = _symbols(some).astype(np.int32), _sketches(some).view(np.int64)
                 for i in np.flatnonzero(kept):
                     keys[i] = xxhash.xxh3_128_digest(sets[i].tobytes())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * M), pa.array(symbols.ravel()))
-            arrays = [part.column(0), pa.array(keys, pa.binary()), lists, *(pa.array(sketches[:, i]) for i in range(3))]
-            yield pa.RecordBatch.from_arrays(arrays, ["paper_id", "content", "symbols", "s0", "s1", "s2"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), lists, pa.array(sketches)], ["paper_id", "content", "symbols", "sketch"])
 
 
 def _solutions() -> tuple[np.ndarray, np.ndarray]:
@@ -146,13 +149,92 @@ def anchors_of(symbols: np.ndarray) -> np.ndarray:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(anchor, id, sketch): every fingerprint at all its anchors."""
     for batch in batches:
-        ids = batch.column(0).to_numpy()
+        ids, sketches = batch.column(0).to_numpy(), batch.column(2).to_numpy()
         symbols = batch.column(1).flatten().to_numpy().reshape(-1, M)
         for start in range(0, len(ids), 512):
-            names = anchors_of(symbols[start : start + 512]).astype(np.int64)
-            own = np.repeat(ids[start : start + 512], names.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(names.ravel()), pa.array(own)], ["anchor", "id"])
+            part = slice(start, start + 512)
+            names = anchors_of(symbols[part]).astype(np.int64)
+            own, sketch = (np.repeat(x[part], names.shape[1]) for x in (ids, sketches))
+            yield pa.RecordBatch.from_arrays([pa.array(names.ravel()), pa.array(own), pa.array(sketch)], ["anchor", "id", "sketch"])
+
+
+def _close(ids: np.ndarray, sketches: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The pairs of rows whose sketches differ little, as pairs of ids, the smaller first, (n, 2)."""
+    near = np.bitwise_count((sketches[left] ^ sketches[right]).view(np.uint64)) <= MOST_DIFFERENT
+    pairs = np.stack([ids[left[near]], ids[right[near]]], axis=1)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    pairs.sort(axis=1)
+    return pairs
+
+
+def _within(ids: np.ndarray, sketches: np.ndarray, starts: np.ndarray, length: int) -> Iterator[np.ndarray]:
+    """Close pairs of each of the runs of one length that begin at ``starts``."""
+    i, j = np.triu_indices(length, 1)
+    step = max(1, _AT_ONCE // len(i))
+    for k in range(0, len(starts), step):
+        base = starts[k : k + step, None]
+        yield _close(ids, sketches, (base + i).ravel(), (base + j).ravel())
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprints in the order of their anchors, compared with those at the same anchor.
+
+    Rows (a, b) are close pairs. The fingerprints of an anchor with more than ``CROWD`` come out
+    again as rows (anchor, id, sketch), uncompared; no more than that many are ever held.
+    """
+
+    def out(pairs: list[np.ndarray], left: list[tuple]) -> pa.RecordBatch:
+        own = np.unique(np.concatenate([np.empty((0, 2), np.int64), *pairs]), axis=0)
+        anchor, ids, sketch = (np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*left) if left else [[]] * 3))
+        none = pa.nulls(len(own), pa.int64()), pa.nulls(len(ids), pa.int64())
+        columns = [(pa.array(own[:, 0]), none[1]), (pa.array(own[:, 1]), none[1]), (none[0], pa.array(anchor)), (none[0], pa.array(ids)), (none[0], pa.array(sketch))]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["a", "b", "anchor", "id", "sketch"])
+
+    held = [np.empty(0, np.int64)] * 3
+    crowded: int | None = None  # the anchor whose fingerprints are being passed on
+    for batch in _one_more(batches):
+        rows = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns)] if batch is not None else held
+        anchor, ids, sketch = rows
+        starts = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else np.empty(0, np.int64)
+        ends = np.append(starts[1:], len(anchor)).astype(np.int64)
+        pairs, left = [], []
+        if batch is not None and len(starts):  # the last run may go on
+            last = slice(starts[-1], None)
+            if ends[-1] - starts[-1] > CROWD or anchor[-1] == crowded:
+                crowded = int(anchor[-1])
+                held = [np.empty(0, np.int64)] * 3
+            else:
+                held = [x[last] for x in rows]
+                starts, ends = starts[:-1], ends[:-1]
+        lengths = ends - starts
+        passed = (lengths > CROWD) | (anchor[starts] == crowded if crowded is not None else False)
+        for s, e in zip(starts[passed], ends[passed]):
+            left.append((anchor[s:e], ids[s:e], sketch[s:e]))
+        for length in np.unique(lengths[~passed & (lengths > 1)]):
+            pairs += _within(ids, sketch, starts[~passed & (lengths == length)], int(length))
+        if pairs or left:
+            yield out(pairs, left)
+
+
+def _one_more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _compared_tiles(table: pa.Table) -> pa.Table:
+    """Close pairs of one tile with another, or within one."""
+    ids, sketches, own = (table[c].to_numpy() for c in ("id", "sketch", "own"))
+    lo, hi = (table[c][0].as_py() for c in ("lo", "hi"))
+    left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+    pairs = [np.empty((0, 2), np.int64)]
+    step = max(1, _AT_ONCE // max(1, len(right)))
+    for k in range(0, len(left), step):
+        some = left[k : k + step]
+        pairs.append(_close(ids, sketches, np.repeat(some, len(right)), np.tile(right, len(some))))
+    found = np.unique(np.concatenate(pairs), axis=0)
+    return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
 
 def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +247,7 @@ def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprints(papers: DataFrame) -> DataFrame:
-    """(paper_id, content, symbols, s0, s1, s2), a row per paper, that of its first harvest.
+    """(paper_id, content, symbols, sketch), a row per paper, that of its first harvest.
 
     ``content`` names the set of triples; it is null below three words. Copies of a paper are merged
     after the texts have been reduced to fingerprints, so no text is shuffled.
@@ -173,12 +255,49 @@ def fingerprints(papers: DataFrame) -> DataFrame:
     rows = papers.where(F.col("paper_id").isNotNull())
     tagged = rows.select(F.struct("paper_id", F.col("harvested_at").alias("at")).alias("key"), F.col("title").cast("string").alias("title"), F.col("body").cast("string").alias("body"))
     kind = tagged.schema["key"].dataType.simpleString()
-    made = tagged.mapInArrow(_fingerprints, f"paper_id {kind}, content binary, symbols array<int>, s0 long, s1 long, s2 long")
-    value = F.struct("content", "symbols", "s0", "s1", "s2")
+    made = tagged.mapInArrow(_fingerprints, f"paper_id {kind}, content binary, symbols array<int>, sketch long")
+    value = F.struct("content", "symbols", "sketch")
     first = made.groupBy("paper_id.paper_id").agg(F.min_by(value, F.struct(F.coalesce("paper_id.at", F.lit("9999-12-31").cast("timestamp_ntz")).cast("timestamp_ntz"), "content")).alias("v"))
     return first.select("paper_id", "v.*")
 
 
+def _flooded(classes: DataFrame, total: int) -> list[int]:
+    """Anchors that so many fingerprints of a bounded probe have that one task shouldn't even read them all."""
+    probe = hashed_sample(classes.select("id", "symbols"), total, PROBE, "id")
+    if not probe:
+        return []
+    names, times = np.unique(anchors_of(np.array([r["symbols"] for r in probe])), return_counts=True)
+    return [int(x) for x in names[(times >= PROBE_HITS) & (times / len(probe) * total > CROWD)]]
+
+
+def close_pairs(classes: DataFrame) -> DataFrame:
+    """(a, b), a < b: the ids of all fingerprints that meet at an anchor and have close sketches, each pair once.
+
+    Every fingerprint goes to all its anchors and is compared there. An anchor that holds more than
+    ``CROWD`` is taken apart into tiles by the number it holds, and tiles are compared with each
+    other by tasks of their own, so no pair is left out and no task gets a whole crowd.
+    """
+    spark = classes.sparkSession
+    met = classes.select("id", "symbols", "sketch").mapInArrow(_anchor_rows, "anchor long, id long, sketch long")
+    flooded = _flooded(classes, classes.count())
+    rest, crowds = met, []
+    if flooded:  # at most PROBE * anchors / PROBE_HITS
+        known = F.broadcast(spark.createDataFrame([(x,) for x in flooded], "anchor long"))
+        rest, crowds = met.join(known, "anchor", "left_anti"), [met.join(known, "anchor", "left_semi")]
+    found = cut(rest.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compared, "a long, b long, anchor long, id long, sketch long"))
+    pairs = found.where(F.col("a").isNotNull()).select("a", "b")
+    passed = found.where(F.col("id").isNotNull()).select("anchor", "id", "sketch")
+    if not passed.isEmpty():
+        crowds.append(passed)
+    for crowd in crowds:
+        sizes = crowd.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("tiles"))
+        own = crowd.join(broadcast_if_small(sizes), "anchor").withColumn("own", F.pmod(F.xxhash64("id"), "tiles").cast("int"))
+        tiled = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        tiled = tiled.select("anchor", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "sketch")
+        pairs = pairs.unionByName(tiled.groupBy("anchor", "lo", "hi").applyInArrow(_compared_tiles, "a long, b long"))
+    return pairs.distinct()
+
+
 def content_links(papers: DataFrame, similarity: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """Papers with the class of their content, and the links between classes.
 
@@ -188,62 +307,44 @@ def content_links(papers: DataFrame, similarity: float = 0.5) -> tuple[DataFrame
     triples is at least ``similarity``.
     """
     own = cut(fingerprints(papers))
-    classes = own.where(F.col("content").isNotNull()).groupBy("content").agg(F.min("paper_id").alias("first"), F.min_by(F.struct("symbols", "s0", "s1", "s2"), "paper_id").alias("v"))
+    classes = own.where(F.col("content").isNotNull()).groupBy("content").agg(F.min("paper_id").alias("first"), F.min_by(F.struct("symbols", "sketch"), "paper_id").alias("v"))
     classes = cut(classes.select(F.monotonically_increasing_id().alias("id"), "content", "first", "v.*"))
-    members = own.join(classes.select("content", "first"), "content", "left").select("paper_id", F.coalesce("first", "paper_id").alias("first"), F.col("content").isNotNull().alias("comparable"))
-
-    met = classes.select("id", "symbols").mapInArrow(_anchor_rows, "anchor long, id long")
-    crowded = heavy_keys(met, ["anchor"], 0.0005)["anchor"]
-    left, right, on = met, met, ["anchor"]
-    if crowded:  # a crowded anchor's fingerprints are spread over tiles on one side and repeated on the other
-        tiles = 64
-        hot = F.col("anchor").isin(crowded)
-        left = met.withColumn("tile", F.when(hot, F.pmod(F.xxhash64("id"), F.lit(tiles))).otherwise(F.lit(0).cast("long")))
-        right = met.withColumn("tile", F.explode(F.when(hot, F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))))
-        on = ["anchor", "tile"]
-    pairs = left.withColumnRenamed("id", "a").join(right.withColumnRenamed("id", "b"), on).where("a < b").select("a", "b").distinct()
-
-    sketch = classes.select("id", "s0", "s1", "s2")
-    x = sketch.select(F.col("id").alias("a"), *[F.col(f"s{i}").alias(f"x{i}") for i in range(3)])
-    y = sketch.select(F.col("id").alias("b"), *[F.col(f"s{i}").alias(f"y{i}") for i in range(3)])
-    different = F.bit_count(F.col("x0").bitwiseXOR(F.col("y0")).bitwiseOR(F.col("x1").bitwiseXOR(F.col("y1"))).bitwiseOR(F.col("x2").bitwiseXOR(F.col("y2"))))
-    close = cut(pairs.join(x, "a").join(y, "b").where(different <= MOST_DIFFERENT).select("a", "b"))
-
-    needed = cut(close.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "first"), "id"))
-    few = needed.count() <= BROADCAST_IDS
+    members = own.join(by_shuffle(classes.select("content", "first")), "content", "left").select("paper_id", F.coalesce("first", "paper_id").alias("first"), F.col("content").isNotNull().alias("comparable"))
+
+    close = cut(close_pairs(classes))
+    needed = cut(close.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(by_shuffle(classes.select("id", "first")), "id"))
     texts = papers.select("paper_id", F.col("title").cast("string").alias("title"), F.col("body").cast("string").alias("body"), "harvested_at")
     names = needed.select(F.col("first").alias("paper_id"), "id")
-    wanted = texts.join(F.broadcast(names) if few else names, "paper_id").select("id", "title", "body")
+    wanted = texts.join(F.broadcast(names) if needed.count() <= BROADCAST_IDS else by_shuffle(names), "paper_id").select("id", "title", "body")
     sets = cut(wanted.mapInArrow(_sets_of, "id long, triples array<long>").groupBy("id").agg(F.first("triples").alias("triples")))
-    both = close.join(sets.select(F.col("id").alias("a"), F.col("triples").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("triples").alias("tb")), "b")
+    x, y = (by_shuffle(sets.select(F.col("id").alias(i), F.col("triples").alias(t))) for i, t in (("a", "ta"), ("b", "tb")))
     common = F.size(F.array_intersect("ta", "tb"))
-    measured = both.select("a", "b", (common / (F.size("ta") + F.size("tb") - common)).alias("similarity")).where(F.col("similarity") >= similarity)
-    first = needed.select("id", "first")
-    named = measured.join(first.select(F.col("id").alias("a"), F.col("first").alias("fa")), "a").join(first.select(F.col("id").alias("b"), F.col("first").alias("fb")), "b")
+    measured = close.join(x, "a").join(y, "b").select("a", "b", (common / (F.size("ta") + F.size("tb") - common)).alias("similarity")).where(F.col("similarity") >= similarity)
+    x, y = (by_shuffle(needed.select(F.col("id").alias(i), F.col("first").alias(f))) for i, f in (("a", "fa"), ("b", "fb")))
+    named = measured.join(x, "a").join(y, "b")
     return members, named.select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b"), "similarity")
 
 
 def near_pairs(papers: DataFrame, similarity: float = 0.5) -> DataFrame:
-    """(paper_id_1, paper_id_2), smaller id first: the links between papers.
+    """(paper_id_1, paper_id_2), smaller id first: every pair of papers that are linked.
 
-    Papers with the same set of triples are one content. All pairs are given among the first
-    ``SPREAD`` papers of a content and of the contents linked to it; every further copy is linked to
-    the first paper of its own and of each linked content. So a crowd of copies gives rows in
-    proportion to its size, and no link between different contents is lost. Null and short texts are
-    in no pair, an empty table gives none.
+    Papers with the same set of triples are one content; they are paired with each other and with
+    every paper of a linked content, at any number of copies. The copies of a content are spread
+    over tiles of about ``COPIES``, so the pairs of a crowd are made by as many tasks as it takes;
+    their number is that of the cases, by definition the square of a crowd. ``groups`` gives the
+    same classes in a row per paper. Null and short texts are in no pair, an empty table gives none.
     """
     members, links = content_links(papers, similarity)
-    members, links = cut(members.where("comparable").select("paper_id", "first")), cut(links.select("a", "b"))
-    # the limit is applied before the shuffle too, so a crowd isn't gathered
-    early = members.withColumn("r", F.row_number().over(Window.partitionBy("first").orderBy("paper_id"))).where(F.col("r") <= SPREAD).select("paper_id", "first")
-    p, q = (early.select(F.col("first").alias(x), F.col("paper_id").alias(y)) for x, y in (("a", "p"), ("b", "q")))
-    among = p.join(q, F.col("a") == F.col("b")).where("p < q").select("p", "q")
-    between = links.join(p, "a").join(q, "b").select("p", "q")
-    copies = members.where("paper_id <> first").select(F.col("first").alias("p"), F.col("paper_id").alias("q"))
-    one = links.join(members.withColumnRenamed("first", "a"), "a").select(F.col("paper_id").alias("p"), F.col("b").alias("q"))
-    two = links.join(members.withColumnRenamed("first", "b"), "b").select(F.col("a").alias("p"), F.col("paper_id").alias("q"))
-    pairs = among.unionByName(between).unionByName(copies).unionByName(one).unionByName(two)
-    return pairs.select(F.least("p", "q").alias("paper_id_1"), F.greatest("p", "q").alias("paper_id_2")).distinct()
+    members = cut(members.where("comparable").select("paper_id", "first"))
+    sizes = members.groupBy("first").agg(F.count(F.lit(1)).alias("n"))
+    tiles = cut(sizes.select(F.col("first").alias("b"), "n", F.ceil(F.col("n") / COPIES).cast("int").alias("tiles")))
+    q = members.withColumnRenamed("first", "b").join(by_shuffle(tiles), "b").select("b", F.col("paper_id").alias("q"), F.pmod(F.xxhash64("paper_id"), "tiles").cast("int").alias("tile"))
+    same = members.select(F.col("first").alias("b"), F.col("paper_id").alias("p"), F.lit(True).alias("same"))
+    other = links.select("a", "b").join(by_shuffle(members.withColumnRenamed("first", "a")), "a").select("b", F.col("paper_id").alias("p"), F.lit(False).alias("same"))
+    p = same.join(by_shuffle(tiles.where("n > 1")), "b").unionByName(other.join(by_shuffle(tiles), "b"))
+    p = p.select("b", "p", "same", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
+    pairs = p.join(by_shuffle(q), ["b", "tile"]).where("not same or p < q")
+    return pairs.select(F.least("p", "q").alias("paper_id_1"), F.greatest("p", "q").alias("paper_id_2"))
 
 
 def groups(papers: DataFrame, similarity: float = 0.5) -> DataFrame:
@@ -256,5 +357,5 @@ def groups(papers: DataFrame, similarity: float = 0.5) -> DataFrame:
     links = cut(links.select("a", "b"))
     degree = links.select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(F.count(F.lit(1)).alias("n_links"))
     roots = components(links).select(F.col("a").alias("first"), F.col("b").alias("root"))
-    joined = members.join(degree, "first", "left").join(roots, "first", "left")
+    joined = members.join(by_shuffle(degree), "first", "left").join(by_shuffle(roots), "first", "left")
     return joined.select("paper_id", F.coalesce("root", "first").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -75,16 +75,45 @@ def test_empty_table(spark):
     assert neardup.groups(papers(spark, [])).count() == 0
 
 
-def test_a_crowd_of_copies_gives_rows_in_proportion(spark):
+def test_every_copy_is_paired_at_any_number_of_copies(spark, monkeypatch):
     body = " ".join(f"y{i}" for i in range(40))
-    rows = [{"paper_id": f"{i:03d}", "title": "t", "body": body} for i in range(60)] + [{"paper_id": "z", "title": "t", "body": body + " more"}]
-    found = {tuple(r) for r in neardup.near_pairs(papers(spark, rows)).collect()}
-    assert {(f"{i:03d}", "z") for i in range(60)} <= found
-    assert {("000", f"{i:03d}") for i in range(1, 60)} <= found
-    assert len(found) == 16 * 15 // 2 + 44 + 60
+    rows = [{"paper_id": f"{i:03d}", "title": "t", "body": body} for i in range(60)] + [{"paper_id": f"z{i}", "title": "t", "body": body + " more"} for i in range(20)]
+    for copies in (neardup.COPIES, 7):  # one tile, and several
+        monkeypatch.setattr(neardup, "COPIES", copies)
+        found = [tuple(r) for r in neardup.near_pairs(papers(spark, rows)).collect()]
+        assert len(found) == len(set(found)) == 80 * 79 // 2
     assert {r["group_id"] for r in neardup.groups(papers(spark, rows)).collect()} == {"000"}
 
 
+def test_two_thousand_copies_and_their_neighbour(spark):
+    body = " ".join(f"y{i}" for i in range(40))
+    rows = [{"paper_id": f"{i:04d}", "title": "t", "body": body} for i in range(2000)] + [{"paper_id": "z", "title": "t", "body": body + " more"}]
+    pairs = neardup.near_pairs(papers(spark, rows))
+    assert pairs.count() == 2001 * 2000 // 2
+    assert pairs.where("paper_id_2 = 'z'").count() == 2000
+
+
+def test_crowded_anchors_are_compared_in_tiles(spark, monkeypatch):
+    """Many near-copies share their anchors; whole pieces, tiles and flooded anchors find the same pairs."""
+    rng = random.Random(5)
+    words = [f"v{i}" for i in range(120)]
+    rows = []
+    for i in range(90):
+        own = list(words)
+        own[rng.randrange(120)] = f"n{i}"
+        rows.append({"paper_id": f"{i:03d}", "title": "t", "body": " ".join(own)})
+    true = brute(rows)
+    assert len(true) == 90 * 89 // 2
+    seen = []
+    for crowd, hits in ((2048, 10**9), (16, 10**9), (16, 20), (1, 10**9)):
+        monkeypatch.setattr(neardup, "CROWD", crowd)
+        monkeypatch.setattr(neardup, "PROBE_HITS", hits)
+        found = {tuple(r) for r in neardup.near_pairs(papers(spark, rows)).collect()}
+        assert found <= true and len(found) >= 0.99 * len(true)
+        seen.append(found)
+    assert seen[0] == seen[1] == seen[2] == seen[3]
+
+
 def test_fingerprints_that_agree_in_three_places_share_an_anchor():
     rng = np.random.default_rng(0)
     for agree in range(neardup.M + 1):
