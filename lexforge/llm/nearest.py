@@ -3,25 +3,27 @@
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, shuffle_width
+from ..session import by_shuffle, cut, hashed_sample, shuffle_width
 from .papers import one_per_paper
 
 WIDTH = 64
 #: The tree is fitted on at most so many vectors, those of the lowest hash; all vectors are indexed.
-SAMPLE = 20_000
+SAMPLE = 12_000
 #: Queries, those of the next hashes (of the last where no more are there), whose true neighbours say how many leaves a search must visit.
 CALIBRATION = 256
 BRANCHES = 8
 #: Vectors a leaf is meant to hold, and that one cell of a crowded leaf holds at most.
 LEAF, CELL = 384, 4096
+#: Leaves that are fuller than so many times ``LEAF`` on average are fitted again, each on at most so many of its own vectors, up to so many leaves in all.
+CROWDED, AGAIN, MOST_LEAVES = 3, 2048, 65_536
 #: Vectors, and visits by queries, that one task gets together.
 GROUP, VISITS = 8192, 60_000
 
@@ -36,25 +38,19 @@ class Tree:
 
     def __init__(self, sample: np.ndarray, total: int, leaf: int = LEAF, seed: int = 5):
         self.random = np.random.default_rng(seed)
-        self.centres, self.children, self.leaf_of = [np.zeros(sample.shape[1])], [[]], [-1]
-        self.leaves = 0
-        self._grow(0, sample, total / max(1, len(sample)), leaf)
-        self.centres = np.array(self.centres)
-        self.leaf_of = np.array(self.leaf_of)
-        self.child_table = np.full((len(self.children), BRANCHES), -1)
-        for i, own in enumerate(self.children):
-            self.child_table[i, : len(own)] = own
+        centres, children = [np.zeros(sample.shape[1])], [[]]
+        self._grow(0, sample, total / max(1, len(sample)), leaf, centres, children)
+        self._number(centres, children)
 
-    def _grow(self, node: int, rows: np.ndarray, scale: float, leaf: int) -> None:
+    def _grow(self, node: int, rows: np.ndarray, scale: float, leaf: int, centres: list, children: list[list[int]]) -> None:
         parts = self._split(rows) if len(rows) * scale > leaf and len(rows) >= 2 * BRANCHES else []
         if len(parts) < 2:
-            self.leaf_of[node], self.leaves = self.leaves, self.leaves + 1
             return
         for part in parts:
-            self.children[node].append(len(self.centres))
-            self.centres.append(part.mean(axis=0)), self.children.append([]), self.leaf_of.append(-1)
-        for child, part in zip(self.children[node], parts):
-            self._grow(child, part, scale, leaf)
+            children[node].append(len(centres))
+            centres.append(part.mean(axis=0)), children.append([])
+        for child, part in zip(children[node], parts):
+            self._grow(child, part, scale, leaf, centres, children)
 
     def _split(self, rows: np.ndarray) -> list[np.ndarray]:
         centres = rows[self.random.choice(len(rows), BRANCHES, replace=False)]
@@ -63,20 +59,49 @@ class Tree:
             centres = np.array([rows[near == i].mean(axis=0) if (near == i).any() else c for i, c in enumerate(centres)])
         return [rows[near == i] for i in range(BRANCHES) if (near == i).any()]
 
+    def graft(self, below: dict[int, tuple[np.ndarray, list[list[int]]]]) -> None:
+        """Put fitted subtrees (centres, children; node 0 stands for the leaf) in place of leaves, and number the leaves anew."""
+        centres, children = list(self.centres), [list(c) for c in self.children]
+        for node in np.flatnonzero(self.leaf_of >= 0):
+            if (own := below.get(int(self.leaf_of[node]))) is not None and own[1][0]:
+                base = len(centres) - 1
+                children[node] = [base + c for c in own[1][0]]
+                centres += list(own[0][1:])
+                children += [[base + c for c in x] for x in own[1][1:]]
+        self._number(centres, children)
+
+    def _number(self, centres: list, children: list[list[int]]) -> None:
+        self.centres, self.children = np.array(centres), children
+        self.half = 0.5 * (self.centres * self.centres).sum(axis=1)
+        self.leaf_of, self.leaves = np.full(len(children), -1), 0
+        todo = [0]
+        while todo:
+            node = todo.pop()
+            if not children[node]:
+                self.leaf_of[node], self.leaves = self.leaves, self.leaves + 1
+            todo += reversed(children[node])
+        self.child_table = np.full((len(children), BRANCHES), -1)
+        for i, own in enumerate(children):
+            self.child_table[i, : len(own)] = own
+
+    def _opened(self, nodes: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The children of each node, and half their squared distance from its vector but for a constant; inf where there is none."""
+        own = self.child_table[nodes]
+        cost = self.half[own] - np.einsum("nd,nkd->nk", vectors, self.centres[own])
+        return own, np.where(own >= 0, cost, np.inf)
+
     def leaf_order(self, queries: np.ndarray, visits: int) -> np.ndarray:
         """The first ``visits`` leaves of each query, best bin first.
 
         Every query has its own priority queue of nodes by the distance of their centres; it takes
-        the nearest, opens it if it has children and otherwise visits it. The queues of a batch are
-        rows of one array and advance together.
+        the nearest, opens it if it has children, which are measured then, and otherwise visits it.
+        The queues of a batch are rows of one array and advance together.
         """
         n, visits = len(queries), min(visits, self.leaves)
         out = np.full((n, visits), -1)
         done = np.zeros(n, int)
         nodes, cost = np.zeros((n, 1), int), np.zeros((n, 1))
         rows = np.arange(n)
-        half = 0.5 * (self.centres * self.centres).sum(axis=1)
-        score = half[None, :] - queries @ self.centres.T  # half the squared distance, but for a constant
         while len(rows):
             at = np.argmin(cost, axis=1)
             here = np.arange(len(rows))
@@ -86,9 +111,11 @@ class Tree:
             hit = np.flatnonzero(leaf >= 0)
             out[rows[hit], done[rows[hit]]] = leaf[hit]
             done[rows[hit]] += 1
-            new = self.child_table[node]
-            new_cost = np.where(new >= 0, score[rows[:, None], new], np.inf)
-            nodes, cost = np.concatenate([nodes, new], axis=1), np.concatenate([cost, new_cost], axis=1)
+            inner = np.flatnonzero(leaf < 0)
+            if len(inner):
+                new, new_cost = np.full((len(rows), BRANCHES), -1), np.full((len(rows), BRANCHES), np.inf)
+                new[inner], new_cost[inner] = self._opened(node[inner], queries[rows[inner]])
+                nodes, cost = np.concatenate([nodes, new], axis=1), np.concatenate([cost, new_cost], axis=1)
             if nodes.shape[1] > 8 * BRANCHES:  # drop what has been taken
                 width = int(np.isfinite(cost).sum(axis=1).max())
                 keep = np.argsort(cost, axis=1)[:, : max(1, width)]
@@ -100,15 +127,12 @@ class Tree:
     def own_leaf(self, vectors: np.ndarray) -> np.ndarray:
         """The leaf that holds each vector: from the root always to the nearest child."""
         node = np.zeros(len(vectors), int)
-        half = 0.5 * (self.centres * self.centres).sum(axis=1)
-        score = half[None, :] - vectors @ self.centres.T
         while True:
             inner = np.flatnonzero(self.leaf_of[node] < 0)
             if not len(inner):
                 return self.leaf_of[node]
-            options = self.child_table[node[inner]]
-            cost = np.where(options >= 0, score[inner[:, None], options], np.inf)
-            node[inner] = options[np.arange(len(inner)), np.argmin(cost, axis=1)]
+            own, cost = self._opened(node[inner], vectors[inner])
+            node[inner] = own[np.arange(len(inner)), np.argmin(cost, axis=1)]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -170,6 +194,39 @@ def calibrated_visits(tree: Tree, classes: DataFrame, queries: list, recall: flo
     return int(needed[min(len(needed) - 1, math.ceil(recall * len(needed)) - 1)])
 
 
+def _leaf_of(tree: Tree):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(tree.own_leaf(unit_rows(_matrix(batch.column(1)))).astype(np.int32)), batch.column(0), batch.column(1)], ["leaf", "h", "vector"])
+
+    return run
+
+
+def refined(tree: Tree, classes: DataFrame, total: int) -> Tree:
+    """The tree with its crowded leaves fitted again, each by a task of its own on a bounded part of its vectors.
+
+    Where the sample is too small for leaves of ``LEAF`` vectors, the leaves it gives are split by a
+    second level. The model, at most ``MOST_LEAVES`` leaves, is all that reaches the driver.
+    """
+    if total <= CROWDED * LEAF * tree.leaves or tree.leaves >= MOST_LEAVES:
+        return tree
+    placed = cut(classes.select(F.xxhash64("content").alias("h"), "vector").mapInArrow(_leaf_of(tree), "leaf int, h long, vector array<float>"))
+    sizes = dict(placed.groupBy("leaf").count().collect())  # a row per leaf
+    aim = max(LEAF, math.ceil(total / MOST_LEAVES))
+    crowded = [(leaf, n, min(1.0, AGAIN / n)) for leaf, n in sizes.items() if n > CROWDED * LEAF]
+    wanted = F.broadcast(placed.sparkSession.createDataFrame(crowded, "leaf int, n long, share double"))  # a row per leaf
+    # another hash than that of the leaf's first sample
+    part = placed.join(wanted, "leaf").where(F.shiftrightunsigned(F.xxhash64("h"), 1) < F.col("share") * float(1 << 63))
+
+    def fitted(table: pa.Table) -> pa.Table:
+        own = Tree(unit_rows(_matrix(table["vector"].combine_chunks())), table["n"][0].as_py(), aim)
+        return pa.table({"leaf": table["leaf"].slice(0, 1), "tree": pa.array([pickle.dumps((own.centres, own.children))], pa.binary())})
+
+    made = part.select("leaf", "n", "vector").groupBy("leaf").applyInArrow(fitted, "leaf int, tree binary").collect()
+    tree.graft({r["leaf"]: pickle.loads(bytes(r["tree"])) for r in made})
+    return tree
+
+
 def _placed(tree: Tree, visits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,7 +351,7 @@ def neighbours(papers: DataFrame, k: int = 5, recall: float = 0.997) -> DataFram
     neighbours; null elements make a vector unusable. Papers with the same vector form one class
     that is indexed once, with the k + 1 smallest of its ids, so copies cost nothing however many
     they are, and they are each other's nearest. The index is a k-means tree fitted on at most
-    ``SAMPLE`` vectors and filled with every class. A search visits as many leaves, best bin first,
+    ``SAMPLE`` vectors, its crowded leaves on more of their own, and filled with every class. A search visits as many leaves, best bin first,
     as give ``recall`` of the true neighbours of ``CALIBRATION`` queries compared with all vectors.
     Crowded leaves are split into cells that tasks compare apart. Fewer than two usable papers give
     no rows.
@@ -304,13 +361,12 @@ def neighbours(papers: DataFrame, k: int = 5, recall: float = 0.997) -> DataFram
     owners = cut(owners)
     small = owners.withColumn("r", F.row_number().over(Window.partitionBy("content").orderBy("paper_id"))).where(F.col("r") <= k + 1)
     lists = small.groupBy("content").agg(F.sort_array(F.collect_list("paper_id")).alias("ids"))  # k + 1 at most
-    classes = cut(lists.join(vectors, "content").withColumn("id", F.monotonically_increasing_id()))
+    classes = cut(lists.join(by_shuffle(vectors), "content").withColumn("id", F.monotonically_increasing_id()))
 
     total = classes.count()
-    ordered = classes.select("id", "vector", F.xxhash64("content").alias("h")).orderBy("h", "id").limit(SAMPLE + CALIBRATION)
-    fitted, queries = fitted_and_asking(ordered.select("id", "vector").collect())  # at most SAMPLE + CALIBRATION rows
+    fitted, queries = fitted_and_asking(hashed_sample(classes.select("id", "vector", "content"), total, SAMPLE + CALIBRATION, "content"))
     rows = unit_rows(np.array([r["vector"] for r in fitted]).reshape(-1, WIDTH))
-    tree = Tree(rows, total)
+    tree = refined(Tree(rows, total), classes, total)
     visits = calibrated_visits(tree, classes, queries, recall, k)
     if len(fitted) < total:  # few queries measure roughly: the more careful of two measures is taken
         visits = max(visits, calibrated_visits(tree, classes, fitted[-CALIBRATION:], recall, k))
@@ -337,13 +393,13 @@ def neighbours(papers: DataFrame, k: int = 5, recall: float = 0.997) -> DataFram
     compared = inside.groupBy("g", "part").cogroup(asking.groupBy("gq", "pq")).applyInArrow(_compare(k), "q long, id long, sim double")
 
     best = compared.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "id"))).where(F.col("r") <= k)
-    others = best.join(classes.select("id", "ids"), "id").select("q", F.explode(F.slice("ids", 1, k)).alias("n"), "sim")
+    others = best.join(by_shuffle(classes.select("id", "ids")), "id").select("q", F.explode(F.slice("ids", 1, k)).alias("n"), "sim")
     others = others.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "n"))).where(F.col("r") <= k)
     lists = others.groupBy("q").agg(F.collect_list(F.struct("sim", "n")).alias("others"))  # k at most
-    around = classes.select("content", "id", "ids").join(lists.withColumnRenamed("q", "id"), "id", "left")
+    around = classes.select("content", "id", "ids").join(by_shuffle(lists.withColumnRenamed("q", "id")), "id", "left")
     own = F.transform("ids", lambda x: F.struct(F.lit(1.0).alias("sim"), x.alias("n")))
     around = around.select("content", F.concat(own, F.coalesce("others", F.array().cast("array<struct<sim:double,n:string>>"))).alias("near"))
-    members = owners.join(around, "content")
+    members = owners.join(by_shuffle(around), "content")
     near = F.filter("near", lambda x: x["n"] != F.col("paper_id"))
     lists = members.select("paper_id", F.slice(F.array_sort(near, lambda x, y: F.when(x["sim"] > y["sim"], -1).when(x["sim"] < y["sim"], 1).when(x["n"] < y["n"], -1).otherwise(1)), 1, k).alias("near"))
     return lists.select("paper_id", F.posexplode("near").alias("p", "x")).select("paper_id", (F.col("p") + 1).alias("rank"), F.col("x.n").alias("neighbour_id"), F.col("x.sim").alias("similarity"))

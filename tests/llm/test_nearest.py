@@ -65,6 +65,28 @@ def test_calibration_queries_are_not_fitted_where_there_are_others(spark, monkey
     assert len(both) == (20 if n <= 100 else 0)
 
 
+def test_crowded_leaves_are_fitted_again(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 64))
+    rows = [row(i, centres[i % 40] + 0.5 * rng.normal(size=64)) for i in range(1200)]
+    for name, value in (("SAMPLE", 100), ("CALIBRATION", 60), ("LEAF", 15)):
+        monkeypatch.setattr(nearest, name, value)
+    monkeypatch.setattr(nearest.Tree.__init__, "__defaults__", (15, 5))
+    made, refined = [], nearest.refined
+
+    def watched(tree, classes, total):
+        before = tree.leaves
+        made.append((before, refined(tree, classes, total)))
+        return made[0][1]
+
+    monkeypatch.setattr(nearest, "refined", watched)
+    found = {tuple(r) for r in nearest.neighbour_pairs(papers(spark, rows)).collect()}
+    true = brute(rows)
+    before, tree = made[0]
+    assert tree.leaves > 2 * before and sorted(x for x in tree.leaf_of if x >= 0) == list(range(tree.leaves))
+    assert len(found & true) >= 0.95 * len(true)
+
+
 def test_copies_and_unusable_vectors(spark):
     rng = np.random.default_rng(4)
     same = rng.normal(size=64)
