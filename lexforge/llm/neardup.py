@@ -5,7 +5,7 @@ the minimum of its triples under another hash, so two texts differ in about (1 -
 symbols. The anchors are the codewords of the Reed-Solomon code of dimension ``K`` over that field,
 whose covering radius is M - K: any K symbols lie on one codeword. A fingerprint is sent to every
 anchor within that radius, so fingerprints at a distance up to M - K always meet at an anchor. What
-meets at an anchor is compared there by a 64-bit sketch; only the pairs that pass are shuffled.
+meets at an anchor is compared there by a 192-bit sketch; only the pairs that pass are shuffled.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from .papers import words_of
 M, K = 12, 3
 PRIME = (1 << 31) - 1
 BINS = 64
-#: Bits of the sketch that may differ: at a similarity of one half 16 do, with a deviation of 3.5.
-MOST_DIFFERENT = 28
+#: Bins of the sketch that may differ: at a similarity of one half 28 do, with a deviation of 4.
+MOST_DIFFERENT = 43
 #: Fingerprints that are compared with each other at one anchor in one piece; those of a fuller anchor are spread over tiles of about this size.
 CROWD = 2048
 #: Fingerprints whose anchors are counted at the driver to know those that an anchor of at least PROBE_HITS of them would flood.
@@ -40,6 +40,7 @@ _AT_ONCE = 1 << 21
 #: Ids above this number aren't broadcast.
 BROADCAST_IDS = 1_000_000
 
+_SKETCH = "struct<s0:long,s1:long,s2:long>"
 _U = np.uint64
 
 
@@ -87,16 +88,26 @@ def _symbols(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """A bit of the least hash of each of 64 bins, as one word of 64 bits a set."""
+    """Three bits of the least hash of each of 64 bins, as three words of 64 bits, (len(sets), 3)."""
     joined, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     # a set is sorted, so the first hash of a bin is its least
     cell = owner * BINS + (joined >> _U(58)).astype(np.int64)
     cells, first = np.unique(cell, return_index=True)
-    out = np.zeros(len(sets), np.uint64)
-    np.bitwise_or.at(out, cells // BINS, (_mixed(joined[first]) & _U(1)) << (cells % BINS).astype(np.uint64))
+    bits = _mixed(joined[first])
+    out = np.zeros((len(sets), 3), np.uint64)
+    for i in range(3):
+        np.bitwise_or.at(out[:, i], cells // BINS, ((bits >> _U(i)) & _U(1)) << (cells % BINS).astype(np.uint64))
     return out
 
 
+def _words(sketches: np.ndarray) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(sketches[:, i])) for i in range(3)], ["s0", "s1", "s2"])
+
+
+def _matrix(sketches: pa.StructArray) -> np.ndarray:
+    return np.stack([x.to_numpy() for x in sketches.flatten()], axis=1)
+
+
 def _text(batch: pa.RecordBatch, i: int) -> list[str]:
     return [f"{t or ''} {b or ''}" for t, b in zip(batch.column(i).to_pylist(), batch.column(i + 1).to_pylist())]
 
@@ -109,13 +120,13 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             sets = [triples(t) for t in _text(part, 1)]
             some = [s for s in sets if len(s)]
             kept = np.array([bool(len(s)) for s in sets])
-            symbols, sketches, keys = np.zeros((len(sets), M), np.int32), np.zeros(len(sets), np.int64), [None] * len(sets)
+            symbols, sketches, keys = np.zeros((len(sets), M), np.int32), np.zeros((len(sets), 3), np.int64), [None] * len(sets)
             if some:
                 symbols[kept], sketches[kept] = _symbols(some).astype(np.int32), _sketches(some).view(np.int64)
                 for i in np.flatnonzero(kept):
                     keys[i] = xxhash.xxh3_128_digest(sets[i].tobytes())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * M), pa.array(symbols.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), lists, pa.array(sketches)], ["paper_id", "content", "symbols", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), lists, _words(sketches)], ["paper_id", "content", "symbols", "sketch"])
 
 
 def _solutions() -> tuple[np.ndarray, np.ndarray]:
@@ -151,18 +162,19 @@ def anchors_of(symbols: np.ndarray) -> np.ndarray:
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(anchor, id, sketch): every fingerprint at all its anchors."""
     for batch in batches:
-        ids, sketches = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        ids, sketches = batch.column(0).to_numpy(), _matrix(batch.column(2))
         symbols = batch.column(1).flatten().to_numpy().reshape(-1, M)
         for start in range(0, len(ids), 512):
             part = slice(start, start + 512)
             names = anchors_of(symbols[part]).astype(np.int64)
-            own, sketch = (np.repeat(x[part], names.shape[1]) for x in (ids, sketches))
-            yield pa.RecordBatch.from_arrays([pa.array(names.ravel()), pa.array(own), pa.array(sketch)], ["anchor", "id", "sketch"])
+            own, sketch = (np.repeat(x[part], names.shape[1], axis=0) for x in (ids, sketches))
+            yield pa.RecordBatch.from_arrays([pa.array(names.ravel()), pa.array(own), _words(sketch)], ["anchor", "id", "sketch"])
 
 
 def _close(ids: np.ndarray, sketches: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The pairs of rows whose sketches differ little, as pairs of ids, the smaller first, (n, 2)."""
-    near = np.bitwise_count((sketches[left] ^ sketches[right]).view(np.uint64)) <= MOST_DIFFERENT
+    x, y = sketches.view(np.uint64)[left], sketches.view(np.uint64)[right]
+    near = np.bitwise_count(np.bitwise_or.reduce(x ^ y, axis=1)) <= MOST_DIFFERENT
     pairs = np.stack([ids[left[near]], ids[right[near]]], axis=1)
     pairs = pairs[pairs[:, 0] != pairs[:, 1]]
     pairs.sort(axis=1)
@@ -187,15 +199,17 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out(pairs: list[np.ndarray], left: list[tuple]) -> pa.RecordBatch:
         own = np.unique(np.concatenate([np.empty((0, 2), np.int64), *pairs]), axis=0)
-        anchor, ids, sketch = (np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*left) if left else [[]] * 3))
-        none = pa.nulls(len(own), pa.int64()), pa.nulls(len(ids), pa.int64())
-        columns = [(pa.array(own[:, 0]), none[1]), (pa.array(own[:, 1]), none[1]), (none[0], pa.array(anchor)), (none[0], pa.array(ids)), (none[0], pa.array(sketch))]
+        anchor, ids, sketch = (np.concatenate([e, *x]) for e, x in zip(empty, zip(*left) if left else [[]] * 3))
+        none, words = (pa.nulls(len(own), pa.int64()), pa.nulls(len(ids), pa.int64())), _words(sketch)
+        columns = [(pa.array(own[:, 0]), none[1]), (pa.array(own[:, 1]), none[1]), (none[0], pa.array(anchor)), (none[0], pa.array(ids)), (pa.nulls(len(own), words.type), words)]
         return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["a", "b", "anchor", "id", "sketch"])
 
-    held = [np.empty(0, np.int64)] * 3
+    empty = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 3), np.int64)]
+    held = empty
     crowded: int | None = None  # the anchor whose fingerprints are being passed on
     for batch in _one_more(batches):
-        rows = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns)] if batch is not None else held
+        new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2))] if batch is not None else empty
+        rows = [np.concatenate(x) for x in zip(held, new)]
         anchor, ids, sketch = rows
         starts = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else np.empty(0, np.int64)
         ends = np.append(starts[1:], len(anchor)).astype(np.int64)
@@ -204,7 +218,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last = slice(starts[-1], None)
             if ends[-1] - starts[-1] > CROWD or anchor[-1] == crowded:
                 crowded = int(anchor[-1])
-                held = [np.empty(0, np.int64)] * 3
+                held = empty
             else:
                 held = [x[last] for x in rows]
                 starts, ends = starts[:-1], ends[:-1]
@@ -225,7 +239,7 @@ def _one_more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 
 def _compared_tiles(table: pa.Table) -> pa.Table:
     """Close pairs of one tile with another, or within one."""
-    ids, sketches, own = (table[c].to_numpy() for c in ("id", "sketch", "own"))
+    ids, own, sketches = table["id"].to_numpy(), table["own"].to_numpy(), _matrix(table["sketch"].combine_chunks())
     lo, hi = (table[c][0].as_py() for c in ("lo", "hi"))
     left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
     pairs = [np.empty((0, 2), np.int64)]
@@ -255,7 +269,7 @@ def fingerprints(papers: DataFrame) -> DataFrame:
     rows = papers.where(F.col("paper_id").isNotNull())
     tagged = rows.select(F.struct("paper_id", F.col("harvested_at").alias("at")).alias("key"), F.col("title").cast("string").alias("title"), F.col("body").cast("string").alias("body"))
     kind = tagged.schema["key"].dataType.simpleString()
-    made = tagged.mapInArrow(_fingerprints, f"paper_id {kind}, content binary, symbols array<int>, sketch long")
+    made = tagged.mapInArrow(_fingerprints, f"paper_id {kind}, content binary, symbols array<int>, sketch {_SKETCH}")
     value = F.struct("content", "symbols", "sketch")
     first = made.groupBy("paper_id.paper_id").agg(F.min_by(value, F.struct(F.coalesce("paper_id.at", F.lit("9999-12-31").cast("timestamp_ntz")).cast("timestamp_ntz"), "content")).alias("v"))
     return first.select("paper_id", "v.*")
@@ -278,13 +292,13 @@ def close_pairs(classes: DataFrame) -> DataFrame:
     other by tasks of their own, so no pair is left out and no task gets a whole crowd.
     """
     spark = classes.sparkSession
-    met = classes.select("id", "symbols", "sketch").mapInArrow(_anchor_rows, "anchor long, id long, sketch long")
+    met = classes.select("id", "symbols", "sketch").mapInArrow(_anchor_rows, f"anchor long, id long, sketch {_SKETCH}")
     flooded = _flooded(classes, classes.count())
     rest, crowds = met, []
     if flooded:  # at most PROBE * anchors / PROBE_HITS
         known = F.broadcast(spark.createDataFrame([(x,) for x in flooded], "anchor long"))
         rest, crowds = met.join(known, "anchor", "left_anti"), [met.join(known, "anchor", "left_semi")]
-    found = cut(rest.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compared, "a long, b long, anchor long, id long, sketch long"))
+    found = cut(rest.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compared, f"a long, b long, anchor long, id long, sketch {_SKETCH}"))
     pairs = found.where(F.col("a").isNotNull()).select("a", "b")
     passed = found.where(F.col("id").isNotNull()).select("anchor", "id", "sketch")
     if not passed.isEmpty():
