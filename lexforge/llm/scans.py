@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import broadcast_if_small, by_shuffle, cut, first_rows, hashed_sample
 from .boosting import Boosted
 
 #: Bodies that the line classifier is trained on, and words the other two are trained on, at most.
@@ -388,6 +388,11 @@ def known_words(bodies: DataFrame) -> DataFrame:
     return bodies.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _word_sample(words: DataFrame) -> list:
+    """``SAMPLE_WORDS`` rows of a table of words, those of the lowest hash."""
+    return hashed_sample(words, words.count(), SAMPLE_WORDS, "word")
+
+
 def misread_words(words: DataFrame, total: int) -> DataFrame:
     """(word, better): words with misrecognised characters and what they were.
 
@@ -401,7 +406,7 @@ def misread_words(words: DataFrame, total: int) -> DataFrame:
     asked = asking.mapInArrow(_keys(True), "key string, word string, n long")
     index = known.mapInArrow(_keys(False), "key string, word string, n long").select("key", F.col("word").alias("better"), F.col("n").alias("m"))
     near = (F.abs(F.length("word") - F.length("better")) <= 1) & (F.col("m") >= F.col("n") * OUTNUMBERS)
-    pairs = asked.join(index, "key").where(near & (F.col("word") != F.col("better"))).select("word", "n", "better", "m").distinct()
+    pairs = asked.join(by_shuffle(index), "key").where(near & (F.col("word") != F.col("better"))).select("word", "n", "better", "m").distinct()
 
     def with_edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -414,10 +419,10 @@ def misread_words(words: DataFrame, total: int) -> DataFrame:
 
     pairs = cut(pairs.mapInArrow(with_edits, "word string, n long, better string, m long, ops array<string>"))
     single = pairs.where(F.size("ops") == 1).select("word", F.get("ops", F.lit(0)).alias("op")).distinct()
-    counts = single.groupBy("op").count().orderBy(F.desc("count"), "op").limit(CONFUSIONS).collect()
+    counts = first_rows(single.groupBy("op").count().orderBy(F.desc("count"), "op"), CONFUSIONS)
     all_ops = sum(r["count"] for r in counts) or 1
     share = {tuple(r["op"].split("\x00")): r["count"] / all_ops for r in counts}
-    sample = known.where(F.length("word") >= 5).orderBy(F.xxhash64("word")).limit(SAMPLE_WORDS).collect()
+    sample = _word_sample(known.where(F.length("word") >= 5))
     model = ranking([(r["word"], r["n"]) for r in sample], share)
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -449,7 +454,7 @@ def misread_words(words: DataFrame, total: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.string()), pa.array([b for _, b in out], pa.string())], ["word", "better"])
 
     odd = asking.select("word").where(~F.col("word").rlike(r"^[\p{L}]+$") | F.col("word").rlike("[ɐ-ʯ]"))
-    rest = odd.join(best.select("word"), "word", "left_anti").mapInArrow(undone, "word string, better string")
+    rest = odd.join(by_shuffle(best.select("word")), "word", "left_anti").mapInArrow(undone, "word string, better string")
     return best.unionByName(rest)
 
 
@@ -531,20 +536,20 @@ def _trained(papers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Booste
     """(paper_id, body), the words with their papers, the misread ones, and the line classifier."""
     bodies = papers.select("paper_id", F.col("body").cast("string").alias("body")).where(F.col("paper_id").isNotNull() & (F.length("body") > 0))
     words = cut(known_words(bodies.select("body")))
-    sample = bodies.orderBy(F.xxhash64("paper_id"), "body").limit(SAMPLE_BODIES)
-    part = F.substring("body", 1, SAMPLE_CHARACTERS).alias("body")
-    lines = line_classifier([r["body"] for r in sample.select(part).collect()])  # at most SAMPLE_BODIES
-    return bodies, words, cut(misread_words(words, bodies.count())), lines
+    total = bodies.count()
+    # rows are chosen by their id, and their texts shortened, in the scan
+    sample = hashed_sample(bodies.select("paper_id", F.substring("body", 1, SAMPLE_CHARACTERS).alias("body")), total, SAMPLE_BODIES, "paper_id")
+    return bodies, words, cut(misread_words(words, total)), line_classifier([r["body"] for r in sample])
 
 
 def _breaks(found: DataFrame, words: DataFrame) -> DataFrame:
     """The distinct possible breaks (left, mark, right) that broke a word which isn't a compound."""
     events = found.where("kind = 'break'").select("left", "mark", "right").distinct()
     asked = events.withColumn("x", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), w.alias("word")) for i, w in enumerate((F.lower(F.concat("left", "right")), F.lower(F.concat_ws("-", "left", "right")), F.col("left"), F.lower("right")))])))
-    counted = asked.select("left", "mark", "right", F.col("x.i").alias("i"), F.col("x.word").alias("word")).join(words, "word", "left").na.fill(0, ["n"])
+    counted = asked.select("left", "mark", "right", F.col("x.i").alias("i"), F.col("x.word").alias("word")).join(by_shuffle(words), "word", "left").na.fill(0, ["n"])
     wide = counted.groupBy("left", "mark", "right").agg(*[F.max(F.when(F.col("i") == i, F.col("n"))).alias(f"n{i}") for i in range(4)])
-    sample = words.where((F.col("n") >= KNOWN) & (F.length("word") >= 5) & F.col("word").rlike(r"^\p{L}+$")).orderBy(F.xxhash64("word")).limit(SAMPLE_WORDS).collect()
-    hyphened = words.where((F.col("n") >= 2) & F.col("word").rlike(r"^\p{L}+-\p{L}")).orderBy(F.xxhash64("word")).limit(SAMPLE_WORDS).collect()
+    sample = _word_sample(words.where((F.col("n") >= KNOWN) & (F.length("word") >= 5) & F.col("word").rlike(r"^\p{L}+$")))
+    hyphened = _word_sample(words.where((F.col("n") >= 2) & F.col("word").rlike(r"^\p{L}+-\p{L}")))
     halves = sorted({h for r in hyphened for h in r["word"].split("-")})
     asked = words.sparkSession.createDataFrame([(h,) for h in halves or [""]], "word string")
     counts = {r["word"]: r["n"] for r in [*words.join(F.broadcast(asked), "word").collect(), *sample]}  # the halves of the sample
@@ -572,7 +577,7 @@ def _occurrences(bodies: DataFrame, misread: DataFrame) -> DataFrame:
         found = bodies.mapInArrow(run, "paper_id string, word string, times long")
     else:
         found = bodies.mapInArrow(_misread_in(None), "paper_id string, word string, times long")
-    return found.join(misread, "word")
+    return found.join(by_shuffle(misread), "word")
 
 
 def noise(papers: DataFrame) -> DataFrame:
@@ -585,7 +590,7 @@ def noise(papers: DataFrame) -> DataFrame:
     """
     bodies, words, misread, lines = _trained(papers)
     found = cut(bodies.mapInArrow(_judged_lines(lines), "paper_id string, kind string, left string, mark string, right string"))
-    broken = found.where("kind = 'break'").join(_breaks(found, words), ["left", "mark", "right"]).select("paper_id", F.lit("hyphen").alias("kind"))
+    broken = found.where("kind = 'break'").join(by_shuffle(_breaks(found, words)), ["left", "mark", "right"]).select("paper_id", F.lit("hyphen").alias("kind"))
     furniture = found.where("kind <> 'break'").select("paper_id", "kind")
     read = _occurrences(bodies, misread).groupBy("paper_id", "word").agg(F.max("times").alias("times")).groupBy("paper_id").agg(F.sum("times").alias("n"))
     wrong = read.where("n >= 2").select("paper_id", F.lit("misread").alias("kind"))
@@ -595,15 +600,17 @@ def noise(papers: DataFrame) -> DataFrame:
 def _repaired(model: Boosted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for body, fixes, breaks in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+            bodies, texts = batch.column(1).to_pylist(), []
+            some = [i for i, body in enumerate(bodies) if body and may_have_furniture(body)]
+            off = {i: hit for i, (_, hit, _) in zip(some, furniture([bodies[i].split("\n") for i in some], model))}
+            for i, (body, fixes, breaks) in enumerate(zip(bodies, *(batch.column(i).to_pylist() for i in (2, 3)))):
                 if not body:
                     texts.append(body)
                     continue
                 better = {f["word"]: f["better"] for f in fixes or []}
                 broken = {(b["left"], b["mark"], b["right"].lower()) for b in breaks or []}
-                texts.append(paragraphs(body, model, better, broken))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["paper_id", "text"])
+                texts.append(paragraphs(body, off.get(i), better, broken))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(4)], ["paper_id", "text", "kinds"])
 
     return run
 
@@ -615,19 +622,19 @@ def _cased(new: str, old: str) -> str:
     return new[:1].upper() + new[1:] if old[:1].isupper() or (not old[:1].isalpha() and letters and letters[0].isupper()) else new
 
 
-def paragraphs(body: str, model: Boosted, better: dict[str, str], broken: set[tuple[str, str, str]]) -> str:
-    """The body without furniture, lines joined to paragraphs, broken words mended and misread words replaced.
+def paragraphs(body: str, off: np.ndarray | None, better: dict[str, str], broken: set[tuple[str, str, str]]) -> str:
+    """The body without the lines that are ``off`` as furniture, lines joined to paragraphs, broken words mended and misread words replaced.
 
     A paragraph ends at an empty or indented line and where a line is shorter than three quarters of
     the usual one after the end of a sentence; furniture between two lines of a sentence leaves no gap.
     """
     raw = body.split("\n")
-    lines, hit, _ = furniture([raw], model)[0]
-    usual = median([len(x.text) for x in lines if x.words > 3] or [1])
+    stripped = [x.replace("\x0c", "").strip() for x in raw]
+    usual = median([len(x) for x in stripped if x.count(" ") > 2] or [1])
     parts: list[list[str]] = [[]]
     gap = False
-    for line, text, off in zip(lines, raw, hit):
-        if off:
+    for text, furnished in zip(raw, off if off is not None else [False] * len(raw)):
+        if furnished:
             continue
         text = text.replace("\x0c", "")
         if not text.strip():
@@ -664,15 +671,27 @@ def _mended(chunk: str, better: dict[str, str]) -> str:
     return chunk
 
 
+def _first_harvests(papers: DataFrame) -> DataFrame:
+    """(paper_id, body), a row per paper, that of its first harvest; only the keys of papers that come again are moved."""
+    at = F.coalesce("harvested_at", F.lit("9999-12-31").cast("timestamp_ntz")).cast("timestamp_ntz")
+    body = F.col("body").cast("string")
+    rows = papers.where(F.col("paper_id").isNotNull()).select("paper_id", body.alias("body"), at.alias("at"), F.xxhash64(body).alias("h"))
+    again = rows.groupBy("paper_id").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("at", "h")).alias("first")).where("times > 1").select("paper_id", "first")
+    joined = rows.join(broadcast_if_small(again), "paper_id", "left")
+    once = joined.where("first is null").select("paper_id", "body")
+    # copies that agree in time and text are still several
+    return once.unionByName(joined.where("first = struct(at, h)").groupBy("paper_id").agg(F.first("body").alias("body")))
+
+
 def repaired(papers: DataFrame) -> DataFrame:
     """(paper_id, text, kinds): every body as continuous paragraphs, and the kinds of noise it had, joined by commas.
 
-    One row per paper_id; null and empty bodies stay as they are and have no kinds. Rows without a
-    paper_id are left out.
+    One row per paper_id, that of its first harvest; null and empty bodies stay as they are and have
+    no kinds. Rows without a paper_id are left out.
     """
     bodies, words, misread, lines = _trained(papers)
     found = cut(bodies.mapInArrow(_judged_lines(lines), "paper_id string, kind string, left string, mark string, right string"))
-    broken = cut(found.where("kind = 'break'").join(_breaks(found, words), ["left", "mark", "right"]))
+    broken = cut(found.where("kind = 'break'").join(by_shuffle(_breaks(found, words)), ["left", "mark", "right"]))
     read = cut(_occurrences(bodies, misread))
     # the lists of one paper
     fixes = read.select("paper_id", "word", "better").distinct().groupBy("paper_id").agg(F.collect_list(F.struct("word", "better")).alias("fixes"))
@@ -680,6 +699,9 @@ def repaired(papers: DataFrame) -> DataFrame:
     counted = read.groupBy("paper_id", "word").agg(F.max("times").alias("times")).groupBy("paper_id").agg(F.sum("times").alias("n")).where("n >= 2")
     kinds = found.where("kind <> 'break'").select("paper_id", "kind").unionByName(broken.select("paper_id", F.lit("hyphen").alias("kind"))).unionByName(counted.select("paper_id", F.lit("misread").alias("kind")))
     kinds = kinds.groupBy("paper_id").agg(F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"))
-    whole = papers.where(F.col("paper_id").isNotNull()).select("paper_id", F.col("body").cast("string").alias("body")).dropDuplicates(["paper_id"])
-    joined = whole.join(fixes, "paper_id", "left").join(breaks, "paper_id", "left").select("paper_id", "body", "fixes", "breaks")
-    return joined.mapInArrow(_repaired(lines), "paper_id string, text string").join(kinds, "paper_id", "left").na.fill("", ["kinds"])
+    # what is known of a paper is joined once; papers without any noise have no row here
+    known = cut(fixes.join(by_shuffle(breaks), "paper_id", "full").join(by_shuffle(kinds), "paper_id", "full"))
+    entries = known.agg(F.sum(1 + F.coalesce(F.size("fixes"), F.lit(0)) + F.coalesce(F.size("breaks"), F.lit(0)))).first()[0] or 0
+    joined = _first_harvests(papers).join(F.broadcast(known) if entries <= BROADCAST_WORDS else by_shuffle(known), "paper_id", "left")
+    return joined.select("paper_id", "body", "fixes", "breaks", F.coalesce("kinds", F.lit("")).alias("kinds")).mapInArrow(_repaired(lines), "paper_id string, text string, kinds string")
+
