@@ -190,46 +190,49 @@ def _within(ids: np.ndarray, sketches: np.ndarray, starts: np.ndarray, length: i
         yield _close(ids, sketches, (base + i).ravel(), (base + j).ravel())
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compared(crowd: int):
     """Fingerprints in the order of their anchors, compared with those at the same anchor.
 
-    Rows (a, b) are close pairs. The fingerprints of an anchor with more than ``CROWD`` come out
+    Rows (a, b) are close pairs. The fingerprints of an anchor with more than ``crowd`` come out
     again as rows (anchor, id, sketch), uncompared; no more than that many are ever held.
     """
 
-    def out(pairs: list[np.ndarray], left: list[tuple]) -> pa.RecordBatch:
-        own = np.unique(np.concatenate([np.empty((0, 2), np.int64), *pairs]), axis=0)
-        anchor, ids, sketch = (np.concatenate([e, *x]) for e, x in zip(empty, zip(*left) if left else [[]] * 3))
-        none, words = (pa.nulls(len(own), pa.int64()), pa.nulls(len(ids), pa.int64())), _words(sketch)
-        columns = [(pa.array(own[:, 0]), none[1]), (pa.array(own[:, 1]), none[1]), (none[0], pa.array(anchor)), (none[0], pa.array(ids)), (pa.nulls(len(own), words.type), words)]
-        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["a", "b", "anchor", "id", "sketch"])
-
-    empty = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 3), np.int64)]
-    held = empty
-    crowded: int | None = None  # the anchor whose fingerprints are being passed on
-    for batch in _one_more(batches):
-        new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2))] if batch is not None else empty
-        rows = [np.concatenate(x) for x in zip(held, new)]
-        anchor, ids, sketch = rows
-        starts = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else np.empty(0, np.int64)
-        ends = np.append(starts[1:], len(anchor)).astype(np.int64)
-        pairs, left = [], []
-        if batch is not None and len(starts):  # the last run may go on
-            last = slice(starts[-1], None)
-            if ends[-1] - starts[-1] > CROWD or anchor[-1] == crowded:
-                crowded = int(anchor[-1])
-                held = empty
-            else:
-                held = [x[last] for x in rows]
-                starts, ends = starts[:-1], ends[:-1]
-        lengths = ends - starts
-        passed = (lengths > CROWD) | (anchor[starts] == crowded if crowded is not None else False)
-        for s, e in zip(starts[passed], ends[passed]):
-            left.append((anchor[s:e], ids[s:e], sketch[s:e]))
-        for length in np.unique(lengths[~passed & (lengths > 1)]):
-            pairs += _within(ids, sketch, starts[~passed & (lengths == length)], int(length))
-        if pairs or left:
-            yield out(pairs, left)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(pairs: list[np.ndarray], left: list[tuple]) -> pa.RecordBatch:
+            own = np.unique(np.concatenate([np.empty((0, 2), np.int64), *pairs]), axis=0)
+            anchor, ids, sketch = (np.concatenate([e, *x]) for e, x in zip(empty, zip(*left) if left else [[]] * 3))
+            none, words = (pa.nulls(len(own), pa.int64()), pa.nulls(len(ids), pa.int64())), _words(sketch)
+            columns = [(pa.array(own[:, 0]), none[1]), (pa.array(own[:, 1]), none[1]), (none[0], pa.array(anchor)), (none[0], pa.array(ids)), (pa.nulls(len(own), words.type), words)]
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["a", "b", "anchor", "id", "sketch"])
+
+        empty = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 3), np.int64)]
+        held = empty
+        crowded: int | None = None  # the anchor whose fingerprints are being passed on
+        for batch in _one_more(batches):
+            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2))] if batch is not None else empty
+            rows = [np.concatenate(x) for x in zip(held, new)]
+            anchor, ids, sketch = rows
+            starts = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else np.empty(0, np.int64)
+            ends = np.append(starts[1:], len(anchor)).astype(np.int64)
+            pairs, left = [], []
+            if batch is not None and len(starts):  # the last run may go on
+                last = slice(starts[-1], None)
+                if ends[-1] - starts[-1] > crowd or anchor[-1] == crowded:
+                    crowded = int(anchor[-1])
+                    held = empty
+                else:
+                    held = [x[last] for x in rows]
+                    starts, ends = starts[:-1], ends[:-1]
+            lengths = ends - starts
+            passed = (lengths > crowd) | (anchor[starts] == crowded if crowded is not None else False)
+            for s, e in zip(starts[passed], ends[passed]):
+                left.append((anchor[s:e], ids[s:e], sketch[s:e]))
+            for length in np.unique(lengths[~passed & (lengths > 1)]):
+                pairs += _within(ids, sketch, starts[~passed & (lengths == length)], int(length))
+            if pairs or left:
+                yield out(pairs, left)
+
+    return run
 
 
 def _one_more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -298,7 +301,7 @@ def close_pairs(classes: DataFrame) -> DataFrame:
     if flooded:  # at most PROBE * anchors / PROBE_HITS
         known = F.broadcast(spark.createDataFrame([(x,) for x in flooded], "anchor long"))
         rest, crowds = met.join(known, "anchor", "left_anti"), [met.join(known, "anchor", "left_semi")]
-    found = cut(rest.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compared, f"a long, b long, anchor long, id long, sketch {_SKETCH}"))
+    found = cut(rest.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compared(CROWD), f"a long, b long, anchor long, id long, sketch {_SKETCH}"))
     pairs = found.where(F.col("a").isNotNull()).select("a", "b")
     passed = found.where(F.col("id").isNotNull()).select("anchor", "id", "sketch")
     if not passed.isEmpty():
