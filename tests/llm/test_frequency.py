@@ -11,7 +11,8 @@ def grams(spark, rows):
 
 
 def test_words_equal_a_plain_count(spark, monkeypatch):
-    monkeypatch.setattr(frequency, "BLOCK_WORDS", 3)
+    for name, value in (("BLOCK_WORDS", 3), ("RANGE", 4), ("BLOCK_RANGES", 1)):  # many blocks and ranges
+        monkeypatch.setattr(frequency, name, value)
     bodies = ["The reward; the REWARD.", "state-of-the-art 12 x_y", "", None, "Ärger ärger ÄRGER", "the " * 5000, "---"]
     rows = [{"paper_id": str(i), "body": b} for i, b in enumerate(bodies)] + [{"paper_id": "0", "body": bodies[0]}, {"paper_id": None, "body": "lost"}]
     counted = {r["word"]: (r["n_occurrences"], r["n_texts"]) for r in frequency.body_words(papers(spark, rows))[0].collect()}
