@@ -26,6 +26,23 @@ def _stars(edges: DataFrame, smaller: bool) -> DataFrame:
     return moved.where("a <> b").distinct()
 
 
+def pairs_within(rows: DataFrame, differ: str | None = None, size: int = 1024) -> DataFrame:
+    """(a, b), a < b: the ids of ``rows`` (block, id) that share a block, as often as they share one.
+
+    A block of more than ``size`` rows is spread over tiles by the number it holds, so no task gets
+    a whole crowd and no pair is left out. ``differ`` names a column in which the two must differ.
+    """
+    own = rows.select("block", "id", *[differ] * bool(differ))
+    sizes = own.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("block", F.ceil(F.col("n") / size).cast("int").alias("tiles"))
+    sized = cut(own.join(by_shuffle(sizes), "block").withColumn("tile", F.pmod(F.xxhash64("id"), "tiles").cast("int")))
+    left = sized.withColumnRenamed("id", "a").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).drop("tiles")
+    right = sized.withColumnRenamed("id", "b").drop("tiles")
+    if differ:
+        left, right = left.withColumnRenamed(differ, "x"), right.withColumnRenamed(differ, "y")
+    pairs = left.join(by_shuffle(right), ["block", "tile"]).where("a < b")
+    return (pairs.where("x <> y") if differ else pairs).select("a", "b")
+
+
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     """(a, b) for every node of ``links`` (a, b) but the least of its component, which is b.
 

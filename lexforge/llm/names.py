@@ -1,8 +1,9 @@
 """Which typed names mean the same person or organisation.
 
-Suffix blocking: every suffix of a name's tokens from ``SHORTEST`` letters on is a block; a suffix
-that too many names have is refined with other fields of the name and never dropped. Names that share a block are compared by the ratio of their longest common
-subsequence, part by part.
+Suffix blocking: every token of a name and every suffix of it from ``SHORTEST`` letters on is a
+block. A suffix that too many names have is refined with other fields of the name, and blocks that
+stay full are compared in tiles, so none is dropped. Names that share a block are compared by the
+ratio of their longest common subsequence, part by part.
 """
 
 from __future__ import annotations
@@ -15,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
-from .links import components
+from ..session import by_shuffle, cut
+from .links import components, pairs_within
 
 SHORTEST = 4
 #: Names a block may hold before its suffix is refined.
 COMMON = 64
 SURNAME_RATIO, GIVEN_RATIO = 0.84, 0.74
+#: Different proper words beside which a word must stand to tell no organisation from another.
+COMPANIONS = 3
 
 #: Words around a name that don't belong to it.
 TITLES = frozenset("dr prof professor mr mrs ms sir dame phd md msc bsc dphil jr sr ii iii".split())
@@ -44,13 +47,14 @@ def folded(text: str) -> str:
     return "".join(_APART.get(c, c) for c in plain)
 
 
-def tokens_of(name: str) -> tuple[list[str], list[bool], int]:
+def tokens_of(name: str, generic: frozenset[str] | set[str] = frozenset()) -> tuple[list[str], list[bool], int]:
     """Folded tokens of a typed name in order, whether each is initials, and how many stand before a comma (0: no comma).
 
-    Parts joined by a hyphen are one token of a person's name and several of an organisation's.
+    Parts joined by a hyphen are one token of a person's name and several of an organisation's, one
+    that has an organisation's word or one of the ``generic`` words.
     """
     apart = _tokens(name, False)
-    return apart if is_organisation(apart[0]) else _tokens(name, True)
+    return apart if is_organisation(apart[0], generic) else _tokens(name, True)
 
 
 def _tokens(name: str, joined: bool) -> tuple[list[str], list[bool], int]:
@@ -83,43 +87,57 @@ def _tokens(name: str, joined: bool) -> tuple[list[str], list[bool], int]:
     return [folded(t) for t, _ in raw], [i for _, i in raw], before
 
 
-def is_organisation(tokens: list[str]) -> bool:
-    return any(t in _LONG for t in tokens)
+def is_organisation(tokens: list[str], generic: frozenset[str] | set[str] = frozenset()) -> bool:
+    return any(t in _LONG or t in generic for t in tokens)
 
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per long token of a person's name, with its place: first (1), last (-1) or between (0), and whether there is a comma."""
+    """A row per long token of a name, in either reading, with its place: first (1), last (-1) or between (0), and whether the name was typed whole."""
     for batch in batches:
-        ids, tokens, places = [], [], []
-        for i, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        ids, tokens, places, wholes = [], [], [], []
+        for i, name, whole in zip(*(batch.column(c).to_pylist() for c in range(3))):
             own, short, before = tokens_of(name)
-            if is_organisation(own):
-                continue
+            organisation = is_organisation(own)
             long = [t for t, s in zip(own, short) if not s and t not in PARTICLES]
-            for k, t in enumerate(long):
-                plain = before == 0 and len(long) > 1
-                ids.append(i), tokens.append(t), places.append((1 if k == 0 else -1 if k == len(long) - 1 else 0) if plain else 0)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens, pa.string()), pa.array(places, pa.int32())], ["id", "token", "place"])
+            plain = before == 0 and len(long) > 1 and not organisation
+            rows = [(t, (1 if k == 0 else -1 if k == len(long) - 1 else 0) if plain else 0) for k, t in enumerate(long)]
+            if whole and not organisation:
+                rows += [(t, 0) for t, s in zip(*_tokens(name, False)[:2]) if not s and t not in long]
+            for t, place in rows:
+                ids.append(i), tokens.append(t), places.append(place), wholes.append(whole)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens, pa.string()), pa.array(places, pa.int32()), pa.array(wholes, pa.bool_())], ["id", "token", "place", "whole"])
+
+
+def _folded_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, formal): familiar forms and the names they stand for, both folded."""
+    for batch in batches:
+        rows = [(folded(short), folded(full)) for full, short in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if full and short]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(2)], ["token", "formal"])
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, kind, family, given, common, keys): the parts of a name, and the tokens it is blocked by.
+    """(id, kind, family, given, forms, common, words, brief, tokens, initials): the parts of a name, and the tokens it is blocked by.
 
     Each token comes with the share of first places among the names that have it; the order of given
-    and family names that fits the shares best is taken, so swapped fields are put right.
+    and family names that fits the shares best is taken, so swapped fields are put right. ``forms``
+    has the names each given name may stand for, ``common`` the given names in use or, of an
+    organisation, the words that tell none from another.
     """
     for batch in batches:
         out: list[tuple] = []
         for i, name, known in zip(*(batch.column(c).to_pylist() for c in range(3))):
-            own, short, before = tokens_of(name)
             stats = {k["token"]: (k["share"], k["n"]) for k in known or []}
-            if is_organisation(own):
+            generic = {k["token"] for k in known or [] if k["generic"]}
+            formal = {k["token"]: k["formal"] or [] for k in known or []}
+            own, short, before = tokens_of(name, generic)
+            if is_organisation(own, generic):
                 words = [_LONG.get(t, t) for t in own if t != "the"]
-                head = [w for w in words if w not in _LONG and len(w) > 3]
+                usual = [_LONG.get(t, t) for t in own if t in generic or t in _LONG]
+                head = [w for w in words if w not in usual and len(w) > 3]
                 # acronyms were taken for initials
                 brief = "".join(t for t, s in zip(own, short) if s)
                 rest = sorted(w for w, s in zip(own, short) if not s and w != "the")
-                out.append((i, "organisation", "", [], [], [_LONG.get(w, w) for w in rest], brief, head))
+                out.append((i, "organisation", "", [], [], usual, [_LONG.get(w, w) for w in rest], brief, head, [head[0][0]] if head else [""]))
                 continue
             items = [(t, s) for t, s in zip(own, short) if t not in PARTICLES or s]
             if before:
@@ -139,14 +157,18 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 family = [items[k][0] for k in family_at]
                 given = [x for k, x in enumerate(items) if k not in family_at]
             common = [t for t, s in given if not s and stats.get(t, (0, 0))[1] >= 5]
-            out.append((i, "person", "".join(family), [t for t, _ in given], common, [], "", family + [t for t, s in given if not s]))
-        columns = list(zip(*out)) or [[]] * 8
+            tokens = family + [t for t, s in given if not s]
+            forms = [[t, *formal.get(t, [])] for t, _ in given]
+            initials = sorted({f[0] for f in (forms[0] if forms else tokens[:1])}) or [""]
+            out.append((i, "person", "".join(family), [t for t, _ in given], forms, common, [], "", tokens, initials))
+        columns = list(zip(*out)) or [[]] * 10
         strings = pa.list_(pa.string())
-        kinds = [pa.int64(), pa.string(), pa.string(), strings, strings, strings, pa.string(), strings]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["id", "kind", "family", "given", "common", "words", "brief", "tokens"])
+        kinds = [pa.int64(), pa.string(), pa.string(), strings, pa.list_(strings), strings, strings, pa.string(), strings, strings]
+        names = ["id", "kind", "family", "given", "forms", "common", "words", "brief", "tokens", "initials"]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
 
 
-_PARTS = "id long, kind string, family string, given array<string>, common array<string>, words array<string>, brief string, tokens array<string>"
+_PARTS = "id long, kind string, family string, given array<string>, forms array<array<string>>, common array<string>, words array<string>, brief string, tokens array<string>, initials array<string>"
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -166,45 +188,43 @@ def ratio(a: str, b: str) -> float:
     return 2 * common_subsequence(a, b) / (len(a) + len(b)) if a and b else 0.0
 
 
-class Comparer:
-    """``short_forms``: pairs of a given name and its familiar form, in any spelling."""
+def alike(a: str, b: str, least: float) -> bool:
+    """Whether the ratio reaches ``least``; lengths that are too far apart are told without looking at letters."""
+    if a == b:
+        return bool(a)
+    return 2 * min(len(a), len(b)) >= least * (len(a) + len(b)) and ratio(a, b) >= least
 
-    def __init__(self, short_forms: list[tuple[str, str]]):
-        self.formal: dict[str, set[str]] = {}
-        for full, short in short_forms:
-            if full and short:
-                self.formal.setdefault(folded(short), set()).add(folded(full))
 
-    def forms(self, given: str) -> set[str]:
-        return {given} | self.formal.get(given, set())
+class Comparer:
+    """Compares the parts of two names, as :func:`_parsed` gives them."""
 
-    def given_fit(self, a: str, b: str, known_a: bool, known_b: bool) -> bool:
-        one, two = self.forms(a), self.forms(b)
+    @staticmethod
+    def given_fit(a: str, b: str, one: list[str], two: list[str], known_a: bool, known_b: bool) -> bool:
         if len(a) == 1 or len(b) == 1:
             return bool({x[0] for x in one} & {x[0] for x in two})
-        if one & two:
+        if a == b or set(one) & set(two):
             return True
         if known_a and known_b:  # two names in use
             return False
-        return max(ratio(x, y) for x in one for y in two) >= GIVEN_RATIO
+        return any(alike(x, y, GIVEN_RATIO) for x in one for y in two)
 
     @staticmethod
-    def _readings(x: dict) -> list[tuple[str, list[str]]]:
-        """Family and given names; a full name before the family name may be part of a double one that lost its hyphen."""
-        family, given = x["family"], x["given"]
+    def _readings(x: dict) -> list[tuple[str, list[str], list[list[str]]]]:
+        """Family and given names with their forms; a full name before the family name may be part of a double one that lost its hyphen."""
+        family, given, forms = x["family"], x["given"], x["forms"]
         double = len(given) > 1 and len(given[-1]) > 2 and given[-1] not in x["common"]
-        return [(family, given), (given[-1] + family, given[:-1])] if double else [(family, given)]
+        return [(family, given, forms), (given[-1] + family, given[:-1], forms[:-1])] if double else [(family, given, forms)]
 
     def person(self, a: dict, b: dict) -> bool:
-        known = set(a["common"]), set(b["common"])
-        for family, x in self._readings(a):
-            for other, y in self._readings(b):
-                if x and y and ratio(family, other) >= SURNAME_RATIO and all(self.given_fit(p, q, p in known[0], q in known[1]) for p, q in zip(x, y)):
+        for family, x, forms_x in self._readings(a):
+            for other, y, forms_y in self._readings(b):
+                if x and y and alike(family, other, SURNAME_RATIO) and all(self.given_fit(p, q, f, g, p in a["common"], q in b["common"]) for p, q, f, g in zip(x, y, forms_x, forms_y)):
                     return True
         return False
 
     def organisation(self, a: dict, b: dict) -> bool:
-        if max((ratio(p, q) for p in a["tokens"] for q in b["tokens"] if p not in _GENERIC and q not in _GENERIC), default=0) < SURNAME_RATIO:
+        generic = {*a["common"], *b["common"]}
+        if not any(alike(p, q, SURNAME_RATIO) for p in a["tokens"] for q in b["tokens"] if p not in generic and q not in generic):
             return False
         x, y = list(a["words"]), list(b["words"])
         if not self._covered(x, y, b["brief"]) and not self._covered(y, x, a["brief"]):
@@ -216,7 +236,7 @@ class Comparer:
         """Every word of ``x`` has its like in ``y`` or its letter in the acronym beside ``y``."""
         left, letters = list(y), list(brief)
         for w in x:
-            like = next((v for v in left if v == w or ratio(v, w) >= SURNAME_RATIO), None)
+            like = next((v for v in left if alike(v, w, SURNAME_RATIO)), None)
             if like is not None:
                 left.remove(like)
             elif w[0] in letters:
@@ -234,48 +254,54 @@ class Comparer:
         return a["kind"] == b["kind"] and (self.person(a, b) if a["kind"] == "person" else self.organisation(a, b))
 
 
-#: Words that tell no organisation from another.
-_GENERIC = frozenset([*_LONG, *"open deep wide field high energy northern southern eastern western coupled national international european".split()])
-
-
 def typed_names(papers: DataFrame) -> DataFrame:
-    """(id, name) of the different typed names: first name, a space, last name, or the last name alone. Blank ones are left out."""
+    """(id, name, whole) of the different typed names: first name, a space, last name, or the last name alone. Blank ones are left out.
+
+    ``whole``: the name was never typed in two fields.
+    """
     author = papers.select(F.explode("authors").alias("a"))
-    name = F.when(F.col("a.firstname").isNull(), F.col("a.lastname")).otherwise(F.concat_ws(" ", "a.firstname", "a.lastname"))
-    return author.select(name.alias("name")).where(F.length(F.trim("name")) > 0).distinct().select(F.monotonically_increasing_id().alias("id"), "name")
+    whole = F.col("a.firstname").isNull()
+    name = F.when(whole, F.col("a.lastname")).otherwise(F.concat_ws(" ", "a.firstname", "a.lastname"))
+    named = author.select(name.alias("name"), whole.alias("whole")).where(F.length(F.trim("name")) > 0).groupBy("name").agg(F.min("whole").alias("whole"))
+    return named.select(F.monotonically_increasing_id().alias("id"), "name", "whole")
 
 
-def _initials(comparer: Comparer) -> list[tuple[str, list[str]]]:
-    """(short form, the first letters of it and of the names it stands for) of every familiar form."""
-    return [(short, sorted({x[0] for x in comparer.forms(short) if x})) for short in comparer.formal if short]
+def _generic_words(counted: DataFrame) -> DataFrame:
+    """(token): words of names typed whole that never stand in two fields and stand beside ``COMPANIONS`` or more proper words.
+
+    A name's proper word is the rarest that others share; a word with several of those is of a kind, not a name.
+    """
+    own = counted.select("id", "token", "whole").distinct()
+    apart = own.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("apart")).where("apart and n >= 2").select("token", "n")
+    words = own.where("whole").join(by_shuffle(apart), "token").select("id", "token", "n")
+    proper = words.groupBy("id").agg(F.min_by("token", F.struct("n", "token")).alias("proper"))
+    return words.join(by_shuffle(proper), "id").select("token", "proper").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMPANIONS).select("token")
 
 
-def _blocks(parts: DataFrame, comparer: Comparer) -> DataFrame:
-    """(block, id): the suffixes of every name's tokens, refined where they are common.
+def _blocks(parts: DataFrame) -> DataFrame:
+    """(block, id): the tokens of every name and their suffixes, refined where they are common.
 
-    A name is in the refined blocks of the first letters of all forms of its given name, as any of them may be the one another name has.
+    The first refinement is by the first letters of all forms of the given name, as any of them may
+    be the one another name has; the second by any two of the first three letters of the family
+    name, in order, so two heads that a slip of one letter parts still share a block.
     """
-    token = parts.select("id", "kind", "family", F.coalesce(F.get("given", F.lit(0)), F.get("tokens", F.lit(0)), F.lit("")).alias("first"), F.explode(F.array_distinct("tokens")).alias("token"))
+    head = F.when(F.length("family") > 0, F.col("family")).otherwise(F.coalesce(F.get("tokens", F.lit(0)), F.lit("")))
+    token = parts.select("id", head.alias("head"), "initials", F.explode(F.array_distinct("tokens")).alias("token"))
     ends = F.sequence(F.lit(0), F.greatest(F.length("token") - SHORTEST, F.lit(0)))
-    suffix = token.select("*", F.explode(F.transform(ends, lambda i: F.substring(F.col("token"), i + 1, F.lit(1000)))).alias("suffix")).select("id", "family", "first", "token", "suffix").where(F.length("suffix") >= 3)
-    initials = parts.sparkSession.createDataFrame(_initials(comparer), "first string, initials array<string>")
-    suffix = suffix.join(F.broadcast(initials), "first", "left").withColumn("initials", F.coalesce("initials", F.array(F.substring("first", 1, 1))))
-    head = F.substring(F.when(F.length("family") > 0, F.col("family")).otherwise(F.col("first")), 1, 3)
-    levels = [F.concat_ws("|", F.lit("0"), "suffix"), F.concat_ws("|", F.lit("1"), "suffix", "initial"), F.concat_ws("|", F.lit("2"), "suffix", "initial", head)]
-    kept, rest = [], suffix
-    for level, key in enumerate(levels):
-        if level == 1:
-            rest = rest.withColumn("initial", F.explode("initials"))
-        keyed = rest.withColumn("block", key)
-        sizes = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
-        joined = keyed.join(sizes, "block")
-        last = level == len(levels) - 1
-        fits = F.lit(True) if last else F.col("n") <= COMMON
-        kept.append(joined.where(fits & (F.col("n") > 1)).select("block", "id"))
+    rest = token.select("id", "head", "initials", F.explode(F.transform(ends, lambda i: F.substring(F.col("token"), i + 1, F.lit(1000)))).alias("suffix"))
+    letter = lambda i: F.substring("head", i, 1)
+    twos = F.array_distinct(F.array(F.concat(letter(1), letter(2)), F.concat(letter(1), letter(3)), F.concat(letter(2), letter(3))))
+    levels = [(None, None, ["suffix"]), ("initial", F.explode("initials"), ["suffix", "initial"]), ("two", F.explode(twos), ["suffix", "initial", "two"])]
+    out = None
+    for level, (name, value, key) in enumerate(levels):
+        if name:
+            rest = rest.withColumn(name, value)
+        keyed = rest.withColumn("block", F.concat_ws("|", F.lit(str(level)), *key))
+        joined = keyed.join(by_shuffle(keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n"))), "block")
+        fits = (F.col("n") > 1) if level == len(levels) - 1 else (F.col("n") > 1) & (F.col("n") <= COMMON)
+        kept = joined.where(fits).select("block", "id")
+        out = kept if out is None else out.unionByName(kept)
         rest = joined.where(F.col("n") > COMMON).drop("block", "n")
-    out = kept[0]
-    for more in kept[1:]:
-        out = out.unionByName(more)
     return out
 
 
@@ -286,42 +312,42 @@ def linked_names(papers: DataFrame, given_names: DataFrame) -> DataFrame:
     agree by the ratio of their common subsequence; given names must be equal, a familiar form, a
     misspelling or an initial of each other, place by place, as far as both have them. Organisations
     must share a proper word, and the words of one must be covered by those or an acronym of the
-    other. Null and blank names are left out; names that repeat count once; empty tables give no rows.
+    other; which words are proper is told by the company they keep. Null and blank names are left
+    out; names that repeat count once; empty tables give no rows.
     """
     names = cut(typed_names(papers))
-    counted = names.mapInArrow(_named, "id long, token string, place int")
+    counted = cut(names.mapInArrow(_named, "id long, token string, place int, whole boolean"))
     stats = counted.groupBy("token").agg(F.sum((F.col("place") == 1).cast("int")).alias("firsts"), F.sum((F.col("place") == -1).cast("int")).alias("lasts"))
     stats = stats.select("token", ((F.col("firsts") + 0.5) / (F.col("firsts") + F.col("lasts") + 1)).alias("share"), F.col("firsts").alias("n"))
-    own = counted.select("id", "token").distinct().join(stats, "token").groupBy("id").agg(F.collect_list(F.struct("token", "share", "n")).alias("known"))  # the tokens of one name
-    parts = cut(names.join(own, "id", "left").select("id", "name", "known").mapInArrow(_parsed, _PARTS))
-
-    forms = [tuple(r) for r in given_names.select("given_name", "short_form").distinct().limit(100_001).collect()]
-    if len(forms) > 100_000:
-        raise ValueError("given_names is no small table")
-
-    block = cut(_blocks(parts, Comparer(forms)))
-    a, b = block.withColumnRenamed("id", "a"), block.withColumnRenamed("id", "b")
-    pairs = a.join(b, "block").where("a < b").select("a", "b").distinct()
+    formal = given_names.select(F.col("given_name").cast("string"), F.col("short_form").cast("string")).mapInArrow(_folded_forms, "token string, formal string").groupBy("token").agg(F.collect_set("formal").alias("formal"))  # of one short form
+    stats = stats.join(by_shuffle(_generic_words(counted).withColumn("generic", F.lit(True))), "token", "left").join(by_shuffle(formal), "token", "left")
+    known = F.struct("token", "share", "n", F.coalesce("generic", F.lit(False)).alias("generic"), "formal")
+    own = counted.select("id", "token").distinct().join(by_shuffle(stats), "token").groupBy("id").agg(F.collect_list(known).alias("known"))  # the tokens of one name
+    parts = cut(names.join(by_shuffle(own), "id", "left").select("id", "name", "known").mapInArrow(_parsed, _PARTS))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        comparer = Comparer(forms)
+        comparer = Comparer()
         for batch in batches:
             a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
             same = [i for i in range(len(a)) if comparer.same(x[i], y[i])]
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in same], pa.int64()), pa.array([b[i] for i in same], pa.int64())], ["a", "b"])
 
-    struct = F.struct("kind", "family", "given", "common", "words", "brief", "tokens")
-    left, right = parts.select(F.col("id").alias("a"), struct.alias("x")), parts.select(F.col("id").alias("b"), struct.alias("y"))
+    struct = F.struct("kind", "family", "given", "forms", "common", "words", "brief", "tokens")
+    left, right = (by_shuffle(parts.select(F.col("id").alias(i), struct.alias(x))) for i, x in (("a", "x"), ("b", "y")))
 
     def confirmed(candidates: DataFrame) -> DataFrame:
         return candidates.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compared, "a long, b long")
 
+    pairs = cut(pairs_within(_blocks(parts)).distinct())
     links = cut(confirmed(pairs))
     # Names without a common suffix, such as a slip in the last letters beside initials, may share a neighbour.
+    # Those of one spelling of the family name have met already, so only others are paired.
+    spelling = by_shuffle(parts.select("id", F.when(F.col("kind") == "person", F.col("family")).otherwise(F.concat_ws(" ", "words")).alias("spelling")))
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    around = both.select(F.col("b").alias("via"), "a").join(both.select(F.col("a").alias("via"), "b"), "via").where("a < b").select("a", "b").distinct()
-    links = links.unionByName(confirmed(around.join(links, ["a", "b"], "left_anti")))
-    named = links.join(names.select(F.col("id").alias("a"), F.col("name").alias("p")), "a").join(names.select(F.col("id").alias("b"), F.col("name").alias("q")), "b")
+    around = pairs_within(both.select(F.col("b").alias("block"), F.col("a").alias("id")).join(spelling, "id"), "spelling").distinct()
+    links = links.unionByName(confirmed(around.join(by_shuffle(pairs), ["a", "b"], "left_anti")))
+    x, y = (by_shuffle(names.select(F.col("id").alias(i), F.col("name").alias(n))) for i, n in (("a", "p"), ("b", "q")))
+    named = links.join(x, "a").join(y, "b")
     return named.select(F.least("p", "q").alias("name_1"), F.greatest("p", "q").alias("name_2"))
 
 
@@ -330,5 +356,5 @@ def entities(papers: DataFrame, given_names: DataFrame) -> DataFrame:
     links = cut(linked_names(papers, given_names))
     roots = components(links.select(F.col("name_1").alias("a"), F.col("name_2").alias("b")))
     degree = links.select(F.explode(F.array("name_1", "name_2")).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n_links"))
-    joined = typed_names(papers).select("name").join(degree, "name", "left").join(roots.select(F.col("a").alias("name"), F.col("b").alias("root")), "name", "left")
+    joined = typed_names(papers).select("name").join(by_shuffle(degree), "name", "left").join(by_shuffle(roots.select(F.col("a").alias("name"), F.col("b").alias("root"))), "name", "left")
     return joined.select("name", F.coalesce("root", "name").alias("entity"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

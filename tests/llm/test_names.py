@@ -91,6 +91,41 @@ def test_a_proper_suffix_of_a_crowd_is_not_dropped(spark, monkeypatch):
     assert ("O. Karmoivanenko", "Olga Karmolivanenko") in found
 
 
+def test_short_family_names_and_short_tokens_meet(spark):
+    typed = [("W.", "Li"), ("Wei", "Li"), ("Wei", "Lo"), ("Bo", "Y"), ("Bo", "Wu"), ("B.", "Wu")]
+    found = {tuple(r) for r in names.linked_names(authors(spark, typed), forms(spark)).collect()}
+    assert found == {("W. Li", "Wei Li"), ("B. Wu", "Bo Wu")}
+
+
+def test_a_slip_in_the_head_of_a_crowded_family_name(spark, monkeypatch):
+    monkeypatch.setattr(names, "COMMON", 8)
+    crowd = [("Olga", f"Kar{a}u{b}ivanenko") for a in "bdfgknp" for b in "tdp"]
+    slips = [f"{x}molivanenko" for x in ("Dro", "Do", "Dro", "Rdo", "Dio")]
+    found = {tuple(r) for r in names.linked_names(authors(spark, crowd, [("Olga", x) for x in slips]), forms(spark)).collect()}
+    full = sorted({f"Olga {x}" for x in slips})
+    assert {(a, b) for i, a in enumerate(full) for b in full[i + 1 :] if "Dromolivanenko" in a + b} <= found
+
+
+def test_a_crowd_of_one_family_name_with_a_hub(spark):
+    """Five hundred given names of one family name and an initial that fits a share of them: all pairs with the hub, in tiles."""
+    given = [f"{a}{v}{b}{w}{c}" for a in "OAE" for v in "aeiou" for b in "lmnr" for w in "ai" for c in "kstd"][:480]
+    own = [(g.title(), "Cletzapovi") for g in given] + [("O.", "Cletzapovi"), ("O.", "Celtzapovi")]
+    found = {tuple(r) for r in names.linked_names(authors(spark, own, [(g.title(), "Brenmolat") for g in given] * 1), forms(spark)).collect()}
+    hub = {tuple(sorted(("O. Cletzapovi", f"{g.title()} Cletzapovi"))) for g in given if g[0] == "O"}
+    assert hub <= found and ("O. Celtzapovi", "O. Cletzapovi") in found
+    assert not any("O. Clet" in a + b and " Cletzapovi" in a + b and not {a[0], b[0]} == {"O"} for a, b in found)
+
+
+def test_generic_words_are_told_by_their_company(spark):
+    """No list has these words: beside many proper words they tell no organisation from another."""
+    proper = ["Wegegifayl", "Kokegowoine", "Dilalabuite", "Nupigaheyl", "Lolididiase"]
+    typed = [(None, f"{p} Plovdor Hebrat") for p in proper] + [(None, f"Plovdor Hebrat {p}") for p in proper] + [(None, "Wgeegifayl Plovdor Hebrat")]
+    people = [(g, f) for g in ("Olga", "Ravi") for f in ("Brenmolat", "Vosgitane")]
+    found = {tuple(r) for r in names.linked_names(authors(spark, typed, people), forms(spark)).collect()}
+    same = {tuple(sorted((f"{p} Plovdor Hebrat", f"Plovdor Hebrat {p}"))) for p in proper}
+    assert found == same | {tuple(sorted(("Wgeegifayl Plovdor Hebrat", x))) for x in ("Wegegifayl Plovdor Hebrat", "Plovdor Hebrat Wegegifayl")}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("abcd", max_size=12), st.text("abcd", max_size=12))
 def test_common_subsequence(a, b):
