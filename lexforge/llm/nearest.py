@@ -16,12 +16,12 @@ from .papers import one_per_paper
 
 WIDTH = 64
 #: The tree is fitted on at most so many vectors, those of the lowest hash; all vectors are indexed.
-SAMPLE = 4096
+SAMPLE = 8192
 #: Queries, those of the next hashes (of the last where no more are there), whose true neighbours say how many leaves a search must visit.
 CALIBRATION = 256
 BRANCHES = 8
 #: Vectors a leaf is meant to hold, and that one cell of a crowded leaf holds at most.
-LEAF, CELL = 384, 4096
+LEAF, CELL = 768, 4096
 #: Leaves that are fuller than so many times ``LEAF`` on average are fitted again, each on at most so many of its own vectors, up to so many leaves in all.
 CROWDED, AGAIN, MOST_LEAVES = 3, 2048, 65_536
 #: Vectors, and visits by queries, that one task gets together.
