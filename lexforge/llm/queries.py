@@ -84,7 +84,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
     done = encodings.repaired(table(spark, folder, "documents")).where("garbled")
-    return done.select("doc_id", F.array_join("chain", ", then ").alias("chain"), "restored")
+    return done.select("doc_id", "reason", F.array_join("chain", ", then ").alias("chain"), "restored")
 
 
 def queries() -> dict[str, Query]:
