@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import by_shuffle, cut
@@ -26,21 +26,20 @@ def _stars(edges: DataFrame, smaller: bool) -> DataFrame:
     return moved.where("a <> b").distinct()
 
 
-def pairs_within(rows: DataFrame, differ: str | None = None, size: int = 1024) -> DataFrame:
-    """(a, b), a < b: the ids of ``rows`` (block, id) that share a block, as often as they share one.
+def pairs_within(rows: DataFrame, where: Column) -> DataFrame:
+    """(a, b), a < b: the ids of ``rows`` (block, id, tiles, v) that share a block and whose structs ``x.v`` and ``y.v`` fit ``where``, each pair once.
 
-    A block of more than ``size`` rows is spread over tiles by the number it holds, so no task gets
-    a whole crowd and no pair is left out. ``differ`` names a column in which the two must differ.
+    A block is spread over ``tiles`` tiles, which tell how many rows it holds, so no task gets a
+    whole crowd and no pair is left out.
     """
-    own = rows.select("block", "id", *[differ] * bool(differ))
-    sizes = own.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("block", F.ceil(F.col("n") / size).cast("int").alias("tiles"))
-    sized = cut(own.join(by_shuffle(sizes), "block").withColumn("tile", F.pmod(F.xxhash64("id"), "tiles").cast("int")))
-    left = sized.withColumnRenamed("id", "a").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).drop("tiles")
-    right = sized.withColumnRenamed("id", "b").drop("tiles")
-    if differ:
-        left, right = left.withColumnRenamed(differ, "x"), right.withColumnRenamed(differ, "y")
-    pairs = left.join(by_shuffle(right), ["block", "tile"]).where("a < b")
-    return (pairs.where("x <> y") if differ else pairs).select("a", "b")
+    left = rows.select("block", F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("v").alias("x"))
+    right = rows.select("block", F.col("id").alias("b"), F.pmod(F.xxhash64("id"), "tiles").cast("int").alias("tile"), F.col("v").alias("y"))
+    return left.join(by_shuffle(right), ["block", "tile"]).where("a < b").where(where).select("a", "b").distinct()
+
+
+def tiles(n: Column, size: int = 1024) -> Column:
+    """Tiles of about ``size`` rows for a block of ``n``."""
+    return F.ceil(n / size).cast("int")
 
 
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:

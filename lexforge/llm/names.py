@@ -13,11 +13,11 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import by_shuffle, cut
-from .links import components, pairs_within
+from .links import components, pairs_within, tiles
 
 SHORTEST = 4
 #: Names a block may hold before its suffix is refined.
@@ -116,7 +116,7 @@ def _folded_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, kind, family, given, forms, common, words, brief, tokens, initials): the parts of a name, and the tokens it is blocked by.
+    """(id, kind, family, double, given, forms, common, words, brief, tokens, initials): the parts of a name, and the tokens it is blocked by.
 
     Each token comes with the share of first places among the names that have it; the order of given
     and family names that fits the shares best is taken, so swapped fields are put right. ``forms``
@@ -137,7 +137,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 # acronyms were taken for initials
                 brief = "".join(t for t, s in zip(own, short) if s)
                 rest = sorted(w for w, s in zip(own, short) if not s and w != "the")
-                out.append((i, "organisation", "", [], [], usual, [_LONG.get(w, w) for w in rest], brief, head, [head[0][0]] if head else [""]))
+                out.append((i, "organisation", "", None, [], [], usual, [_LONG.get(w, w) for w in rest], brief, head, [head[0][0]] if head else [""]))
                 continue
             items = [(t, s) for t, s in zip(own, short) if t not in PARTICLES or s]
             if before:
@@ -160,15 +160,18 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens = family + [t for t, s in given if not s]
             forms = [[t, *formal.get(t, [])] for t, _ in given]
             initials = sorted({f[0] for f in (forms[0] if forms else tokens[:1])}) or [""]
-            out.append((i, "person", "".join(family), [t for t, _ in given], forms, common, [], "", tokens, initials))
-        columns = list(zip(*out)) or [[]] * 10
+            # a full name before the family name may be part of a double one that lost its hyphen
+            last = given[-1][0] if len(given) > 1 and len(given[-1][0]) > 2 and given[-1][0] not in common else None
+            double = last and last + "".join(family)
+            out.append((i, "person", "".join(family), double, [t for t, _ in given], forms, common, [], "", tokens, initials))
+        columns = list(zip(*out)) or [[]] * 11
         strings = pa.list_(pa.string())
-        kinds = [pa.int64(), pa.string(), pa.string(), strings, pa.list_(strings), strings, strings, pa.string(), strings, strings]
-        names = ["id", "kind", "family", "given", "forms", "common", "words", "brief", "tokens", "initials"]
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), strings, pa.list_(strings), strings, strings, pa.string(), strings, strings]
+        names = ["id", "kind", "family", "double", "given", "forms", "common", "words", "brief", "tokens", "initials"]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
 
 
-_PARTS = "id long, kind string, family string, given array<string>, forms array<array<string>>, common array<string>, words array<string>, brief string, tokens array<string>, initials array<string>"
+_PARTS = "id long, kind string, family string, double string, given array<string>, forms array<array<string>>, common array<string>, words array<string>, brief string, tokens array<string>, initials array<string>"
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -210,10 +213,9 @@ class Comparer:
 
     @staticmethod
     def _readings(x: dict) -> list[tuple[str, list[str], list[list[str]]]]:
-        """Family and given names with their forms; a full name before the family name may be part of a double one that lost its hyphen."""
+        """Family and given names with their forms, in both readings of a name that may be a double one."""
         family, given, forms = x["family"], x["given"], x["forms"]
-        double = len(given) > 1 and len(given[-1]) > 2 and given[-1] not in x["common"]
-        return [(family, given, forms), (given[-1] + family, given[:-1], forms[:-1])] if double else [(family, given, forms)]
+        return [(family, given, forms), (x["double"], given[:-1], forms[:-1])] if x["double"] else [(family, given, forms)]
 
     def person(self, a: dict, b: dict) -> bool:
         for family, x, forms_x in self._readings(a):
@@ -278,8 +280,22 @@ def _generic_words(counted: DataFrame) -> DataFrame:
     return words.join(by_shuffle(proper), "id").select("token", "proper").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMPANIONS).select("token")
 
 
+def _may_agree() -> Column:
+    """Whether two names (kind, family, double) may reach ``SURNAME_RATIO``: what the ratio asks of lengths and edits, told before any name is fetched."""
+
+    def near(p: Column, q: Column) -> Column:
+        room = (F.length(p) + F.length(q)) * (1 - SURNAME_RATIO) + 1e-9
+        return (F.abs(F.length(p) - F.length(q)) <= room) & (F.levenshtein(p, q) <= room)
+
+    each = [near(F.col(f"x.{p}"), F.col(f"y.{q}")) for p in ("family", "double") for q in ("family", "double")]
+    any_near = F.coalesce(each[0], F.lit(False))
+    for one in each[1:]:
+        any_near = any_near | F.coalesce(one, F.lit(False))
+    return (F.col("x.kind") == F.col("y.kind")) & ((F.col("x.kind") == "organisation") | any_near)
+
+
 def _blocks(parts: DataFrame) -> DataFrame:
-    """(block, id): the tokens of every name and their suffixes, refined where they are common.
+    """(block, id, tiles): the tokens of every name and their suffixes, refined where they are common.
 
     The first refinement is by the first letters of all forms of the given name, as any of them may
     be the one another name has; the second by any two of the first three letters of the family
@@ -299,7 +315,7 @@ def _blocks(parts: DataFrame) -> DataFrame:
         keyed = rest.withColumn("block", F.concat_ws("|", F.lit(str(level)), *key))
         joined = keyed.join(by_shuffle(keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n"))), "block")
         fits = (F.col("n") > 1) if level == len(levels) - 1 else (F.col("n") > 1) & (F.col("n") <= COMMON)
-        kept = joined.where(fits).select("block", "id")
+        kept = joined.where(fits).select("block", "id", tiles(F.col("n")).alias("tiles"))
         out = kept if out is None else out.unionByName(kept)
         rest = joined.where(F.col("n") > COMMON).drop("block", "n")
     return out
@@ -332,19 +348,20 @@ def linked_names(papers: DataFrame, given_names: DataFrame) -> DataFrame:
             same = [i for i in range(len(a)) if comparer.same(x[i], y[i])]
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in same], pa.int64()), pa.array([b[i] for i in same], pa.int64())], ["a", "b"])
 
-    struct = F.struct("kind", "family", "given", "forms", "common", "words", "brief", "tokens")
+    struct = F.struct("kind", "family", "double", "given", "forms", "common", "words", "brief", "tokens")
     left, right = (by_shuffle(parts.select(F.col("id").alias(i), struct.alias(x))) for i, x in (("a", "x"), ("b", "y")))
 
     def confirmed(candidates: DataFrame) -> DataFrame:
         return candidates.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compared, "a long, b long")
 
-    pairs = cut(pairs_within(_blocks(parts)).distinct())
+    brief = by_shuffle(parts.select("id", F.struct("kind", "family", "double", F.when(F.col("kind") == "person", F.col("family")).otherwise(F.concat_ws(" ", "words")).alias("spelling")).alias("v")))
+    pairs = cut(pairs_within(cut(_blocks(parts).join(brief, "id")), _may_agree()))
     links = cut(confirmed(pairs))
     # Names without a common suffix, such as a slip in the last letters beside initials, may share a neighbour.
     # Those of one spelling of the family name have met already, so only others are paired.
-    spelling = by_shuffle(parts.select("id", F.when(F.col("kind") == "person", F.col("family")).otherwise(F.concat_ws(" ", "words")).alias("spelling")))
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    around = pairs_within(both.select(F.col("b").alias("block"), F.col("a").alias("id")).join(spelling, "id"), "spelling").distinct()
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("b").alias("block"), F.col("a").alias("id"))
+    degree = both.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("block", tiles(F.col("n")).alias("tiles"))
+    around = pairs_within(cut(both.join(by_shuffle(degree), "block").join(brief, "id")), _may_agree() & (F.col("x.spelling") != F.col("y.spelling")))
     links = links.unionByName(confirmed(around.join(by_shuffle(pairs), ["a", "b"], "left_anti")))
     x, y = (by_shuffle(names.select(F.col("id").alias(i), F.col("name").alias(n))) for i, n in (("a", "p"), ("b", "q")))
     named = links.join(x, "a").join(y, "b")
