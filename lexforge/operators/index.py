@@ -6,6 +6,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from ..session import spread
+
+
+def runs(tokens: Column) -> Column:
+    """An array of (term, n): the distinct elements of an array and how often each occurs, by sorting it within the row."""
+    s = F.sort_array(F.filter(tokens, lambda x: x.isNotNull()))
+    starts = lambda t: F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
+    counted = lambda t, at: F.transform(at, lambda p, k: F.struct(F.get(t, p).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(t)) - p).cast("long").alias("n")))
+    # each step is bound once, as the variable of a lambda over a one-element array
+    bound = F.transform(F.array(s), lambda t: F.transform(F.array(starts(t)), lambda at: counted(t, at)))
+    return F.when(F.size(s) > 0, F.flatten(F.flatten(bound)))
+
+
+def weighted_terms(texts: DataFrame, key: str, text: str = "text", tokens: Column | None = None) -> DataFrame:
+    """(key, term, n, lnc) of texts whose keys are unique: what :func:`term_counts` and :func:`log_weights` give, without a shuffle.
+
+    A row is a whole text, so its words are counted and its vector's length is taken where it lies.
+    Null texts have no rows.
+    """
+    rows = spread(texts.select(key, (tokens if tokens is not None else words(F.col(text))).alias("t")), key)
+    counted = rows.select(key, runs(F.col("t")).alias("r"))
+    square = F.aggregate("r", F.lit(0.0), lambda s, x: s + (1 + F.log(x["n"])) * (1 + F.log(x["n"])))
+    each = counted.select(key, F.sqrt(square).alias("length"), F.explode("r").alias("x"))
+    return each.select(key, "x.term", "x.n", ((1 + F.log("x.n")) / F.col("length")).alias("lnc"))
 
 
 def term_counts(texts: DataFrame, key: str, text: str = "text", tokens: Column | None = None) -> DataFrame:
@@ -43,18 +67,35 @@ def term_stats(postings: DataFrame, value: str) -> DataFrame:
 def posting_chunks(postings: DataFrame, key: str, value: str, size: int = 6000) -> DataFrame:
     """(term, chunk, size, max_val, min_val): a term's postings by falling value, in chunks of ``size``.
 
-    A term that half of all texts have would be one task's sort; so places are counted in two steps,
-    first per (term, slice of texts), and chunk borders follow from the values alone: within a slice
-    rows are numbered, the slices' counts of larger values are added through a bounded histogram of
-    each term's values.
+    A term that half of all texts have would be one task's sort; so postings of one value are counted
+    first, before the shuffle as well, and chunk borders follow from these counts: a bounded histogram
+    of each term's values tells how many are larger than those of a bucket, and only the different
+    values of a bucket are ordered. However many postings share a value, they are one row here, as
+    their order by ``key`` makes no difference to what comes out.
     """
-    bucket = F.floor(F.col(value) * 4096)
-    hist = postings.groupBy("term", bucket.alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    above = hist.withColumn("above", F.coalesce(F.sum("c").over(Window.partitionBy("term").orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("term", "b", "above")
-    inside = Window.partitionBy("term", "b").orderBy(F.desc(value), key)
-    placed = postings.withColumn("b", bucket).withColumn("r", F.row_number().over(inside)).join(above, ["term", "b"])
-    chunk = F.floor((F.col("above") + F.col("r") - 1) / size)
-    return placed.withColumn("chunk", chunk.cast("long")).groupBy("term", "chunk").agg(F.count(F.lit(1)).alias("size"), F.max(value).alias("max_val"), F.min(value).alias("min_val"))
+    counts = postings.groupBy("term", F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c")).withColumn("b", F.floor(F.col("v") * 4096))
+    hist = counts.groupBy("term", "b").agg(F.sum("c").alias("c"))
+    earlier = lambda w: F.coalesce(F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    above = hist.withColumn("above", earlier(Window.partitionBy("term").orderBy(F.desc("b")))).select("term", "b", "above")
+    placed = counts.withColumn("before", earlier(Window.partitionBy("term", "b").orderBy(F.desc("v")))).join(above, ["term", "b"])
+    first = F.col("above") + F.col("before")
+    runs_in = placed.select("term", "v", first.alias("first"), (first + F.col("c")).alias("end"))
+    each = runs_in.select("*", F.explode(F.sequence(F.floor(F.col("first") / size), F.floor((F.col("end") - 1) / size))).alias("chunk"))
+    inside = F.least("end", (F.col("chunk") + 1) * size) - F.greatest("first", F.col("chunk") * size)
+    return each.groupBy("term", "chunk").agg(F.sum(inside).alias("size"), F.max("v").alias("max_val"), F.min("v").alias("min_val"))
+
+
+def posting_ranks(postings: DataFrame, key: str, value: str) -> DataFrame:
+    """Postings with their ``rank`` within the term: by falling value, then by key.
+
+    All are numbered in one order over range partitions, so a term with very many postings is spread
+    over several; a term's ranks are its numbers less its first one.
+    """
+    from ..session import by_shuffle, cut
+
+    placed = cut(numbered(postings.withColumn("_v", -F.col(value)), ["term", "_v", key], "_n").drop("_v"))
+    first = placed.groupBy("term").agg(F.min("_n").alias("_first"))
+    return placed.join(by_shuffle(first), "term").withColumn("rank", F.col("_n") - F.col("_first") + 1).drop("_n", "_first")
 
 
 def gram_counts(texts: DataFrame, key: str, text: str = "text", pairs: bool = True) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import grams, valid_query, words
-from ..session import broadcast_if_small, cut
+from ..session import broadcast_if_small, by_shuffle, cut
 
 #: Weights of the unit types; a wiki text counts as a full text.
 WEIGHTS = {1: 0.4, 2: 0.2, 3: 0.2, 4: 0.2, 5: 0.4}
@@ -101,6 +101,7 @@ def search_stored(queries: DataFrame, terms: DataFrame, gram: DataFrame, idf: Da
     """(query_id, rank, doc, score) from a stored index; units count for their parent.
 
     Repeated postings count once, with the largest weight; postings with a null weight add nothing.
+    ``doc`` is the internal number of the document; :func:`with_text_id` names it.
     """
     named, df = stored_grams(terms, gram, idf)
     vectors = query_vectors(query_grams(queries).join(df, ["term1", "term2"], "left"), units.count())
@@ -112,20 +113,48 @@ def search_stored(queries: DataFrame, terms: DataFrame, gram: DataFrame, idf: Da
     return top(scored, n).select("query_id", "rank", "doc", "score")
 
 
-def search_units(queries: DataFrame, units: DataFrame, weights: dict[int, float] | None = None, n: int = 10, idf=idf_log) -> DataFrame:
-    """(query_id, rank, doc, score) over units (text_id, doc_type, text, parent) that are indexed for it.
+def with_text_id(ranked: DataFrame, units: DataFrame, key: str = "doc") -> DataFrame:
+    """Ranked rows with the ``text_id`` of their documents, null for a number that ``units`` (doc_id, text_id) lacks."""
+    names = units.select(F.col("doc_id").alias(key), "text_id").join(broadcast_if_small(ranked.select(key).distinct()), key, "left_semi")
+    return ranked.join(by_shuffle(names), key, "left").select(*ranked.columns, "text_id")
 
-    The index is built once and written to the checkpoint folder; df and scores come from it. Units
-    are scored first and meet their type and parent only then, as few of them match.
+
+def doc_ids_of(texts: DataFrame, units: DataFrame) -> DataFrame:
+    """(text_id, doc_id, parent_doc) of the rows of ``texts`` (text_id); numbers are null where ``units`` doesn't have the text.
+
+    A text_id that repeats in ``texts`` comes out once.
+    """
+    asked = texts.select("text_id").distinct()
+    known = units.select("text_id", "doc_id", "parent_doc").join(broadcast_if_small(asked), "text_id", "left_semi")
+    return asked.join(by_shuffle(known), "text_id", "left").select("text_id", "doc_id", "parent_doc")
+
+
+class UnitIndex:
+    """An index of units (text_id, doc_type, text, parent), built once and asked as often as wanted.
+
+    Postings, document frequencies and what is known of each unit are written to the checkpoint
+    folder; texts are read once, and a query meets none.
+    """
+
+    def __init__(self, units: DataFrame):
+        from .index import document_frequency, weighted_terms
+
+        self.about = cut(units.select("text_id", "doc_type", "parent"))
+        self.postings = cut(weighted_terms(units, "text_id"))
+        self.df = cut(document_frequency(self.postings))
+        self.size = self.about.count()
+
+
+def search_units(queries: DataFrame, units: DataFrame | UnitIndex, weights: dict[int, float] | None = None, n: int = 10, idf=idf_log) -> DataFrame:
+    """(query_id, rank, doc, score) over units (text_id, doc_type, text, parent) or an index of them.
+
+    Units are scored first and meet their type and parent only then, as few of them match.
     """
-    from .index import document_frequency, log_weights, term_counts
-
-    postings = cut(log_weights(term_counts(units, "text_id"), "text_id"))
-    about = cut(units.select("text_id", "doc_type", "parent"))
-    df = document_frequency(postings).select(F.col("term").alias("term1"), F.lit("").alias("term2"), "df")
-    vectors = query_vectors(query_grams(queries).join(df, ["term1", "term2"], "left"), about.count(), idf).where("term2 = ''")
-    matched = scores(vectors, postings.select(F.col("term").alias("term1"), "text_id", "lnc"), ["term1"], F.col("text_id"))
-    typed = matched.withColumnRenamed("doc", "text_id").join(about, "text_id")
+    index = units if isinstance(units, UnitIndex) else UnitIndex(units)
+    df = index.df.select(F.col("term").alias("term1"), F.lit("").alias("term2"), "df")
+    vectors = query_vectors(query_grams(queries).join(df, ["term1", "term2"], "left"), index.size, idf).where("term2 = ''")
+    matched = scores(vectors, index.postings.select(F.col("term").alias("term1"), "text_id", "lnc"), ["term1"], F.col("text_id"))
+    typed = matched.withColumnRenamed("doc", "text_id").join(index.about, "text_id")
     weighed = F.col("score") * type_weight(F.col("doc_type"), weights or WEIGHTS)
     scored = typed.groupBy("query_id", F.coalesce("parent", "text_id").alias("doc")).agg(F.sum(weighed).alias("score"))
     return top(scored, n).select("query_id", "rank", "doc", "score")

@@ -28,7 +28,11 @@ def query_set(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _counts(spark, folder):
-    return index.term_counts(documents(spark, folder), "doc_id")
+    return _weighted(spark, folder).drop("lnc")
+
+
+def _weighted(spark, folder):
+    return index.weighted_terms(documents(spark, folder), "doc_id")  # doc_id is unique
 
 
 def term_counts(spark, folder):
@@ -40,7 +44,7 @@ def doc_freq(spark, folder):
 
 
 def lnc_weights(spark, folder):
-    return index.log_weights(_counts(spark, folder), "doc_id").withColumn("lnc", F.round("lnc", 6))
+    return _weighted(spark, folder).withColumn("lnc", F.round("lnc", 6))
 
 
 def doc_norms(spark, folder):
@@ -88,7 +92,7 @@ def _idf(variant):
 
 def _scored(spark, folder):
     own = documents(spark, folder)
-    postings = cut(index.log_weights(index.term_counts(own, "doc_id"), "doc_id"))
+    postings = cut(index.weighted_terms(own, "doc_id"))
     df = index.document_frequency(postings).select(F.col("term").alias("term1"), F.lit("").alias("term2"), "df")
     vectors = lexical.query_vectors(lexical.query_grams(query_set(spark, folder)).join(df, ["term1", "term2"], "left"), own.count()).where("term2 = ''")
     return lexical.scores(vectors, postings.withColumnRenamed("term", "term1"), ["term1"], F.col("doc_id"))
@@ -96,7 +100,7 @@ def _scored(spark, folder):
 
 def query_weights(spark, folder):
     own = documents(spark, folder)
-    df = index.document_frequency(index.term_counts(own, "doc_id")).select(F.col("term").alias("term1"), F.lit("").alias("term2"), "df")
+    df = index.document_frequency(_counts(spark, folder)).select(F.col("term").alias("term1"), F.lit("").alias("term2"), "df")
     vectors = lexical.query_vectors(lexical.query_grams(query_set(spark, folder)).join(df, ["term1", "term2"], "left"), own.count())
     return vectors.select("query_id", "pos", "term1", "term2", F.round("ltc", 6).alias("ltc"))
 
@@ -205,20 +209,17 @@ def postings_upsert(spark, folder):
 
 
 def postings_sorted(spark, folder):
-    from pyspark.sql import Window
-
-    rows = index.log_weights(_counts(spark, folder), "doc_id").withColumn("lnc", F.round("lnc", 6))
-    order = Window.partitionBy("term").orderBy(F.desc("lnc"), "doc_id")
-    return rows.withColumn("rank", F.row_number().over(order)).where("rank <= 5").select("term", "rank", "doc_id", "lnc")
+    rows = _weighted(spark, folder).withColumn("lnc", F.round("lnc", 6))
+    return index.posting_ranks(rows, "doc_id", "lnc").select("term", "rank", "doc_id", "lnc")
 
 
 def posting_chunks(spark, folder):
-    rows = index.log_weights(_counts(spark, folder), "doc_id").withColumn("lnc", F.round("lnc", 6))
+    rows = _weighted(spark, folder).withColumn("lnc", F.round("lnc", 6))
     return index.posting_chunks(rows, "doc_id", "lnc", 50)
 
 
 def term_stats(spark, folder):
-    rows = index.log_weights(_counts(spark, folder), "doc_id").withColumn("lnc", F.round("lnc", 6))
+    rows = _weighted(spark, folder).withColumn("lnc", F.round("lnc", 6))
     return index.term_stats(rows, "lnc")
 
 
@@ -350,6 +351,14 @@ SQL = {
     "clean_text_sed": "SELECT doc_id, " + "".join("regexp_replace(" for _ in T.WORDLIKE) + "text" + "".join(f", '{p}', '{to}', 'g')" for p, to in T.WORDLIKE) + " AS text FROM documents",
     "collapse_ws": r"SELECT doc_id, regexp_replace(lower(translate(lower(text), 'ς', 'σ')), '[\s\x0b]+', ' ', 'g') AS text FROM documents",
     "ascii_fold": rf"SELECT doc_id, lower(regexp_replace({_marked('text')}, '[^\x00-\x7f]', '', 'g')) AS text FROM documents",
+    "sentence_tokens": r"""WITH c AS (SELECT doc_id, string_split(regexp_replace(text, '(\r\n|[\n\r\x{85}\x{2028}\x{2029}])$', ''), ' ') AS c FROM documents WHERE text IS NOT NULL),
+        t AS (SELECT doc_id, list_filter(list_transform(c, lambda x: regexp_extract(x, '([\p{L}\p{N}_]+|\.)$', 1)), lambda x: x <> '') AS t FROM c)
+        SELECT doc_id, CAST(pos AS INTEGER) AS pos, t[pos + 1] AS token FROM (SELECT doc_id, t, unnest(range(len(t))) AS pos FROM t)""",
+    "search_envelope": f"""WITH {Q}, {C}, {V}, {S}, page AS (SELECT * FROM ranked WHERE rank <= 10)
+        SELECT query_id, '{{"errno":0,"errstr":"","numResults":' || count(*) || ',"results":[' || string_agg('{{"_id":"' || doc_id || '","score":' || score || '}}', ',' ORDER BY rank) || ']}}' AS json FROM page GROUP BY query_id""",
+    "result_lines": f"""WITH found AS ({_fielded(Q, 5, _LOG)}), titles AS (SELECT paper_id, any_value(title) AS title FROM papers WHERE paper_id IS NOT NULL GROUP BY paper_id)
+        SELECT query_id, rank, lpad(CAST(rank AS VARCHAR), 3, ' ') || '  ' || CAST(CAST(round(CAST(score AS DECIMAL(18, 6)), 5) AS DECIMAL(18, 5)) AS VARCHAR) || '  ' || regexp_replace(coalesce(CASE WHEN length(doc) = 24 THEN title END, ''), '[ ]*\n[ ]*', ' ', 'g') AS line
+        FROM found LEFT JOIN titles ON doc = paper_id""",
     "query_ngrams": f"WITH {Q} SELECT * FROM grams",
     "query_validity": rf"SELECT doc_id, coalesce(regexp_matches(text, '^ *[\p{{L}}\p{{N}}_]'), false) AS valid FROM (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {_WRITTEN}) v(doc_id, text))",
     "query_weights": f"WITH {Q}, {C}, {V} SELECT query_id, pos, term1, term2, round(ltc, 6) AS ltc FROM vecs",
@@ -383,7 +392,7 @@ SQL = {
     "document_upsert": """SELECT doc_id, text_id, round(CASE WHEN doc_id % 2 = 0 THEN vec_length * 2 ELSE vec_length END, 6) AS vec_length, parent_doc,
         CAST(CASE WHEN doc_id % 3 = 0 THEN 9 ELSE doc_type END AS INTEGER) AS doc_type FROM index_document WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0""",
     "postings_upsert": "SELECT gram_id, doc_id, round(CASE WHEN doc_id % 2 = 0 THEN max(lnc) / 2 ELSE max(lnc) END, 6) AS lnc FROM tf WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0 GROUP BY gram_id, doc_id",
-    "postings_sorted": f"WITH {C}, {_LWR} SELECT term, CAST(rank AS INTEGER) AS rank, doc_id, lnc FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY lnc DESC, doc_id) AS rank FROM lwr) WHERE rank <= 5",
+    "postings_sorted": f"WITH {C}, {_LWR} SELECT term, row_number() OVER (PARTITION BY term ORDER BY lnc DESC, doc_id) AS rank, doc_id, lnc FROM lwr",
     "posting_chunks": f"""WITH {C}, {_LWR} SELECT term, chunk, count(*) AS size, max(lnc) AS max_val, min(lnc) AS min_val
         FROM (SELECT *, (row_number() OVER (PARTITION BY term ORDER BY lnc DESC, doc_id) - 1) // 50 AS chunk FROM lwr) GROUP BY term, chunk""",
     "term_stats": f"WITH {C}, {_LWR} SELECT term, count(*) AS df, max(lnc) AS max_val, min(lnc) AS min_val FROM lwr GROUP BY term",

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.cache import ResultCache
-from .operators.lexical import search_units
+from .operators.lexical import UnitIndex, search_units
 from .operators.recommend import recommend_to, related
 from .sources.sinks import envelope
 
@@ -28,19 +28,20 @@ class SearchService:
 
     def __init__(self, spark: SparkSession, units: DataFrame, vectors: DataFrame | None = None, paragraph: DataFrame | None = None, history: DataFrame | None = None, reload: Callable[[], DataFrame] | None = None, lifetime: float = 7200):
         self.spark, self.units, self.vectors, self.paragraph, self.history, self.reload = spark, units, vectors, paragraph, history, reload
+        self.index = UnitIndex(units)
         self.cache = ResultCache(lifetime)
         #: Path to the parameter it needs and the method that answers it.
         self.routes = {"/search": ("q", self.search), "/related-docs": ("docid", self.related), "/user-recommendations": ("userid", self.recommended)}
 
     def changed(self, units: DataFrame) -> None:
-        """Take another index; kept results are dropped."""
-        self.units = units
+        """Index other units; kept results are dropped. Requests only ask the index."""
+        self.units, self.index = units, UnitIndex(units)
         self.cache.clear()
 
     def search(self, text: str, most: int, offset: int) -> str:
         """The JSON envelope of a query's results offset + 1 to offset + most."""
         query = self.spark.createDataFrame([(0, " ".join(text.lower().split()))], "query_id int, text string")
-        return self._page(search_units(query, self.units, n=offset + most).where(F.col("rank") > offset))
+        return self._page(search_units(query, self.index, n=offset + most).where(F.col("rank") > offset))
 
     def related(self, doc: str, most: int, offset: int) -> str:
         if self.vectors is None or self.paragraph is None:
