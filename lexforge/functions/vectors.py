@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -48,3 +48,12 @@ def repeated_to(v: Column, size: int) -> Column:
 def inverse_square(d2: Column, scale: float = 15.0) -> Column:
     """Similarity from a squared distance: scale / d2, null at distance 0."""
     return F.when(d2 > 0, scale / d2)
+
+
+def vector_sums(rows: DataFrame, key: str) -> DataFrame:
+    """(key, v): the sums of the arrays ``v`` of each key, element by element, added up before the shuffle and after it."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    summed = rows.groupBy(key).agg(Summarizer.sum(array_to_vector(F.col("v").cast("array<double>"))).alias("v"))
+    return summed.select(key, vector_to_array("v").alias("v"))

@@ -29,14 +29,17 @@ def smoothed_counts(positions: DataFrame, neighbours: DataFrame, key: str) -> Da
 
     A word adds 1 to itself; its neighbours (term, near, dist) are then set to 1 / dist, whatever
     they had. So a value is that of the last setting plus the occurrences after it. Neighbours at
-    distance 0, the word itself among them, are passed over.
+    distance 0, the word itself among them, are passed over. Where ``positions`` come from texts spread
+    by key and the neighbours are few, nothing but the texts is shuffled.
     """
-    own = neighbours.where((F.col("term") != F.col("near")) & (F.col("dist") > 0))
-    set_to = positions.join(own, "term").groupBy(key, F.col("near").alias("term")).agg(F.max_by("dist", F.struct("pos", -F.col("dist"))).alias("dist"), F.max("pos").alias("at"))
-    with_last = positions.join(set_to, [key, "term"], "left")
-    after = with_last.groupBy(key, "term").agg(F.sum(F.when(F.col("at").isNull() | (F.col("pos") > F.col("at")), 1).otherwise(0)).alias("later"))
-    both = set_to.join(after, [key, "term"], "full")
-    value = F.coalesce(1 / F.col("dist"), F.lit(0.0)) + F.coalesce("later", F.lit(0))
+    own = broadcast_if_small(neighbours.where((F.col("term") != F.col("near")) & (F.col("dist") > 0)))
+    settings = positions.join(own, "term").select(key, F.col("near").alias("term"), "pos", "dist")
+    events = positions.select(key, "term", "pos", F.lit(None).cast("double").alias("dist")).unionByName(settings)
+    last = F.when(F.col("dist").isNotNull(), F.struct("pos", -F.col("dist")))
+    seen = F.collect_list(F.when(F.col("dist").isNull(), F.col("pos")))  # the places of one term in one text
+    both = events.groupBy(key, "term").agg(F.max(last).alias("last"), seen.alias("seen"))
+    later = F.size(F.filter("seen", lambda p: F.col("last").isNull() | (p > F.col("last.pos"))))
+    value = F.coalesce(-1 / F.col("last.col2"), F.lit(0.0)) + later
     return both.select(key, "term", F.log1p(value).alias("val"))
 
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import dot, vector_sums
+
 #: Rows of a tile's side: a task compares two such blocks.
 TILE = 4096
 
@@ -17,6 +20,11 @@ def _blocks(n: int) -> int:
     return max(1, math.ceil(n / TILE))
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(flat), -1)
+
+
 def _best_in_tile(k: int, measure: str):
     """The k best of the right block for each row of the left one; ties to the smaller id."""
 
@@ -24,8 +32,7 @@ def _best_in_tile(k: int, measure: str):
         names = {"src_id": pa.int64(), "dst_id": pa.int64(), "value": pa.float64()}
         if not left.num_rows or not right.num_rows:
             return pa.table({n: pa.array([], t) for n, t in names.items()})
-        a = np.array(left["a"].to_pylist(), float)
-        b = np.array(right["b"].to_pylist(), float)
+        a, b = _matrix(left["a"]), _matrix(right["b"])
         ia, ib = left["ia"].to_numpy(), right["ib"].to_numpy()
         order = np.argsort(ib, kind="stable")
         b, ib = b[order], ib[order]
@@ -82,19 +89,32 @@ def nearest_by_hashing(queries: DataFrame, vectors: DataFrame, k: int, length: f
 def vector_sum(chosen: DataFrame, vectors: DataFrame) -> DataFrame:
     """(id, v): for each group ``id`` of rows (id, vec_id) the sum of its vectors, element by element."""
     parts = chosen.join(vectors.select(F.col("id").alias("vec_id"), F.col("v").cast("array<double>").alias("v")), "vec_id")
-    summed = parts.select("id", F.posexplode("v").alias("i", "x")).groupBy("id", "i").agg(F.sum("x").alias("x"))
-    return summed.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))  # one vector's elements
+    return vector_sums(parts, "id")
 
 
-def two_components(vectors: DataFrame) -> DataFrame:
-    """(id, x, y): the vectors on their first two singular directions, not centred."""
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.mllib.linalg import Vectors as Old
-    from pyspark.mllib.linalg.distributed import RowMatrix
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for batch in batches:
+        if batch.num_rows:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            total = x.T @ x if total is None else total + x.T @ x
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([total.ravel()], pa.list_(pa.float64()))], ["one", "v"])
+
 
-    rows = vectors.where("v is not null").select("id", array_to_vector(F.col("v").cast("array<double>")).alias("f"))
-    right = RowMatrix(rows.rdd.map(lambda r: Old.fromML(r["f"]))).computeSVD(2).V.toArray()
-    first, second = (F.array(*[F.lit(float(x)) for x in right[:, j]]) if right.shape[1] > j else F.array(*[F.lit(0.0)] * right.shape[0]) for j in range(2))
-    from ..functions.vectors import dot
+def two_components(vectors: DataFrame) -> DataFrame:
+    """(id, x, y): the vectors on their first two singular directions, not centred; a direction points to where its largest element is positive.
 
+    The directions are those of the sum of the vectors' products with themselves, which batches add
+    up before it is shuffled.
+    """
+    rows = vectors.where("v is not null").select(F.col("v").cast("array<double>").alias("v"))
+    products = rows.mapInArrow(_products, "one int, v array<double>")
+    summed = vector_sums(products, "one").first()  # one square matrix
+    if summed is None:
+        return vectors.select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y")).limit(0)
+    width = math.isqrt(len(summed["v"]))
+    _, directions = np.linalg.eigh(np.array(summed["v"]).reshape(width, width))  # the largest last
+    right = [directions[:, -j] * (1 if directions[np.argmax(np.abs(directions[:, -j])), -j] > 0 else -1) if width >= j else np.zeros(width) for j in (1, 2)]
+    first, second = (F.array(*[F.lit(float(x)) for x in d]) for d in right)
     return vectors.where("v is not null").select("id", dot(F.col("v"), first).alias("x"), dot(F.col("v"), second).alias("y"))

@@ -16,15 +16,16 @@ def positions(texts: DataFrame, key: str, tokens) -> DataFrame:
 def vocabulary(tokens: DataFrame, key: str, least: int = 2) -> DataFrame:
     """(term, freq, token_id): ids in the order in which terms reach ``least`` occurrences over the texts by key.
 
-    Which occurrence is a term's least-th is found without sorting all of a frequent term's: texts
-    are counted per term, a running sum finds the text in which the count is reached, and only that
-    text's positions are numbered.
+    A term's least-th occurrence lies within its first ``least`` texts by key, so no more texts of a
+    term are kept, before the shuffle as well as after it; a running sum over these finds the text in
+    which the count is reached, and only that text's positions are numbered.
     """
     per_text = tokens.groupBy("term", key).agg(F.count(F.lit(1)).alias("n"))
     running = Window.partitionBy("term").orderBy(key)
-    reached = per_text.withColumn("upto", F.sum("n").over(running)).withColumn("freq", F.sum("n").over(Window.partitionBy("term")))
-    at = reached.where((F.col("upto") >= least) & (F.col("upto") - F.col("n") < least)).select("term", key, "freq", (F.lit(least) - F.col("upto") + F.col("n")).alias("nth"))
-    own = tokens.join(at, ["term", key]).withColumn("r", F.row_number().over(Window.partitionBy("term", key).orderBy("pos"))).where("r = nth")
+    early = per_text.withColumn("r", F.row_number().over(running)).where(F.col("r") <= least).withColumn("upto", F.sum("n").over(running))
+    at = early.where((F.col("upto") >= least) & (F.col("upto") - F.col("n") < least)).select("term", key, (F.lit(least) - F.col("upto") + F.col("n")).alias("nth"))
+    freq = per_text.groupBy("term").agg(F.sum("n").alias("freq"))
+    own = tokens.join(at.join(freq, "term"), ["term", key]).withColumn("r", F.row_number().over(Window.partitionBy("term", key).orderBy("pos"))).where("r = nth")
     return numbered(own.select("term", "freq", key, "pos"), [key, "pos"], "token_id").select("term", "freq", "token_id")
 
 
@@ -73,21 +74,26 @@ def paragraph_contexts(sequences: DataFrame, key: str) -> DataFrame:
     return rows.where("beyond is not null").select(key, "pos", F.col("token_id").alias("c1"), "c2", "label")
 
 
-def word_vectors(sentences: DataFrame, size: int = 64, window: int = 2, least: int = 5, iterations: int = 1, seed: int = 1):
-    """A skip-gram model on rows (tokens array<string>)."""
+#: Rows that one partition trains on where their number isn't given; more partitions are faster and average their models.
+ROWS_A_MODEL = 50_000
+
+
+def word_vectors(sentences: DataFrame, size: int = 64, window: int = 2, least: int = 5, iterations: int = 1, seed: int = 1, partitions: int | None = None):
+    """A skip-gram model on rows (tokens array<string>), trained in ``partitions`` parts, by default one for every ``ROWS_A_MODEL`` rows."""
     from pyspark.ml.feature import Word2Vec
 
-    return Word2Vec(vectorSize=size, windowSize=window, minCount=least, maxIter=iterations, seed=seed, inputCol="tokens", outputCol="v", numPartitions=1).fit(sentences)
+    parts = partitions or max(1, -(-sentences.count() // ROWS_A_MODEL))
+    return Word2Vec(vectorSize=size, windowSize=window, minCount=least, maxIter=iterations, seed=seed, inputCol="tokens", outputCol="v", numPartitions=parts).fit(sentences)
 
 
 def text_vectors(tokens: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
     """(key, v): unit length sums of the vectors (term, v) of each text's words, repeats included."""
-    from ..functions.vectors import unit
+    from ..functions.vectors import unit, vector_sums
 
     counts = tokens.groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
-    parts = counts.join(vectors.select("term", F.col("v").cast("array<double>").alias("v")), "term").select(key, "n", F.posexplode("v").alias("i", "x"))
-    summed = parts.groupBy(key, "i").agg(F.sum(F.col("x") * F.col("n")).alias("x")).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
-    return summed.select(key, unit(F.col("v")).alias("v"))
+    parts = counts.join(vectors.select("term", F.col("v").cast("array<double>").alias("v")), "term")
+    summed = parts.select(key, F.transform("v", lambda x: x * F.col("n")).alias("v"))
+    return vector_sums(summed, key).select(key, unit(F.col("v")).alias("v"))
 
 
 def label_ids(tokens: DataFrame, vocab: DataFrame) -> DataFrame:

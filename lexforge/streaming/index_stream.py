@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.index import log_weights, term_counts
+from ..operators.corpus import best_text
+from ..operators.index import weighted_terms
+from ..session import by_shuffle, cut
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
-    except Exception as error:  # the first batch finds no table
-        if "PATH_NOT_FOUND" in str(error):
+    except AnalysisException as error:  # the first batch finds no table
+        if error.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], schema)
         raise
 
@@ -22,19 +25,26 @@ def unindexed(documents: DataFrame, postings: DataFrame, key: str = "doc_id") ->
     return documents.join(postings.select(key).distinct(), key, "left_anti")
 
 
+def to_index(papers: DataFrame) -> DataFrame:
+    """(paper_id, text) of the papers that lack a vector or the mark of the index: the body, or else the abstract. The conditions are read in the scan."""
+    lacking = F.col("other.para_vec").isNull() | F.col("other.tfidf_indexed").isNull()
+    return papers.where(lacking).select("paper_id", best_text(F.col("body"), F.col("abstract")).alias("text"))
+
+
 def add_batch(target: str, key: str = "doc_id"):
     """A writer for foreachBatch: postings of each batch's new documents, in a folder per batch.
 
-    A batch that runs again overwrites its own folder, so a restart neither loses nor doubles
-    postings; a document that an earlier batch has is left out.
+    A batch that runs again overwrites its own folders, so a restart neither loses nor doubles
+    postings; a document that an earlier batch has is left out. Which documents are in is told by
+    a folder of keys beside the postings, a row per document, so the postings aren't read again.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         kind = batch.schema[key].dataType.simpleString()
-        known = _read(spark, f"{target}/postings", f"{key} {kind}, term string, n long, lnc double, batch int").where(F.col("batch") != number)
-        fresh = batch.dropDuplicates([key]).join(known.select(key).distinct(), key, "left_anti")
-        log_weights(term_counts(fresh, key), key).write.mode("overwrite").parquet(f"{target}/postings/batch={number}")
+        known = _read(batch.sparkSession, f"{target}/keys", f"{key} {kind}, batch int").where(F.col("batch") != number)
+        fresh = cut(batch.dropDuplicates([key]).join(by_shuffle(known.select(key)), key, "left_anti"))
+        weighted_terms(fresh, key).write.mode("overwrite").parquet(f"{target}/postings/batch={number}")
+        fresh.select(key).write.mode("overwrite").parquet(f"{target}/keys/batch={number}")
 
     return write
 
