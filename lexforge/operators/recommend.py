@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import as_double, dot, squared_distance
+from ..session import by_shuffle, cut
 from .impact import impact_search
 from .lexical import top
 
@@ -48,20 +49,41 @@ def hashed_order(id_column: str, salt: Column) -> Column:
 def training_set(history: DataFrame, candidates: DataFrame, documents: DataFrame, users: DataFrame, negatives: int = 100) -> DataFrame:
     """(user_id, doc_id, label): history, candidates and other documents of each user, 1 for what is in the history.
 
-    The others are the ``negatives`` documents of lowest md5 that are in neither. As only
-    history and candidates can take places, the documents with the lowest md5 that are looked at are
-    bounded by the longest of these lists; documents are ordered by md5 of their id alone, so one
-    ordered list serves all users.
+    The others are the ``negatives`` documents of lowest md5 that are in neither. Documents are ordered
+    by md5 of their id alone, so one ordered list serves all users: its first ``2 * negatives`` do for
+    nearly all of them, and only users who have taken too many of these are set against a list twice
+    as long, until all have enough or the documents end. A user with a long history costs others nothing.
     """
-    taken = history.select("user_id", "doc_id").unionByName(candidates.select("user_id", "doc_id")).distinct()
-    most = taken.groupBy("user_id").count().agg(F.max("count")).first()[0] or 0
-    first = documents.select("doc_id", hashed_order("doc_id", F.lit("n")).alias("h")).orderBy("h", "doc_id").limit(negatives + most)
-    pool = users.select("user_id", F.lit(1).alias("_k")).join(F.broadcast(first.withColumn("_k", F.lit(1))), "_k")  # bounded by the limit
-    rest = pool.join(taken, ["user_id", "doc_id"], "left_anti").withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy("h", "doc_id"))).where(F.col("r") <= negatives)
-    every = taken.select("user_id", "doc_id").unionByName(rest.select("user_id", "doc_id")).distinct()
+    taken = cut(history.select("user_id", "doc_id").unionByName(candidates.select("user_id", "doc_id")).distinct())
+    ordered = documents.select("doc_id", hashed_order("doc_id", F.lit("n")).alias("h"))
+    short, size, total, chosen = cut(users.select("user_id").distinct()), 2 * negatives, documents.count(), []
+    while True:
+        first = cut(ordered.orderBy("h", "doc_id").limit(size))
+        pool = _each_with(short, first)
+        order = Window.partitionBy("user_id").orderBy("h", "doc_id")
+        rest = pool.join(by_shuffle(taken), ["user_id", "doc_id"], "left_anti").withColumn("r", F.row_number().over(order)).where(F.col("r") <= negatives)
+        rest = cut(rest.select("user_id", "doc_id"))
+        enough = rest.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= negatives).select("user_id")
+        if size >= total:
+            chosen.append(rest)
+            break
+        chosen.append(rest.join(by_shuffle(enough), "user_id", "left_semi"))
+        short, size = cut(short.join(by_shuffle(enough), "user_id", "left_anti")), 2 * size
+        if short.isEmpty():
+            break
+    every = taken
+    for rest in chosen:
+        every = every.unionByName(rest)
+    every = every.distinct()
     return every.join(history.select("user_id", "doc_id", F.lit(1).alias("label")).distinct(), ["user_id", "doc_id"], "left").na.fill(0, ["label"])
 
 
+def _each_with(users: DataFrame, items: DataFrame, parts: int = 64) -> DataFrame:
+    """Every user with every item of a list: items are spread over parts, which meet copies of the users, so neither side is sent whole to a task."""
+    salted = items.withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
+    return users.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))).join(by_shuffle(salted), "_part").drop("_part")
+
+
 def linear_svm(rows: DataFrame, c: float = 0.1, iterations: int = 50, balanced: bool = True, intercept: bool = True):
     """A linear support vector machine on rows (v, label), each class weighing n / (2 n of the class)."""
     from pyspark.ml.classification import LinearSVC
@@ -94,27 +116,74 @@ def recommend(user_rows: DataFrame, vectors: DataFrame, n: int = 20, offset: int
     return rows.where("label = 0").select("doc_id", margin(F.col("v"), model).alias("score")).orderBy(F.desc(F.round("score", 6)), "doc_id").offset(offset).limit(n)
 
 
+#: Rows of a user up to which one task trains that user's machine; users with more are trained by all tasks, one after another.
+ROWS_A_USER = 100_000
+
+
+def svm_by_descent(x: np.ndarray, y: np.ndarray, c: float = 0.1, iterations: int = 2000, tolerance: float = 1e-5, seed: int = 0) -> np.ndarray:
+    """Weights, the last the intercept, of a machine with squared hinge loss and balanced classes, by dual coordinate descent."""
+    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    sign = np.where(y > 0, 1.0, -1.0)
+    cost = c * np.where(sign > 0, len(y) / (2 * max(1, (sign > 0).sum())), len(y) / (2 * max(1, (sign < 0).sum())))
+    signed, diagonal = x * sign[:, None], 0.5 / cost
+    square = (x * x).sum(axis=1) + diagonal
+    alpha, w, random = np.zeros(len(y)), np.zeros(x.shape[1]), np.random.default_rng(seed)
+    for _ in range(iterations):
+        largest = 0.0
+        for i in random.permutation(len(y)):
+            g = signed[i] @ w - 1 + diagonal[i] * alpha[i]
+            step = g if alpha[i] > 0 else min(g, 0.0)
+            largest = max(largest, abs(step))
+            if step:
+                new = max(0.0, alpha[i] - g / square[i])
+                w += (new - alpha[i]) * signed[i]
+                alpha[i] = new
+        if largest < tolerance * 100:
+            break
+    return w
+
+
 def recommend_all(user_rows: DataFrame, vectors: DataFrame, n: int = 20) -> DataFrame:
-    """(user_id, doc_id, score): the n best of :func:`recommend` for every user of the training sets (user_id, doc_id, label).
+    """(user_id, doc_id, score): the n best of each user's unseen documents by a machine trained on the user's rows (user_id, doc_id, label).
 
-    A machine is trained for each user, four at a time; the driver gets the coefficients only.
+    Machines of all users are trained side by side, one task a user; those of the few users with more
+    than ``ROWS_A_USER`` rows are trained by all tasks. Only these reach the driver, their
+    coefficients. A user without both labels gets no rows.
     """
-    from ..session import cut
-
     spark = user_rows.sparkSession
-    rows = cut(user_rows.join(vectors, "doc_id").where("v is not null").select("user_id", "doc_id", "label", as_double(F.col("v")).alias("v")))
-    both = rows.groupBy("user_id").agg(F.count_distinct("label").alias("labels")).where("labels > 1")
-    users = sorted(r["user_id"] for r in both.collect())
+    rows = cut(user_rows.join(by_shuffle(vectors.where("v is not null").select("doc_id", as_double(F.col("v")).alias("v"))), "doc_id").select("user_id", "doc_id", "label", "v"))
+    sizes = rows.groupBy("user_id").agg(F.count_distinct("label").alias("labels"), F.count(F.lit(1)).alias("n")).where("labels > 1")
+    large = [r["user_id"] for r in sizes.where(F.col("n") > ROWS_A_USER).select("user_id").collect()]  # at most rows / ROWS_A_USER
+    usual = rows.join(by_shuffle(sizes.where(F.col("n") <= ROWS_A_USER).select("user_id")), "user_id", "left_semi")
+
+    def trained(table: pa.Table) -> pa.Table:
+        v = table["v"].combine_chunks()
+        w = svm_by_descent(v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1), table["label"].to_numpy())
+        return pa.table({"user_id": table["user_id"].slice(0, 1), "w": pa.array([w[:-1]], pa.list_(pa.float64())), "b": pa.array([w[-1]])})
+
+    kind = rows.schema["user_id"].dataType.simpleString()
+    models = usual.groupBy("user_id").applyInArrow(trained, f"user_id {kind}, w array<double>, b double")
+    for user in large:
+        model = linear_svm(rows.where(F.col("user_id") == user))
+        models = models.unionByName(spark.createDataFrame([(user, [float(x) for x in model.coefficients], float(model.intercept))], f"user_id {kind}, w array<double>, b double"))
+    scored = rows.where("label = 0").join(by_shuffle(models), "user_id").select("user_id", "doc_id", (dot(F.col("v"), F.col("w")) + F.col("b")).alias("score"))
+    order = Window.partitionBy("user_id").orderBy(F.desc(F.round("score", 6)), "doc_id")
+    return scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= n).drop("r")
+
 
-    def trained(user) -> tuple:
-        model = linear_svm(rows.where(F.col("user_id") == user).coalesce(1))
-        return user, [float(x) for x in model.coefficients], float(model.intercept)
+def recommend_users(history: DataFrame, vectors: DataFrame, paragraph: DataFrame, n: int = 20, negatives: int = 100) -> DataFrame:
+    """(user_id, rank, doc_id, score): what to show each user of ``history`` (user_id, doc_id, rank), all in one batch.
 
-    with ThreadPoolExecutor(4) as pool:
-        models = spark.createDataFrame(list(pool.map(trained, users)), "user_id long, w array<double>, b double")
-    scored = rows.where("label = 0").join(models, "user_id").select("user_id", "doc_id", (dot(F.col("v"), F.col("w")) + F.col("b")).alias("score"))
+    Candidates are the documents related to a few of the user's recent ones; a machine trained on the
+    history against these and ``negatives`` others ranks what the user hasn't seen. Users whose
+    history has no vectors get no rows.
+    """
+    candidates = cut(history_candidates(history, vectors, paragraph, n))
+    documents = vectors.select("doc_id").distinct()
+    rows = training_set(history, candidates, documents, history.select("user_id").distinct(), negatives)
+    best = recommend_all(rows, paragraph, n)
     order = Window.partitionBy("user_id").orderBy(F.desc(F.round("score", 6)), "doc_id")
-    return scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= n).drop("r")
+    return best.select("user_id", F.row_number().over(order).alias("rank"), "doc_id", "score")
 
 
 def history_candidates(history: DataFrame, vectors: DataFrame, paragraph: DataFrame, n: int = 20, seeds: int = 5, window: int = 100) -> DataFrame:

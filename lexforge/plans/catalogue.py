@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import skew
 from ..sources.tables import table
-from . import learning, search
+from . import files, learning, search
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,8 +37,8 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p2_totals": p2_totals} | search.QUERIES | learning.QUERIES
+    return {"p2_found": p2_found, "p2_totals": p2_totals} | search.QUERIES | learning.QUERIES | files.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return SKEW_SQL | search.SQL | learning.SQL
+    return SKEW_SQL | search.SQL | learning.SQL | files.SQL

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import accounts, impact, index, lexical, neighbours, ranking, recommend, training
-from ..session import cut
+from ..operators import accounts, impact, index, lexical, neighbours, paragraphs, ranking, recommend, training
+from ..session import broadcast_if_small, cut
 from ..sources.tables import table
+from .scratch import scratch
 from .search import EVERY, C, Q, W, _IMPACT, _query_counts, _scored, documents, query_set
 
 #: Documents stand for the items of the events, whose ids are taken modulo this number.
@@ -86,7 +83,7 @@ def svd_2d(spark, folder):
 
 def _word_neighbours(spark, folder):
     """(term, near, dist): the most frequent words stand for the embeddings in order, three neighbours each, itself among them."""
-    counts = index.term_counts(documents(spark, folder), "doc_id").groupBy("term").agg(F.sum("n").alias("n"))
+    counts = index.weighted_terms(documents(spark, folder), "doc_id").groupBy("term").agg(F.sum("n").alias("n"))
     size = table(spark, folder, "embeddings").count()
     named = index.numbered(counts.orderBy(F.desc("n"), "term").limit(size).withColumn("o", -F.col("n")), ["o", "term"], "id").select("id", "term")
     own = _embeddings(spark, folder)
@@ -97,7 +94,7 @@ def _word_neighbours(spark, folder):
 def _smoothed(spark, folder):
     near = cut(_word_neighbours(spark, folder))
     tokens = documents(spark, folder).where("text is not null").select("doc_id", T.words(F.col("text")).alias("tokens")).repartition("doc_id")
-    known = near.select("term").distinct()
+    known = broadcast_if_small(near.select("term").distinct())
     return impact.smoothed_counts(impact.token_positions(tokens, "doc_id").join(known, "term", "left_semi"), near, "doc_id"), near
 
 
@@ -108,15 +105,17 @@ def smoothed_tfidf(spark, folder):
 def smoothed_search(spark, folder):
     raw, near = _smoothed(spark, folder)
     raw = cut(raw)
-    square = raw.groupBy("doc_id").agg(F.sum(F.col("val") * F.col("val")).alias("s"))
-    vectors = raw.join(square, "doc_id").select("doc_id", "term", (F.col("val") / F.when(F.col("s") == 0, 1.0).otherwise(F.col("s"))).alias("val"))
+    from pyspark.sql import Window
+
+    square = F.sum(F.col("val") * F.col("val")).over(Window.partitionBy("doc_id"))
+    vectors = raw.withColumn("s", square).select("doc_id", "term", (F.col("val") / F.when(F.col("s") == 0, 1.0).otherwise(F.col("s"))).alias("val"))
     tokens = query_set(spark, folder).where(T.valid_query(F.col("text"))).select("query_id", T.words(F.col("text")).alias("tokens"))
     asked = impact.token_positions(tokens, "query_id").join(near.select("term").distinct(), "term", "left_semi")
     return impact.impact_search(impact.smoothed_counts(asked, near, "query_id"), vectors, "doc_id", 10).withColumnRenamed("doc", "doc_id")
 
 
 def _doc_vectors(spark, folder):
-    return cut(impact.tfidf_vectors(index.term_counts(documents(spark, folder), "doc_id"), "doc_id", "l2sq"))
+    return cut(impact.tfidf_vectors(index.weighted_terms(documents(spark, folder), "doc_id"), "doc_id", "l2sq"))
 
 
 def _paragraphs(spark, folder):
@@ -154,6 +153,29 @@ def recommend_training_set(spark, folder):
     return _user_rows(spark, folder)
 
 
+def recommend_users(spark, folder):
+    """What to show every user: related documents of the history against others, in one batch. Events stand for reads of the documents."""
+    events = table(spark, folder, "events")
+    size = documents(spark, folder).count()
+    history = recommend.recent_history(events.select("user_id", "event_id", "ts", (F.col("event_id") % size).alias("doc_id")), 20)
+    return recommend.recommend_users(history, _doc_vectors(spark, folder), _paragraphs(spark, folder), 10).withColumn("score", F.round("score", 6))
+
+
+def _contexts(spark, folder):
+    own = training.paragraph_contexts(_sequences(spark, folder), "doc_id")
+    return own.select(F.col("doc_id").alias("key"), "c1", "c2", "label")
+
+
+def paragraph_vectors(spark, folder):
+    """Lengths of trained paragraph vectors of all documents with four words of the vocabulary or more."""
+    vocab = cut(_vocab(spark, folder))
+    shares = training.noise_share(vocab).join(vocab.select("term", "token_id"), "term")
+    contexts = cut(_contexts(spark, folder))
+    net, q, _ = paragraphs.trained_net(contexts, shares, 16)
+    made = paragraphs.paragraph_vectors(contexts, net, q, 5)
+    return made.select(F.col("key").alias("doc_id"), F.size("v").alias("elements"), (V.norm(F.col("v")) > 0).alias("learnt"))
+
+
 def recommend_svm(spark, folder):
     """For every user whose id is divisible by EVERY, with all documents of the embeddings as items."""
     events = table(spark, folder, "events").where(F.col("user_id") % EVERY == 0)
@@ -166,15 +188,7 @@ def recommend_svm(spark, folder):
     return recommend.recommend_all(rows, _paragraphs(spark, folder), 20).withColumn("score", F.round("score", 6))
 
 
-def _lists(spark, folder):
-    """The embeddings of a label as one list, better the smaller the id; twelve of each, as in the SQL."""
-    from pyspark.sql import Window
-
-    own = table(spark, folder, "embeddings").withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where("r <= 12")
-    return own.select(F.col("label").alias("qid"), F.col("vec_id").alias("doc"), (13 - F.col("r")).alias("target"))
-
-
-#: Rows a list is meant to hold; a label with more is split into lists by the hash of the id, so that pairs grow with the rows.
+#: Rows a list is meant to hold; a label with more is split into lists by the remainder of the id, so that pairs grow with the rows.
 LIST = 100
 
 
@@ -185,7 +199,7 @@ def _whole_lists(spark, folder):
     own = table(spark, folder, "embeddings").select("vec_id", "label")
     sizes = own.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / LIST).alias("lists"))
     span = (own.agg(F.max("label")).first()[0] or 0) + 1
-    split = own.join(sizes, "label").withColumn("qid", F.col("label") + span * F.pmod(F.xxhash64("vec_id"), F.col("lists")))
+    split = own.join(sizes, "label").withColumn("qid", F.col("label") + span * F.pmod(F.col("vec_id"), F.col("lists")))
     return split.select("qid", F.col("vec_id").alias("doc"), F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("vec_id"))).alias("target"))
 
 
@@ -194,7 +208,7 @@ def _features(spark, folder):
 
 
 def svm_rank_pairs(spark, folder):
-    pairs = ranking.rank_pairs(_lists(spark, folder), _features(spark, folder))
+    pairs = ranking.rank_pairs(_whole_lists(spark, folder), _features(spark, folder))
     return pairs.select("qid", "a", "b", "label", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
 
 
@@ -324,16 +338,11 @@ def user_public_info(spark, folder):
     return accounts.public_info(_accounts(spark, folder)[0], "CUSTOMER#000000007")
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return os.path.join(base, f"lexforge-stream-{uuid.uuid4().hex}")
-
-
 def stream_index(spark, folder):
     """The index that a stream of the documents, in four files, builds batch by batch."""
     from ..streaming import index_stream
 
-    where = _shared_folder(spark)
+    where = scratch(spark)
     documents(spark, folder).where("text is not null").select("doc_id", "text").repartition(4, "doc_id").write.parquet(f"{where}/in")
     stream = index_stream.stream_folder(spark, f"{where}/in", "doc_id long, text string")
     index_stream.index_stream(stream, f"{where}/out", f"{where}/state").awaitTermination()
@@ -344,7 +353,7 @@ def stream_df(spark, folder):
     """Document frequencies counted by a stream in update mode; the last state of each term."""
     from ..streaming import index_stream
 
-    where = _shared_folder(spark)
+    where = scratch(spark)
     documents(spark, folder).where("text is not null").select("doc_id", "text").repartition(3, "doc_id").write.parquet(f"{where}/in")
     counts = index_stream.running_df(index_stream.stream_folder(spark, f"{where}/in", "doc_id long, text string"))
 
@@ -360,8 +369,8 @@ def stream_user_days(spark, folder):
     """Events of each user and day, counted by a stream with a watermark; days still open at the end are not out."""
     from ..streaming import index_stream
 
-    where = _shared_folder(spark)
-    table(spark, folder, "events").select("user_id", "event_id", "ts").orderBy("ts").coalesce(1).write.option("maxRecordsPerFile", 5000).parquet(f"{where}/in")
+    where = scratch(spark)
+    table(spark, folder, "events").select("user_id", "event_id", "ts").repartitionByRange("ts").write.option("maxRecordsPerFile", 5000).parquet(f"{where}/in")
     stream = index_stream.stream_folder(spark, f"{where}/in", "user_id long, event_id long, ts timestamp", 1000)
     days = index_stream.recent_documents(stream)
     days.select("user_id", F.col("window.start").alias("day"), "n").writeStream.outputMode("append").format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
@@ -372,7 +381,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         neighbor_table, nearest_by_euclid, nearest_by_dot, inv_sq_similarity, vector_sum_query, unit_vectors, sparse_to_dense, dense_to_sparse, repeated_vectors, char_windows, ann_lsh, svd_2d,
-        smoothed_tfidf, smoothed_search, related_docs, user_history_recent, unseen_candidates, recommend_training_set, recommend_svm, svm_rank_pairs, svm_rank_scores, svm_rank_lines,
+        smoothed_tfidf, smoothed_search, related_docs, user_history_recent, unseen_candidates, recommend_training_set, recommend_svm, recommend_users, paragraph_vectors, svm_rank_pairs, svm_rank_scores, svm_rank_lines,
         eval_dump, rank_fitness, weight_grid_fitness, weight_evolution, vocab_ids, purged_sequences, subsample_probs, noise_shares, subsampled_tokens, skipgram_pairs, pvdm_contexts,
         word2vec_train, word2vec_documents, user_email_lookup, user_email_changes, user_public_info, stream_index, stream_df, stream_user_days,
     )
@@ -405,7 +414,9 @@ def _smooth(name: str, key: str, source: str) -> str:
 
 
 _DOCS_T = f"(SELECT doc_id, {W.format('text')} AS t FROM documents WHERE text IS NOT NULL)"
-_LISTS = "lists AS (SELECT label AS qid, vec_id AS doc, 13 - r AS target, CAST(embedding AS DOUBLE[]) AS v FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings) WHERE r <= 12)"
+_LISTS = """sized AS (SELECT label, CAST(ceil(count(*) / 100.0) AS BIGINT) AS n FROM embeddings GROUP BY label),
+    split AS (SELECT e.label + (SELECT max(label) + 1 FROM embeddings) * (vec_id % n) AS qid, vec_id AS doc, CAST(embedding AS DOUBLE[]) AS v FROM embeddings e JOIN sized ON e.label = sized.label),
+    lists AS (SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY doc DESC) AS target, v FROM split)"""
 _HIST = f"hist AS (SELECT DISTINCT user_id, event_id % {ITEMS} AS doc_id FROM events), cand AS (SELECT DISTINCT user_id, (event_id * 7) % {ITEMS} AS doc_id FROM events)"
 _VOCAB = f"""toks0 AS (SELECT doc_id, unnest(range(len(t))) AS pos, t FROM {_DOCS_T}), toks1 AS (SELECT doc_id, pos, t[pos + 1] AS term FROM toks0),
     nth AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY doc_id, pos) AS k, count(*) OVER (PARTITION BY term) AS freq FROM toks1),
@@ -468,6 +479,9 @@ SQL = {
     "user_email_changes": f"""WITH {_ACC} SELECT account_id, email, is_primary FROM acc WHERE lower(username) <> 'customer#000000008'
         UNION ALL SELECT account_id, 'second@example.org', false FROM acc WHERE lower(username) = 'customer#000000007'""",
     "user_public_info": f"SELECT c_name AS username, c_mktsegment AS institution FROM customer WHERE lower(c_name) = 'customer#000000007'",
+    "paragraph_vectors": f"WITH {_VOCAB} SELECT doc_id, 16 AS elements, true AS learnt FROM seqs GROUP BY doc_id HAVING count(*) >= 4",
+    "stream_user_days": """WITH days AS (SELECT user_id, date_trunc('day', ts) AS day FROM events)
+        SELECT user_id, day, count(*) AS n FROM days WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events) GROUP BY user_id, day""",
     "stream_index": f"WITH {C} SELECT doc_id, term, n, round(lnc, 6) AS lnc FROM lw",
     "stream_df": f"WITH {C} SELECT * FROM dfs",
 }
