@@ -78,23 +78,31 @@ class Net:
         self.vectors, self.weights, self.bias = flat[:a].reshape(self.words, -1).copy(), flat[a:b].reshape(self.words, -1).copy(), flat[b:].copy()
         return self
 
-    def step(self, paragraphs: np.ndarray, who: np.ndarray, c1: np.ndarray, c2: np.ndarray, labels: np.ndarray, drawn: np.ndarray, q: np.ndarray, rate: float, frozen: bool) -> float:
+    def step(self, paragraphs: np.ndarray, who: np.ndarray, c1: np.ndarray, c2: np.ndarray, labels: np.ndarray, drawn: np.ndarray, q: np.ndarray, rate: float, frozen: bool, sums: dict[str, np.ndarray]) -> float:
         """One step down the gradient on a batch; only the paragraphs' vectors move if the net is ``frozen``."""
         hidden = np.concatenate([paragraphs[who], self.vectors[c1], self.vectors[c2]], axis=1)
         loss, own, other = sampled_softmax(hidden, self.weights, self.bias, labels, drawn, q)
         back = own[:, None] * self.weights[labels] + other @ self.weights[drawn]
-        n, rate = self.size, rate * len(labels)
+        n = self.size
         if not frozen:
-            np.add.at(self.weights, labels, -rate * own[:, None] * hidden)
-            np.add.at(self.weights, drawn, -rate * (other.T @ hidden))
-            np.add.at(self.bias, labels, -rate * own)
-            np.add.at(self.bias, drawn, -rate * other.sum(axis=0))
-            np.add.at(self.vectors, c1, -rate * back[:, n : 2 * n])
-            np.add.at(self.vectors, c2, -rate * back[:, 2 * n :])
-        np.add.at(paragraphs, who, -rate * back[:, :n])
+            rows, parts = np.concatenate([labels, drawn]), np.concatenate([own[:, None] * hidden, other.T @ hidden])
+            slopes = np.concatenate([own, other.sum(axis=0)])[:, None]
+            _descend(self.weights, rows, parts, sums["weights"], rate)
+            _descend(self.bias[:, None], rows, slopes, sums["bias"], rate)
+            _descend(self.vectors, np.concatenate([c1, c2]), np.concatenate([back[:, n : 2 * n], back[:, 2 * n :]]), sums["vectors"], rate)
+        _descend(paragraphs, who, back[:, :n], sums["paragraphs"], rate)
         return loss
 
 
+def _descend(target: np.ndarray, rows: np.ndarray, parts: np.ndarray, sums: np.ndarray, rate: float) -> None:
+    """Move the rows down the sums of their derivatives, each by ``rate`` over the root of what it has moved before."""
+    own, place = np.unique(rows, return_inverse=True)
+    slope = np.zeros((len(own), target.shape[1]))
+    np.add.at(slope, place, parts)
+    sums[own] += (slope * slope).mean(axis=1)
+    target[own] -= rate * slope / (np.sqrt(sums[own])[:, None] + 1e-9)
+
+
 def _start(keys: np.ndarray, size: int) -> np.ndarray:
     return np.stack([np.random.default_rng([7, int(k) & 0x7FFFFFFF]).normal(0, 0.1, size) for k in keys]) if len(keys) else np.zeros((0, size))
 
@@ -104,11 +112,12 @@ def _epoch(net: Net, table: pa.Table, q: np.ndarray, rate: float, epochs: int, f
     key, c1, c2, label = (table.column(i).to_numpy() for i in range(4))
     keys, who = np.unique(key, return_inverse=True)
     paragraphs, random, loss = _start(keys, net.size), np.random.default_rng(seed), 0.0
+    sums = {"weights": np.zeros(net.words), "bias": np.zeros(net.words), "vectors": np.zeros(net.words), "paragraphs": np.zeros(len(keys))}
     for _ in range(epochs):
         order, losses = random.permutation(len(who)), []
         for at in range(0, len(order), BATCH):
             b = order[at : at + BATCH]
-            losses.append(net.step(paragraphs, who[b], c1[b], c2[b], label[b], random.choice(len(q), NEGATIVES, p=q), q, rate, frozen))
+            losses.append(net.step(paragraphs, who[b], c1[b], c2[b], label[b], random.choice(len(q), NEGATIVES, p=q), q, rate, frozen, sums))
         loss = float(np.mean(losses)) if losses else 0.0
     return keys, paragraphs, loss
 

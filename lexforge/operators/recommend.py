@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import as_double, dot, squared_distance
+from ..functions.vectors import as_double, dot, squared_distance, vector_sums
 from ..session import by_shuffle, cut
 from .impact import impact_search
 from .lexical import top
@@ -104,73 +106,108 @@ def margin(v: Column, model) -> Column:
     return dot(v, F.array(*[F.lit(float(x)) for x in model.coefficients])) + F.lit(float(model.intercept))
 
 
-def recommend(user_rows: DataFrame, vectors: DataFrame, n: int = 20, offset: int = 0) -> DataFrame:
-    """(doc_id, score) for one user's training set (doc_id, label): unseen documents by the margin of a machine trained on it.
+#: Rows of a user up to which one task trains that user's machine; a user with more is trained by all tasks.
+ROWS_A_USER = 100_000
 
-    Documents without a vector drop out. Without both labels nothing can be learnt and there are no rows.
-    """
-    rows = user_rows.join(vectors, "doc_id").where("v is not null")
-    if rows.select("label").distinct().count() < 2:
-        return rows.select("doc_id", F.lit(0.0).alias("score")).limit(0)
-    model = linear_svm(rows)
-    return rows.where("label = 0").select("doc_id", margin(F.col("v"), model).alias("score")).orderBy(F.desc(F.round("score", 6)), "doc_id").offset(offset).limit(n)
 
+def _with_one(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([x, np.ones((len(x), 1))], axis=1)
+
+
+def _squared_hinge(x: np.ndarray, sign: np.ndarray, cost: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Loss, gradient and second derivatives, one after another, of the squared hinge loss of some rows."""
+    short = 1 - sign * (x @ w)
+    hit = short > 0
+    x, part = x[hit], (cost * short)[hit]
+    return np.concatenate([[(part * short[hit]).sum()], -2 * (part * sign[hit]) @ x, (2 * (x * cost[hit, None]).T @ x).ravel()])
 
-#: Rows of a user up to which one task trains that user's machine; users with more are trained by all tasks, one after another.
-ROWS_A_USER = 100_000
 
+def svm_by_newton(sums: Callable[[np.ndarray], np.ndarray], width: int, iterations: int = 50, tolerance: float = 1e-8) -> np.ndarray:
+    """The weights with the least half square plus loss; ``sums`` gives :func:`_squared_hinge` over all rows.
 
-def svm_by_descent(x: np.ndarray, y: np.ndarray, c: float = 0.1, iterations: int = 2000, tolerance: float = 1e-5, seed: int = 0) -> np.ndarray:
-    """Weights, the last the intercept, of a machine with squared hinge loss and balanced classes, by dual coordinate descent."""
-    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    sign = np.where(y > 0, 1.0, -1.0)
-    cost = c * np.where(sign > 0, len(y) / (2 * max(1, (sign > 0).sum())), len(y) / (2 * max(1, (sign < 0).sum())))
-    signed, diagonal = x * sign[:, None], 0.5 / cost
-    square = (x * x).sum(axis=1) + diagonal
-    alpha, w, random = np.zeros(len(y)), np.zeros(x.shape[1]), np.random.default_rng(seed)
+    The optimum is one alone, so it doesn't matter who adds up the rows.
+    """
+    w = np.zeros(width)
+    here = sums(w)
     for _ in range(iterations):
-        largest = 0.0
-        for i in random.permutation(len(y)):
-            g = signed[i] @ w - 1 + diagonal[i] * alpha[i]
-            step = g if alpha[i] > 0 else min(g, 0.0)
-            largest = max(largest, abs(step))
-            if step:
-                new = max(0.0, alpha[i] - g / square[i])
-                w += (new - alpha[i]) * signed[i]
-                alpha[i] = new
-        if largest < tolerance * 100:
+        slope, bend = w + here[1 : width + 1], np.eye(width) + here[width + 1 :].reshape(width, width)
+        step, least, size = np.linalg.solve(bend, slope), here[0] + w @ w / 2, 1.0
+        while True:
+            new = w - size * step
+            there = sums(new)
+            if there[0] + new @ new / 2 <= least or size < 1e-4:
+                break
+            size /= 2
+        gain, w, here = least - there[0] - new @ new / 2, new, there
+        if gain <= tolerance * max(1.0, least):
             break
     return w
 
 
-def recommend_all(user_rows: DataFrame, vectors: DataFrame, n: int = 20) -> DataFrame:
+def _costs(positive: int, negative: int, c: float) -> tuple[float, float]:
+    """Cost of a row of either class, balanced: n / (2 n of the class)."""
+    n = positive + negative
+    return c * n / (2 * max(1, positive)), c * n / (2 * max(1, negative))
+
+
+def recommend_all(user_rows: DataFrame, vectors: DataFrame, n: int = 20, c: float = 0.1) -> DataFrame:
     """(user_id, doc_id, score): the n best of each user's unseen documents by a machine trained on the user's rows (user_id, doc_id, label).
 
-    Machines of all users are trained side by side, one task a user; those of the few users with more
-    than ``ROWS_A_USER`` rows are trained by all tasks. Only these reach the driver, their
-    coefficients. A user without both labels gets no rows.
+    The machine is linear with squared hinge loss, balanced classes and an intercept. Those of all
+    users are trained side by side, one task a user; the few users with more than ``ROWS_A_USER``
+    rows are trained by all tasks, which add up the same sums. A user without both labels gets no rows.
     """
     spark = user_rows.sparkSession
     rows = cut(user_rows.join(by_shuffle(vectors.where("v is not null").select("doc_id", as_double(F.col("v")).alias("v"))), "doc_id").select("user_id", "doc_id", "label", "v"))
-    sizes = rows.groupBy("user_id").agg(F.count_distinct("label").alias("labels"), F.count(F.lit(1)).alias("n")).where("labels > 1")
-    large = [r["user_id"] for r in sizes.where(F.col("n") > ROWS_A_USER).select("user_id").collect()]  # at most rows / ROWS_A_USER
+    sizes = rows.groupBy("user_id").agg(F.count_if(F.col("label") > 0).alias("p"), F.count(F.lit(1)).alias("n")).where("p > 0 and p < n")
+    large = sizes.where(F.col("n") > ROWS_A_USER).collect()  # at most rows / ROWS_A_USER
     usual = rows.join(by_shuffle(sizes.where(F.col("n") <= ROWS_A_USER).select("user_id")), "user_id", "left_semi")
 
     def trained(table: pa.Table) -> pa.Table:
-        v = table["v"].combine_chunks()
-        w = svm_by_descent(v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1), table["label"].to_numpy())
+        v, label = table["v"].combine_chunks(), table["label"].to_numpy() > 0
+        x = _with_one(v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1))
+        high, low = _costs(int(label.sum()), int((~label).sum()), c)
+        sign, cost = np.where(label, 1.0, -1.0), np.where(label, high, low)
+        w = svm_by_newton(lambda w: _squared_hinge(x, sign, cost, w), x.shape[1])
         return pa.table({"user_id": table["user_id"].slice(0, 1), "w": pa.array([w[:-1]], pa.list_(pa.float64())), "b": pa.array([w[-1]])})
 
-    kind = rows.schema["user_id"].dataType.simpleString()
-    models = usual.groupBy("user_id").applyInArrow(trained, f"user_id {kind}, w array<double>, b double")
+    kind = f"user_id {rows.schema['user_id'].dataType.simpleString()}, w array<double>, b double"
+    models = usual.groupBy("user_id").applyInArrow(trained, kind)
     for user in large:
-        model = linear_svm(rows.where(F.col("user_id") == user))
-        models = models.unionByName(spark.createDataFrame([(user, [float(x) for x in model.coefficients], float(model.intercept))], f"user_id {kind}, w array<double>, b double"))
+        w = _trained_by_all(rows.where(F.col("user_id") == user["user_id"]).select("v", "label"), _costs(user["p"], user["n"] - user["p"], c))
+        models = models.unionByName(spark.createDataFrame([(user["user_id"], [float(x) for x in w[:-1]], float(w[-1]))], kind))
     scored = rows.where("label = 0").join(by_shuffle(models), "user_id").select("user_id", "doc_id", (dot(F.col("v"), F.col("w")) + F.col("b")).alias("score"))
     order = Window.partitionBy("user_id").orderBy(F.desc(F.round("score", 6)), "doc_id")
     return scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= n).drop("r")
 
 
+def _trained_by_all(rows: DataFrame, costs: tuple[float, float]) -> np.ndarray:
+    """A machine on rows (v, label) whose sums are added up by all tasks; one row of sums a step reaches the driver."""
+    width = rows.select(F.size("v")).first()[0] + 1
+
+    def sums(w: np.ndarray) -> np.ndarray:
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(1 + width + width * width)
+            for batch in batches:
+                label = batch.column(1).to_numpy() > 0
+                x = _with_one(batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+                total += _squared_hinge(x, np.where(label, 1.0, -1.0), np.where(label, *costs), w)
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total], pa.list_(pa.float64()))], ["one", "v"])
+
+        return np.array(vector_sums(rows.mapInArrow(part, "one int, v array<double>"), "one").first()["v"])
+
+    return svm_by_newton(sums, width)
+
+
+def recommend(user_rows: DataFrame, vectors: DataFrame, n: int = 20, offset: int = 0) -> DataFrame:
+    """(doc_id, score) for one user's training set (doc_id, label): unseen documents by the margin of a machine trained on it.
+
+    Documents without a vector drop out. Without both labels nothing can be learnt and there are no rows.
+    """
+    best = recommend_all(user_rows.select(F.lit(0).alias("user_id"), "doc_id", "label"), vectors, n + offset)
+    return best.orderBy(F.desc(F.round("score", 6)), "doc_id").offset(offset).limit(n).select("doc_id", "score")
+
+
 def recommend_users(history: DataFrame, vectors: DataFrame, paragraph: DataFrame, n: int = 20, negatives: int = 100) -> DataFrame:
     """(user_id, rank, doc_id, score): what to show each user of ``history`` (user_id, doc_id, rank), all in one batch.
 
