@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import broadcast_if_small, by_shuffle, cut
 from .tokens import token_counts
 
 #: Documents of a source are ordered by hash through so many buckets; only the bucket where the selection ends is ordered by row.
@@ -99,7 +99,7 @@ def mixed(documents: DataFrame, targets: DataFrame, total: int | None = None, to
     buckets = buckets.join(layout, "source")
     left = F.col("rest") - F.col("before")
     buckets = buckets.select("source", "bucket", "times", F.when(left >= F.col("in_bucket"), "all").when(left > 0, "some").otherwise("none").alias("takes"), left.alias("left"))
-    known = placed.join(buckets, ["source", "bucket"])
+    known = placed.join(broadcast_if_small(buckets), ["source", "bucket"])
     inside = Window.partitionBy("source").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     edge = known.where("takes = 'some'").withColumn("upto", F.sum("n_tokens").over(inside))
     edge = edge.withColumn("repeats", F.col("times") + (F.col("upto") - F.col("n_tokens") / 2 <= F.col("left")).cast("int"))
@@ -110,6 +110,6 @@ def mixed(documents: DataFrame, targets: DataFrame, total: int | None = None, to
     reached = selection.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("actual_tokens"))
     wanted = [(r["source"], float(r["weight"]), int(r["max_repeat"]), int(r["available"]), float(r["epochs"]), r["planned"] / whole if whole else 0.0) for r in rows]
     report = spark.createDataFrame(wanted, "source string, weight double, max_repeat int, available_tokens long, epochs double, target_share double")
-    shares = report.join(reached, "source", "left").na.fill(0, ["actual_tokens"])
+    shares = report.join(by_shuffle(reached), "source", "left").na.fill(0, ["actual_tokens"])
     of_all = F.sum("actual_tokens").over(Window.partitionBy(F.lit(1)))  # over a row per target
     return selection, shares.withColumn("actual_share", F.when(of_all > 0, F.col("actual_tokens") / of_all).otherwise(0.0))

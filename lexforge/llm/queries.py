@@ -93,7 +93,7 @@ def p4_checks(spark: SparkSession, folder: str) -> DataFrame:
     pairs, typed = p4_found(spark, folder), names.typed_names(table(spark, folder, "papers")).select("name")
     pairs = cut(pairs)
     strangers = pairs.select(F.explode(F.array("name_1", "name_2")).alias("name")).join(by_shuffle(typed), "name", "left_anti").count()
-    return pairs.agg(F.count_if("name_1 >= name_2").alias("unordered"), (F.count(F.lit(1)) - F.count_distinct("name_1", "name_2")).alias("repeated")).withColumn("strangers", F.lit(strangers).cast("long"))
+    return pairs.agg(F.count_if(F.col("name_1") >= F.col("name_2")).alias("unordered"), (F.count(F.lit(1)) - F.count_distinct("name_1", "name_2")).alias("repeated")).withColumn("strangers", F.lit(strangers).cast("long"))
 
 
 def p6_checks(spark: SparkSession, folder: str) -> DataFrame:
