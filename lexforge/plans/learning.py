@@ -13,8 +13,8 @@ from ..sources.tables import table
 from .scratch import scratch
 from .search import EVERY, C, Q, W, _IMPACT, _query_counts, _scored, documents, query_set
 
-#: Documents stand for the items of the events, whose ids are taken modulo this number.
-ITEMS = 500
+#: Documents stand for the items of the events, whose ids are taken modulo the number of documents.
+_ITEMS = "(SELECT count(*) FROM documents)"
 
 
 def _embeddings(spark, folder):
@@ -128,7 +128,8 @@ def related_docs(spark, folder):
 
 
 def _events(spark, folder):
-    return table(spark, folder, "events").select("user_id", "event_id", "ts", (F.col("event_id") % ITEMS).alias("doc_id"))
+    items = documents(spark, folder).count()
+    return table(spark, folder, "events").select("user_id", "event_id", "ts", (F.col("event_id") % items).alias("doc_id"), ((F.col("event_id") * 7) % items).alias("other"))
 
 
 def user_history_recent(spark, folder):
@@ -136,7 +137,7 @@ def user_history_recent(spark, folder):
 
 
 def _candidates(spark, folder):
-    return _events(spark, folder).select("user_id", ((F.col("event_id") * 7) % ITEMS).alias("doc_id")).distinct()
+    return _events(spark, folder).select("user_id", F.col("other").alias("doc_id")).distinct()
 
 
 def unseen_candidates(spark, folder):
@@ -145,7 +146,7 @@ def unseen_candidates(spark, folder):
 
 def _user_rows(spark, folder):
     history = _events(spark, folder).select("user_id", "doc_id").distinct()
-    items = spark.range(ITEMS).withColumnRenamed("id", "doc_id")
+    items = spark.range(documents(spark, folder).count()).withColumnRenamed("id", "doc_id")
     return recommend.training_set(history, _candidates(spark, folder), items, history.select("user_id").distinct(), 100)
 
 
@@ -155,9 +156,7 @@ def recommend_training_set(spark, folder):
 
 def recommend_users(spark, folder):
     """What to show every user: related documents of the history against others, in one batch. Events stand for reads of the documents."""
-    events = table(spark, folder, "events")
-    size = documents(spark, folder).count()
-    history = recommend.recent_history(events.select("user_id", "event_id", "ts", (F.col("event_id") % size).alias("doc_id")), 20)
+    history = recommend.recent_history(_events(spark, folder), 20)
     return recommend.recommend_users(history, _doc_vectors(spark, folder), _paragraphs(spark, folder), 10).withColumn("score", F.round("score", 6))
 
 
@@ -417,7 +416,7 @@ _DOCS_T = f"(SELECT doc_id, {W.format('text')} AS t FROM documents WHERE text IS
 _LISTS = """sized AS (SELECT label, CAST(ceil(count(*) / 100.0) AS BIGINT) AS n FROM embeddings GROUP BY label),
     split AS (SELECT e.label + (SELECT max(label) + 1 FROM embeddings) * (vec_id % n) AS qid, vec_id AS doc, CAST(embedding AS DOUBLE[]) AS v FROM embeddings e JOIN sized ON e.label = sized.label),
     lists AS (SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY doc DESC) AS target, v FROM split)"""
-_HIST = f"hist AS (SELECT DISTINCT user_id, event_id % {ITEMS} AS doc_id FROM events), cand AS (SELECT DISTINCT user_id, (event_id * 7) % {ITEMS} AS doc_id FROM events)"
+_HIST = f"hist AS (SELECT DISTINCT user_id, event_id % {_ITEMS} AS doc_id FROM events), cand AS (SELECT DISTINCT user_id, (event_id * 7) % {_ITEMS} AS doc_id FROM events)"
 _VOCAB = f"""toks0 AS (SELECT doc_id, unnest(range(len(t))) AS pos, t FROM {_DOCS_T}), toks1 AS (SELECT doc_id, pos, t[pos + 1] AS term FROM toks0),
     nth AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY doc_id, pos) AS k, count(*) OVER (PARTITION BY term) AS freq FROM toks1),
     vocab AS (SELECT term, freq, row_number() OVER (ORDER BY doc_id, pos) - 1 AS token_id FROM nth WHERE k = 5),
@@ -453,10 +452,10 @@ SQL = {
         found AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 20), {_E},
         again AS (SELECT query_id, doc_id, CASE WHEN a.id IS NULL THEN score ELSE round(-{_D2}, 6) END AS score FROM found LEFT JOIN e a ON query_id = a.id LEFT JOIN e b ON doc_id = b.id WHERE a.id IS NULL OR b.id IS NOT NULL)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM again) WHERE rank <= 10""",
-    "user_history_recent": f"SELECT user_id, event_id % {ITEMS} AS doc_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events) WHERE rank <= 20",
+    "user_history_recent": f"SELECT user_id, event_id % {_ITEMS} AS doc_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events) WHERE rank <= 20",
     "unseen_candidates": f"WITH {_HIST} SELECT * FROM cand EXCEPT SELECT * FROM hist",
     "recommend_training_set": f"""WITH {_HIST}, taken AS (SELECT * FROM hist UNION SELECT * FROM cand), users AS (SELECT DISTINCT user_id FROM events),
-        pool AS (SELECT user_id, range AS doc_id FROM users CROSS JOIN range({ITEMS})), rest AS (SELECT user_id, doc_id FROM pool ANTI JOIN taken USING (user_id, doc_id)
+        items AS (SELECT unnest(range({_ITEMS})) AS doc_id), pool AS (SELECT user_id, doc_id FROM users CROSS JOIN items), rest AS (SELECT user_id, doc_id FROM pool ANTI JOIN taken USING (user_id, doc_id)
             QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY md5('n-' || CAST(doc_id AS VARCHAR)), doc_id) <= 100)
         SELECT u.user_id, u.doc_id, CASE WHEN hist.doc_id IS NULL THEN 0 ELSE 1 END AS label FROM (SELECT * FROM taken UNION SELECT * FROM rest) u LEFT JOIN hist ON u.user_id = hist.user_id AND u.doc_id = hist.doc_id""",
     "svm_rank_pairs": f"""WITH {_LISTS}, p AS (SELECT a.qid, a.doc AS a, b.doc AS b, CASE WHEN a.target > b.target THEN 1 ELSE -1 END AS label, list_transform(list_zip(a.v, b.v), lambda x: x[1] - x[2]) AS v FROM lists a JOIN lists b ON a.qid = b.qid AND a.target <> b.target)

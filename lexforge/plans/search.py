@@ -195,15 +195,16 @@ def merge_df(spark, folder):
 
 
 def document_upsert(spark, folder):
+    """Rows whose number three divides are new, other even ones are in both tables; together the two hold every row."""
     units = table(spark, folder, "index_document")
-    new = units.where("doc_id % 2 = 0").withColumn("vec_length", F.col("vec_length") * 2).withColumn("doc_type", F.lit(9).cast("short"))
+    new = units.where("doc_id % 2 = 0 or doc_id % 3 = 0").withColumn("vec_length", F.col("vec_length") * 2).withColumn("doc_type", F.lit(9).cast("short"))
     merged = index.upsert(units.where("doc_id % 3 <> 0"), new, ["text_id"], ["vec_length"])
     return merged.select("doc_id", "text_id", F.round("vec_length", 6).alias("vec_length"), "parent_doc", F.col("doc_type").cast("int").alias("doc_type"))
 
 
 def postings_upsert(spark, folder):
     tf = table(spark, folder, "tf").groupBy("gram_id", "doc_id").agg(F.max("lnc").alias("lnc"))
-    new = tf.where("doc_id % 2 = 0").withColumn("lnc", F.col("lnc") / 2)
+    new = tf.where("doc_id % 2 = 0 or doc_id % 3 = 0").withColumn("lnc", F.col("lnc") / 2)
     merged = index.upsert(tf.where("doc_id % 3 <> 0"), new, ["gram_id", "doc_id"], ["lnc"])
     return merged.select("gram_id", "doc_id", F.round("lnc", 6).alias("lnc"))
 
@@ -389,9 +390,9 @@ SQL = {
     "term_insert": """WITH old AS (SELECT term_id, term FROM term WHERE term_id < 500), fresh AS (SELECT DISTINCT term FROM term WHERE term IS NOT NULL AND term NOT IN (SELECT term FROM old))
         SELECT * FROM old UNION ALL SELECT (SELECT max(term_id) FROM old) + row_number() OVER (ORDER BY term), term FROM fresh""",
     "merge_df": "SELECT gram_id, CAST(sum(df) AS BIGINT) AS df FROM (SELECT gram_id, run_id, max(df) AS df FROM idf GROUP BY ALL) GROUP BY gram_id",
-    "document_upsert": """SELECT doc_id, text_id, round(CASE WHEN doc_id % 2 = 0 THEN vec_length * 2 ELSE vec_length END, 6) AS vec_length, parent_doc,
-        CAST(CASE WHEN doc_id % 3 = 0 THEN 9 ELSE doc_type END AS INTEGER) AS doc_type FROM index_document WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0""",
-    "postings_upsert": "SELECT gram_id, doc_id, round(CASE WHEN doc_id % 2 = 0 THEN max(lnc) / 2 ELSE max(lnc) END, 6) AS lnc FROM tf WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0 GROUP BY gram_id, doc_id",
+    "document_upsert": """SELECT doc_id, text_id, round(CASE WHEN doc_id % 2 = 0 OR doc_id % 3 = 0 THEN vec_length * 2 ELSE vec_length END, 6) AS vec_length, parent_doc,
+        CAST(CASE WHEN doc_id % 3 = 0 THEN 9 ELSE doc_type END AS INTEGER) AS doc_type FROM index_document""",
+    "postings_upsert": "SELECT gram_id, doc_id, round(CASE WHEN doc_id % 2 = 0 OR doc_id % 3 = 0 THEN max(lnc) / 2 ELSE max(lnc) END, 6) AS lnc FROM tf GROUP BY gram_id, doc_id",
     "postings_sorted": f"WITH {C}, {_LWR} SELECT term, row_number() OVER (PARTITION BY term ORDER BY lnc DESC, doc_id) AS rank, doc_id, lnc FROM lwr",
     "posting_chunks": f"""WITH {C}, {_LWR} SELECT term, chunk, count(*) AS size, max(lnc) AS max_val, min(lnc) AS min_val
         FROM (SELECT *, (row_number() OVER (PARTITION BY term ORDER BY lnc DESC, doc_id) - 1) // 50 AS chunk FROM lwr) GROUP BY term, chunk""",

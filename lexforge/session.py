@@ -73,7 +73,7 @@ def hashed_sample(rows: DataFrame, total: int, n: int, *keys: str) -> list:
     h = F.xxhash64(*keys)
     if total > 2 * n:
         share = min(1.0, 1.3 * n / total + 40 / total)
-        rows = rows.where(F.shiftrightunsigned(h, 1) < int(share * (1 << 63)))
+        rows = rows.where(F.shiftrightunsigned(h, 1) <= int(share * ((1 << 63) - 1024)))
     return first_rows(rows.orderBy(h, *keys), n)
 
 

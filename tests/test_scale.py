@@ -174,6 +174,7 @@ def test_samples_and_joins_by_shuffle(spark):
     rows = spark.range(50_000).repartition(16)
     one, two = hashed_sample(rows, 50_000, 300, "id"), hashed_sample(rows.repartition(3), 50_000, 300, "id")
     assert len(one) == 300 and one == two and len(hashed_sample(rows, 50_000, 60_000, "id")) == 50_000
+    assert len(hashed_sample(spark.range(21), 21, 10, "id")) == 10
     assert [r["id"] for r in first_rows(rows.orderBy("id"), 3)] == [0, 1, 2]
     plan = rows.join(by_shuffle(spark.range(3)), "id")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
