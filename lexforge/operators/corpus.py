@@ -5,16 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small
+
 #: The type codes of units.
 TYPES = {"fulltext": 1, "title": 2, "abstract": 3, "authors": 4, "wiki": 5}
 
 
 def one_row_per_paper(papers: DataFrame, *columns: str) -> DataFrame:
-    """The named columns of each paper_id's first harvest; rows without an id drop out."""
+    """The named columns of each paper_id's first harvest; rows without an id drop out.
+
+    Only the keys of papers that come again are grouped and moved: the other rows stay where they
+    were read, texts and all. A null time counts as the latest; rows of one time are told apart by a
+    hash of the columns.
+    """
+    at = F.coalesce("harvested_at", F.lit("9999-12-31").cast("timestamp_ntz")).cast("timestamp_ntz")
     rows = papers.where(F.col("paper_id").isNotNull())
+    times = rows.groupBy("paper_id", at.alias("_at")).agg(F.count(F.lit(1)).alias("_n")).groupBy("paper_id").agg(F.sum("_n").alias("_times"), F.min(F.struct("_at", "_n")).alias("_first"))
+    again = broadcast_if_small(times.where("_times > 1").select("paper_id", "_first"))
+    joined = rows.select("paper_id", *columns, at.alias("_at")).join(again, "paper_id", "left")
+    tied = F.col("_first").isNotNull() & (F.col("_first._n") > 1)
+    firsts = joined.where(F.col("_first").isNull() | (F.col("_at") == F.col("_first._at")))
+    if again.where("_first._n > 1").isEmpty():
+        return firsts.select("paper_id", *columns)
     value = F.struct(*columns)
-    first = rows.groupBy("paper_id").agg(F.min_by(value, F.struct(F.coalesce("harvested_at", F.lit("9999-12-31").cast("timestamp_ntz")).cast("timestamp_ntz"), F.xxhash64(value))).alias("v"))
-    return first.select("paper_id", "v.*")
+    chosen = firsts.where(tied).groupBy("paper_id").agg(F.min_by(value, F.xxhash64(value)).alias("v")).select("paper_id", "v.*")
+    return firsts.where(~tied).select("paper_id", *columns).unionByName(chosen)
 
 
 def flat_authors(authors: Column) -> Column:
