@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+
+from ..operators.corpus import one_row_per_paper
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -17,13 +18,11 @@ def words_of(text: str) -> list[str]:
 
 
 def one_per_paper(papers: DataFrame, *values: Column) -> DataFrame:
-    """(paper_id, *values) with one row per ``paper_id``, that of its first harvest.
+    """(paper_id, *values), named v0, v1 ..., with one row per ``paper_id``, that of its first harvest.
 
-    Copies are merged before the shuffle as well as after it. Rows without a ``paper_id`` are no
-    papers and drop out. Among copies of one time the choice falls by a hash of the values, so it
-    doesn't depend on the order of the rows; a null time counts as the latest.
+    Rows stay where they were read; only the keys of papers that come again are moved. Rows without a
+    ``paper_id`` are no papers and drop out. Among copies of one time the choice falls by a hash of
+    the values, so it doesn't depend on the order of the rows; a null time counts as the latest.
     """
     names = [f"v{i}" for i in range(len(values))]
-    rows = papers.where(F.col("paper_id").isNotNull()).select("paper_id", F.struct(*[v.alias(n) for v, n in zip(values, names)]).alias("v"), F.coalesce("harvested_at", F.lit("9999-12-31").cast("timestamp_ntz")).cast("timestamp_ntz").alias("at"))
-    first = rows.groupBy("paper_id").agg(F.min_by("v", F.struct("at", F.xxhash64("v"))).alias("v"))
-    return first.select("paper_id", *[F.col(f"v.{n}").alias(n) for n in names])
+    return one_row_per_paper(papers.select("paper_id", "harvested_at", *[v.alias(n) for v, n in zip(values, names)]), *names)

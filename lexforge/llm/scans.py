@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, by_shuffle, cut, first_rows, hashed_sample
+from ..session import by_shuffle, cut, first_rows, hashed_sample
 from .boosting import Boosted
+from .papers import one_per_paper
 
 #: Bodies that the line classifier is trained on, and words the other two are trained on, at most.
 SAMPLE_BODIES, SAMPLE_WORDS = 1500, 4000
@@ -671,18 +672,6 @@ def _mended(chunk: str, better: dict[str, str]) -> str:
     return chunk
 
 
-def _first_harvests(papers: DataFrame) -> DataFrame:
-    """(paper_id, body), a row per paper, that of its first harvest; only the keys of papers that come again are moved."""
-    at = F.coalesce("harvested_at", F.lit("9999-12-31").cast("timestamp_ntz")).cast("timestamp_ntz")
-    body = F.col("body").cast("string")
-    rows = papers.where(F.col("paper_id").isNotNull()).select("paper_id", body.alias("body"), at.alias("at"), F.xxhash64(body).alias("h"))
-    again = rows.groupBy("paper_id").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("at", "h")).alias("first")).where("times > 1").select("paper_id", "first")
-    joined = rows.join(broadcast_if_small(again), "paper_id", "left")
-    once = joined.where("first is null").select("paper_id", "body")
-    # copies that agree in time and text are still several
-    return once.unionByName(joined.where("first = struct(at, h)").groupBy("paper_id").agg(F.first("body").alias("body")))
-
-
 def repaired(papers: DataFrame) -> DataFrame:
     """(paper_id, text, kinds): every body as continuous paragraphs, and the kinds of noise it had, joined by commas.
 
@@ -702,6 +691,7 @@ def repaired(papers: DataFrame) -> DataFrame:
     # what is known of a paper is joined once; papers without any noise have no row here
     known = cut(fixes.join(by_shuffle(breaks), "paper_id", "full").join(by_shuffle(kinds), "paper_id", "full"))
     entries = known.agg(F.sum(1 + F.coalesce(F.size("fixes"), F.lit(0)) + F.coalesce(F.size("breaks"), F.lit(0)))).first()[0] or 0
-    joined = _first_harvests(papers).join(F.broadcast(known) if entries <= BROADCAST_WORDS else by_shuffle(known), "paper_id", "left")
+    whole = one_per_paper(papers, F.col("body").cast("string")).withColumnRenamed("v0", "body")
+    joined = whole.join(F.broadcast(known) if entries <= BROADCAST_WORDS else by_shuffle(known), "paper_id", "left")
     return joined.select("paper_id", "body", "fixes", "breaks", F.coalesce("kinds", F.lit("")).alias("kinds")).mapInArrow(_repaired(lines), "paper_id string, text string, kinds string")
 
