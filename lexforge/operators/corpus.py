@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, by_shuffle, cut
 
 #: The type codes of units.
 TYPES = {"fulltext": 1, "title": 2, "abstract": 3, "authors": 4, "wiki": 5}
@@ -58,12 +58,19 @@ def parse_text_id(text_id: Column) -> tuple[Column, Column]:
     return code, F.substring_index(text_id, "_", -1)
 
 
+#: Indexed parents up to which their ids are sent to the units, which then are read once and not moved.
+SENT_PARENTS = 200_000
+
+
 def with_indexed_parent(units: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The units whose parent is indexed or that need none, and the orphans."""
-    parents = units.where("doc_type = 1").select(F.col("text_id").alias("parent"))
+    parents = cut(units.where("doc_type = 1").select(F.col("text_id").alias("parent")).distinct())
+    if parents.count() <= SENT_PARENTS:
+        known = units.join(F.broadcast(parents.withColumn("_hit", F.lit(True))), "parent", "left").select(*units.columns, "_hit")
+        return known.where("doc_type = 1 or _hit").drop("_hit"), known.where("doc_type <> 1 and _hit is null").drop("_hit")
     child = units.where("doc_type <> 1")
-    kept = units.where("doc_type = 1").unionByName(child.join(parents, "parent", "left_semi").select(*units.columns))
-    return kept, child.join(parents, "parent", "left_anti").select(*units.columns)
+    kept = units.where("doc_type = 1").unionByName(child.join(by_shuffle(parents), "parent", "left_semi").select(*units.columns))
+    return kept, child.join(by_shuffle(parents), "parent", "left_anti").select(*units.columns)
 
 
 def best_text(body: Column, abstract: Column) -> Column:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,14 +14,18 @@ from ..functions.text import words
 from ..session import spread
 
 
-def runs(tokens: Column) -> Column:
-    """An array of (term, n): the distinct elements of an array and how often each occurs, by sorting it within the row."""
-    s = F.sort_array(F.filter(tokens, lambda x: x.isNotNull()))
-    starts = lambda t: F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
-    counted = lambda t, at: F.transform(at, lambda p, k: F.struct(F.get(t, p).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(t)) - p).cast("long").alias("n")))
-    # each step is bound once, as the variable of a lambda over a one-element array
-    bound = F.transform(F.array(s), lambda t: F.transform(F.array(starts(t)), lambda at: counted(t, at)))
-    return F.when(F.size(s) > 0, F.flatten(F.flatten(bound)))
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, tokens) to (key, term, n, lnc): the tokens of a batch get numbers, and equal numbers of a row are counted in arrays."""
+    for batch in batches:
+        lists = batch.column(1)
+        tokens = lists.flatten().dictionary_encode()
+        # as large as the batch, an empty dictionary included
+        codes, width = tokens.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(tokens.dictionary))
+        rows = np.repeat(np.arange(len(lists)), np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64))
+        cells, n = np.unique(rows[codes >= 0] * width + codes[codes >= 0], return_counts=True)
+        row, weight = cells // width, 1 + np.log(n)
+        length = np.sqrt(np.bincount(row, weight * weight, len(lists)))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), tokens.dictionary.take(pa.array(cells % width)), pa.array(n.astype(np.int64)), pa.array(weight / length[row])], [batch.schema.names[0], "term", "n", "lnc"])
 
 
 def weighted_terms(texts: DataFrame, key: str, text: str = "text", tokens: Column | None = None) -> DataFrame:
@@ -25,11 +34,9 @@ def weighted_terms(texts: DataFrame, key: str, text: str = "text", tokens: Colum
     A row is a whole text, so its words are counted and its vector's length is taken where it lies.
     Null texts have no rows.
     """
-    rows = spread(texts.select(key, (tokens if tokens is not None else words(F.col(text))).alias("t")), key)
-    counted = rows.select(key, runs(F.col("t")).alias("r"))
-    square = F.aggregate("r", F.lit(0.0), lambda s, x: s + (1 + F.log(x["n"])) * (1 + F.log(x["n"])))
-    each = counted.select(key, F.sqrt(square).alias("length"), F.explode("r").alias("x"))
-    return each.select(key, "x.term", "x.n", ((1 + F.log("x.n")) / F.col("length")).alias("lnc"))
+    own = texts.select(key, (tokens if tokens is not None else words(F.col(text))).alias("t")).where(F.col("t").isNotNull())
+    kind = own.schema[key].dataType.simpleString()
+    return spread(own, key).mapInArrow(_counted, f"`{key}` {kind}, term string, n long, lnc double")
 
 
 def term_counts(texts: DataFrame, key: str, text: str = "text", tokens: Column | None = None) -> DataFrame:

@@ -178,3 +178,29 @@ def test_samples_and_joins_by_shuffle(spark):
     assert [r["id"] for r in first_rows(rows.orderBy("id"), 3)] == [0, 1, 2]
     plan = rows.join(by_shuffle(spark.range(3)), "id")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
+
+
+def test_orphans_are_the_same_by_either_way(spark, monkeypatch):
+    from lexforge.operators import corpus
+
+    units = spark.createDataFrame([("a", 1, "x", None), ("title_a", 2, "y", "a"), ("title_b", 2, "z", "b"), ("c", 1, "w", None), ("abstract_n", 3, "v", None)], "text_id string, doc_type int, text string, parent string")
+    seen = []
+    for most in (10, 0):
+        monkeypatch.setattr(corpus, "SENT_PARENTS", most)
+        kept, orphans = corpus.with_indexed_parent(units)
+        seen.append((sorted(r["text_id"] for r in kept.collect()), sorted(r["text_id"] for r in orphans.collect())))
+    assert seen == [(["a", "c", "title_a"], ["abstract_n", "title_b"])] * 2
+
+
+def test_first_harvests_with_ties_and_nulls(spark):
+    import datetime as dt
+
+    from lexforge.operators import corpus
+
+    day = lambda n: dt.datetime(2020, 1, n)
+    rows = [("a", "one", day(1)), ("a", "two", day(2)), ("b", "x", day(3)), ("b", "y", day(3)), ("c", None, None), ("c", "late", None), ("d", "only", None), (None, "lost", day(1)), ("e", "null", None), ("e", "timed", day(9))]
+    table = spark.createDataFrame(rows, "paper_id string, body string, harvested_at timestamp_ntz")
+    found = {r["paper_id"]: r["body"] for r in corpus.one_row_per_paper(table, "body").collect()}
+    again = {r["paper_id"]: r["body"] for r in corpus.one_row_per_paper(table.orderBy(F.desc("body")), "body").collect()}
+    assert corpus.one_row_per_paper(table, "body").count() == 5 and found == again
+    assert found["a"] == "one" and found["d"] == "only" and found["e"] == "timed" and found["b"] in "xy"
