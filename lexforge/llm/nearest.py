@@ -16,7 +16,7 @@ from .papers import one_per_paper
 
 WIDTH = 64
 #: The tree is fitted on at most so many vectors, those of the lowest hash; all vectors are indexed.
-SAMPLE = 8192
+SAMPLE = 4096
 #: Queries, those of the next hashes (of the last where no more are there), whose true neighbours say how many leaves a search must visit.
 CALIBRATION = 256
 BRANCHES = 8
