@@ -75,3 +75,11 @@ def test_a_search_keeps_no_postings(spark, monkeypatch, name):
     monkeypatch.setattr(DataFrame, "checkpoint", watched)
     assert (search.QUERIES | learning.QUERIES | files.QUERIES)[name](spark, FOLDER).count()
     assert sizes and max(sizes) < postings / 4
+
+
+@pytest.mark.parametrize("name", ["index_search"])
+def test_pairs_of_a_stored_index_are_ranked_before_they_are_moved(spark, name):
+    from lexforge.plans import files, search
+
+    plan = (search.QUERIES | files.QUERIES)[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "ltc" not in plan
