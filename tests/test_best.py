@@ -77,7 +77,7 @@ def test_a_search_keeps_no_postings(spark, monkeypatch, name):
     assert sizes and max(sizes) < postings / 4
 
 
-@pytest.mark.parametrize("name", ["index_search"])
+@pytest.mark.parametrize("name", ["index_search", "index_search_named"])
 def test_pairs_of_a_stored_index_are_ranked_before_they_are_moved(spark, name):
     from lexforge.plans import files, search
 
