@@ -58,7 +58,7 @@ def test_only_the_best_leave_a_block():
 FOLDER = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["lexical_topk", "lexical_topk_zero_fill", "lexical_paging", "rank_fitness", "impact_search", "impact_search_pruned", "related_docs", "field_weighted_batch"])
+@pytest.mark.parametrize("name", ["lexical_topk", "lexical_topk_zero_fill", "lexical_paging", "rank_fitness", "impact_search", "impact_search_pruned", "related_docs", "field_weighted_batch", "result_lines"])
 def test_a_search_keeps_no_postings(spark, monkeypatch, name):
     """What is written to the checkpoint folder stays far below the postings of all texts, which took more disk than the tables."""
     from pyspark.sql.classic.dataframe import DataFrame
