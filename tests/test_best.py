@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexforge.operators import best, lexical
+from lexforge.operators import best, impact, lexical
 
 
 def plain(queries, postings, n):
@@ -83,3 +83,31 @@ def test_pairs_of_a_stored_index_are_ranked_before_they_are_moved(spark, name):
 
     plan = (search.QUERIES | files.QUERIES)[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "ltc" not in plan
+
+
+def test_smoothed_postings_are_the_smoothed_counts_of_whole_texts(spark):
+    """Repeated words, neighbours at distance 0, a neighbour set again later, unknown words, texts without any."""
+    rng = random.Random(9)
+    near = [(f"w{a}", f"w{b}", rng.choice([0.0, 0.5, 1.5, rng.random()])) for a in range(12) for b in rng.sample(range(14), 3)]
+    texts = [(i * 7, rng.choices([f"w{k}" for k in range(14)] + ["other"], k=rng.randint(0, 12))) for i in range(80)] + [(5, []), (9, ["other"])]
+    neighbours = spark.createDataFrame(near, "term string, near string, dist double")
+    lists = spark.createDataFrame(texts, "doc_id long, t array<string>")
+    positions = impact.token_positions(lists.withColumnRenamed("t", "tokens"), "doc_id").join(neighbours.select("term").distinct(), "term", "left_semi")
+    counts = {(r["doc_id"], r["term"]): r["val"] for r in impact.smoothed_counts(positions, neighbours, "doc_id").collect()}
+    square = {}
+    for (d, _), v in counts.items():
+        square[d] = square.get(d, 0.0) + v * v
+    found = {(r["doc_id"], r["term"]): r["x"] for r in lists.mapInArrow(impact.smoothed_postings(neighbours), "doc_id long, term string, x double").collect()}
+    assert found == pytest.approx({k: v / (square[k[0]] or 1.0) for k, v in counts.items()}) and found
+
+
+def test_a_smoothed_search_keeps_no_vectors(spark, monkeypatch):
+    """Nothing of a document but its place among a block's best is written or moved."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from lexforge.plans import learning
+
+    seen, plain_checkpoint = [], DataFrame.checkpoint
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda self, *args, **more: seen.append(self.columns) or plain_checkpoint(self, *args, **more))
+    assert learning.smoothed_search(spark, FOLDER).count()
+    assert seen and not any("doc_id" in columns for columns in seen)
