@@ -111,3 +111,28 @@ def test_a_smoothed_search_keeps_no_vectors(spark, monkeypatch):
     monkeypatch.setattr(DataFrame, "checkpoint", lambda self, *args, **more: seen.append(self.columns) or plain_checkpoint(self, *args, **more))
     assert learning.smoothed_search(spark, FOLDER).count()
     assert seen and not any("doc_id" in columns for columns in seen)
+
+
+def test_every_match_is_judged_where_it_lies(spark, monkeypatch):
+    """All matches, zeros and negative scores included, in several passes and blocks, with and without a judgement."""
+    rng = random.Random(3)
+    postings = [(i, f"t{k}", rng.choice([0.0, rng.random()])) for i in range(120) for k in rng.sample(range(9), 2)]
+    queries = {q: [(f"t{k}", rng.choice([-1.0, 0.0, 1.0])) for k in rng.sample(range(11), 2)] for q in range(20)}
+    judged = {(q, i): 1 for q in range(20) for i in rng.sample(range(120), 5)}
+    monkeypatch.setattr(best, "BLOCK", 50)
+    monkeypatch.setattr(best, "ROWS", 30)
+    monkeypatch.setattr(best, "MOST_BESIDE", 40)
+    asked = spark.createDataFrame([(q, t, w) for q, own in queries.items() for t, w in own], "query_id long, term string, w double")
+    beside = spark.createDataFrame([(*k, v) for k, v in judged.items()], "query_id long, doc long, relevance int")
+    found = best.every(asked, best.gathered(spark.createDataFrame(postings, "doc long, term string, x double")), "doc", "long", None, beside)
+    rows = found.select("query_id", "doc", "relevance", F.round("score", 6)).collect()
+    assert {(q, d, r, s + 0.0) for q, d, r, s in map(tuple, rows)} == {(q, d, judged.get((q, d)), s + 0.0) for q, _, d, s in plain(queries, postings, 1000)}
+    assert len(rows) == len(plain(queries, postings, 1000))
+
+
+def test_an_evaluation_moves_no_pairs(spark):
+    from lexforge.plans import learning
+
+    plan = learning.eval_dump(spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    top = plan[: plan.index("MapInArrow")]
+    assert "Aggregate" not in top and "strategy=broadcast" in top
