@@ -136,3 +136,46 @@ def test_an_evaluation_moves_no_pairs(spark):
     plan = learning.eval_dump(spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     top = plan[: plan.index("MapInArrow")]
     assert "Aggregate" not in top and "strategy=broadcast" in top
+
+
+@pytest.mark.parametrize("weights", [[0.1, 0.3, 0.7], [0.5, 0.0, -0.2]])
+def test_graded_blocks_hold_the_best_of_every_weighting(spark, monkeypatch, weights):
+    """Equal scores, parts without a weight, weights that turn the order round, several passes and blocks."""
+    rng = random.Random(len(weights))
+    parts = {i: rng.randrange(4) for i in range(200)}
+    postings = [(i, f"t{k}", rng.choice([0.0, 0.25, rng.random()]), parts[i]) for i in range(200) for k in rng.sample(range(9), 3)]
+    queries = {q: [(f"t{k}", rng.choice([0.0, 0.5, rng.random()])) for k in rng.sample(range(11), 3)] for q in range(20)}
+    grid = [(w, p, weights[(w + p) % 3]) for w in range(3) for p in range(3)]  # none for part 3
+    monkeypatch.setattr(best, "BLOCK", 60)
+    monkeypatch.setattr(best, "MOST_KEPT", 90)
+    asked = spark.createDataFrame([(q, t, float(w)) for q, own in queries.items() for t, w in own], "query_id long, term string, w double")
+    rows = spark.createDataFrame(postings, "doc long, term string, x double, part int").repartition(3, "doc").sortWithinPartitions("doc")
+    found = best.graded(asked, rows, spark.createDataFrame(grid, "w_id int, part int, weight double"), 4, "doc").collect()
+    assert len(found) == len({(r["query_id"], r["doc"]) for r in found}) and all(r["part"] == parts[r["doc"]] for r in found)
+    every = {}
+    for q, _, d, s in plain(queries, [p[:3] for p in postings], 1000):
+        every.setdefault(q, []).append((d, s))
+    exact = {(q, d): s for q, own in every.items() for d, s in own}
+    assert all(abs(r["score"] - exact[r["query_id"], r["doc"]]) < 1e-6 for r in found)
+    got = {(r["query_id"], r["doc"]) for r in found}
+    sums = {}
+    for d, t, x, _ in postings:
+        for q, own in queries.items():
+            for term, w in own:
+                if term == t:
+                    sums[q, d] = sums.get((q, d), 0.0) + w * x
+    for w in range(3):
+        factor = {p: f for i, p, f in grid if i == w}
+        for q in queries:
+            order = sorted((-round(s * factor[parts[d]], 6), d) for (k, d), s in sums.items() if k == q and parts[d] in factor)
+            assert {(q, d) for _, d in order[:4]} <= got
+
+
+def test_a_weight_grid_moves_only_the_best_pairs(spark, monkeypatch):
+    from lexforge.operators import ranking
+    from lexforge.plans import learning
+
+    seen, plain_fitness = [], ranking.weights_fitness
+    monkeypatch.setattr(ranking, "weights_fitness", lambda partial, *more: seen.append(partial._jdf.queryExecution().optimizedPlan().toString()) or plain_fitness(partial, *more))
+    assert learning.weight_grid_fitness(spark, FOLDER).count() == 6
+    assert seen and all("MapInArrow" in plan and "Aggregate" not in plan[: plan.index("MapInArrow")] for plan in seen)
