@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import by_shuffle, cut, hashed_sample, shuffle_width
+from ..session import by_shuffle, cut, hashed_sample
 from .papers import one_per_paper
 
 WIDTH = 64
@@ -23,9 +23,15 @@ BRANCHES = 8
 #: Vectors a leaf is meant to hold, and that one cell of a crowded leaf holds at most.
 LEAF, CELL = 768, 4096
 #: Leaves that are fuller than so many times ``LEAF`` on average are fitted again, each on at most so many of its own vectors, up to so many leaves in all.
-CROWDED, AGAIN, MOST_LEAVES = 3, 2048, 65_536
+CROWDED, AGAIN, MOST_LEAVES = 3, 8192, 65_536
+#: Vectors that a node is split by at least, where they stand for more than themselves: what is fitted on fewer tears apart vectors that are close.
+FEWEST, FEWEST_AGAIN = 512, 128
+#: Costs of nodes for queries that are held at once.
+MOST_COSTS = 2_000_000
 #: Vectors, and visits by queries, that one task gets together.
-GROUP, VISITS = 8192, 60_000
+GROUP, VISITS = 32_768, 500_000
+#: What single precision can make of a difference of similarities.
+SLACK = 1e-5
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -36,14 +42,15 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
 class Tree:
     """A k-means tree. Node i has its centre in row i; leaves carry numbers from left to right."""
 
-    def __init__(self, sample: np.ndarray, total: int, leaf: int = LEAF, seed: int = 5):
+    def __init__(self, sample: np.ndarray, total: int, leaf: int = LEAF, seed: int = 5, *, fewest: int = FEWEST):
         self.random = np.random.default_rng(seed)
         centres, children = [np.zeros(sample.shape[1])], [[]]
+        self.fewest = fewest if total > len(sample) else 2 * BRANCHES
         self._grow(0, sample, total / max(1, len(sample)), leaf, centres, children)
         self._number(centres, children)
 
     def _grow(self, node: int, rows: np.ndarray, scale: float, leaf: int, centres: list, children: list[list[int]]) -> None:
-        parts = self._split(rows) if len(rows) * scale > leaf and len(rows) >= 2 * BRANCHES else []
+        parts = self._split(rows) if len(rows) * scale > leaf and len(rows) >= self.fewest else []
         if len(parts) < 2:
             return
         for part in parts:
@@ -83,6 +90,21 @@ class Tree:
         self.child_table = np.full((len(children), BRANCHES), -1)
         for i, own in enumerate(children):
             self.child_table[i, : len(own)] = own
+        # nodes by depth with the nodes above them; the way to each leaf from the root, which ends with the leaf, once more for every depth it lacks
+        parent, depth, nodes = np.zeros(len(children), int), [], np.zeros(1, int)
+        while len(nodes):
+            depth.append(nodes)
+            own = self.child_table[nodes]
+            parent[own[own >= 0]] = np.repeat(nodes, (own >= 0).sum(axis=1))
+            nodes = own[own >= 0]
+        self.levels = [(x, parent[x]) for x in depth[1:]]
+        leaf = np.flatnonzero(self.leaf_of >= 0)
+        way = [leaf[np.argsort(self.leaf_of[leaf])]]
+        for _ in self.levels:
+            way.append(parent[way[-1]])
+        way = np.stack(way[::-1], axis=1)
+        lacking = (way == 0).sum(axis=1, keepdims=True) - 1
+        self.way = np.take_along_axis(way, np.minimum(np.arange(way.shape[1]) + lacking, way.shape[1] - 1), 1)
 
     def _opened(self, nodes: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The children of each node, and half their squared distance from its vector but for a constant; inf where there is none."""
@@ -93,35 +115,30 @@ class Tree:
     def leaf_order(self, queries: np.ndarray, visits: int) -> np.ndarray:
         """The first ``visits`` leaves of each query, best bin first.
 
-        Every query has its own priority queue of nodes by the distance of their centres; it takes
-        the nearest, opens it if it has children, which are measured then, and otherwise visits it.
-        The queues of a batch are rows of one array and advance together.
+        A priority queue of nodes by the distance of their centres, whose nearest is always taken and
+        opened, meets the leaves by the farthest node on their way from the root, those that have it
+        in common by the farthest below it, and so on. So no queue is run: the costs of all nodes are
+        one product, and only leaves within reach are put in order.
         """
         n, visits = len(queries), min(visits, self.leaves)
-        out = np.full((n, visits), -1)
-        done = np.zeros(n, int)
-        nodes, cost = np.zeros((n, 1), int), np.zeros((n, 1))
-        rows = np.arange(n)
-        while len(rows):
-            at = np.argmin(cost, axis=1)
-            here = np.arange(len(rows))
-            node = nodes[here, at]
-            cost[here, at] = np.inf
-            leaf = self.leaf_of[node]
-            hit = np.flatnonzero(leaf >= 0)
-            out[rows[hit], done[rows[hit]]] = leaf[hit]
-            done[rows[hit]] += 1
-            inner = np.flatnonzero(leaf < 0)
-            if len(inner):
-                new, new_cost = np.full((len(rows), BRANCHES), -1), np.full((len(rows), BRANCHES), np.inf)
-                new[inner], new_cost[inner] = self._opened(node[inner], queries[rows[inner]])
-                nodes, cost = np.concatenate([nodes, new], axis=1), np.concatenate([cost, new_cost], axis=1)
-            if nodes.shape[1] > 8 * BRANCHES:  # drop what has been taken
-                width = int(np.isfinite(cost).sum(axis=1).max())
-                keep = np.argsort(cost, axis=1)[:, : max(1, width)]
-                nodes, cost = np.take_along_axis(nodes, keep, 1), np.take_along_axis(cost, keep, 1)
-            going = done[rows] < visits
-            rows, nodes, cost = rows[going], nodes[going], cost[going]
+        out = np.zeros((n, visits), np.int32)
+        step = max(1, MOST_COSTS // len(self.centres))
+        for start in range(0, n if self.leaves > 1 else 0, step):
+            cost = self.half - queries[start : start + step] @ self.centres.T
+            cost[:, 0] = -np.inf  # the root is always taken
+            far = cost.copy()
+            for nodes, above in self.levels:
+                far[:, nodes] = np.maximum(far[:, nodes], far[:, above])
+            far = far[:, self.way[:, -1]]
+            edge = np.partition(far, visits - 1, axis=1)[:, visits - 1 : visits]
+            row, leaf = np.nonzero(far <= edge)
+            keys = [far[row, leaf]]  # then the farthest of what is left of the way, from each depth on
+            for depth in range(2, self.way.shape[1]):
+                keys.append(cost[row[:, None], self.way[leaf, depth:]].max(axis=1))
+            order = np.lexsort([*reversed(keys), row])
+            row, leaf = row[order], leaf[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            out[start + row[place < visits], place[place < visits]] = leaf[place < visits]
         return out
 
     def own_leaf(self, vectors: np.ndarray) -> np.ndarray:
@@ -212,14 +229,14 @@ def refined(tree: Tree, classes: DataFrame, total: int) -> Tree:
         return tree
     placed = cut(classes.select(F.xxhash64("content").alias("h"), "vector").mapInArrow(_leaf_of(tree), "leaf int, h long, vector array<float>"))
     sizes = dict(placed.groupBy("leaf").count().collect())  # a row per leaf
-    aim = max(LEAF, math.ceil(total / MOST_LEAVES))
+    aim = max(2 * LEAF, math.ceil(total / MOST_LEAVES))
     crowded = [(leaf, n, min(1.0, AGAIN / n)) for leaf, n in sizes.items() if n > CROWDED * LEAF]
     wanted = F.broadcast(placed.sparkSession.createDataFrame(crowded, "leaf int, n long, share double"))  # a row per leaf
     # another hash than that of the leaf's first sample
     part = placed.join(wanted, "leaf").where(F.shiftrightunsigned(F.xxhash64("h"), 1) < F.col("share") * float(1 << 63))
 
     def fitted(table: pa.Table) -> pa.Table:
-        own = Tree(unit_rows(_matrix(table["vector"].combine_chunks())), table["n"][0].as_py(), aim)
+        own = Tree(unit_rows(_matrix(table["vector"].combine_chunks())), table["n"][0].as_py(), aim, fewest=FEWEST_AGAIN)
         return pa.table({"leaf": table["leaf"].slice(0, 1), "tree": pa.array([pickle.dumps((own.centres, own.children))], pa.binary())})
 
     made = part.select("leaf", "n", "vector").groupBy("leaf").applyInArrow(fitted, "leaf int, tree binary").collect()
@@ -305,28 +322,39 @@ def _compare(k: int):
             return none
         leaf, ids = vectors["leaf"].to_numpy(), vectors["id"].to_numpy()
         v = unit_rows(_matrix(vectors["vector"].combine_chunks()))
+        short = v.astype(np.float32)
         visits = queries["at"].combine_chunks()
         owner, at = np.repeat(np.arange(len(visits)), np.diff(visits.offsets.to_numpy())), visits.flatten().to_numpy()
-        q, own = unit_rows(_matrix(queries["qv"].combine_chunks())), queries["q"].to_numpy()
+        q, own = _matrix(queries["qv"].combine_chunks()), queries["q"].to_numpy()
         order = np.argsort(at, kind="stable")
         owner, at = owner[order], at[order]
+        reached = np.full((len(own), k), -2.0)  # the best similarities of each query so far
         parts = []
         for one in np.unique(leaf):
             rows = np.flatnonzero(leaf == one)
             askers = owner[np.searchsorted(at, one) : np.searchsorted(at, one, "right")]
-            for start in range(0, len(askers), 2048):
-                some = askers[start : start + 2048]
-                sims = q[some] @ v[rows].T
-                sims[own[some][:, None] == ids[rows][None, :]] = -2
-                best = _best(sims, k)
-                who = np.repeat(np.arange(len(some)), best.shape[1])
-                kept = sims[who, best.ravel()]
-                parts.append((own[some][who], ids[rows][best.ravel()], kept))
+            for start in range(0, len(askers), 1024):
+                some = askers[start : start + 1024]
+                exact = unit_rows(q[some])
+                sims = exact.astype(np.float32) @ short[rows].T
+                # in single precision, all that may be among the best; the least of k + 1 parts' maxima is reached k times at least besides the query itself
+                goal, each = reached[some].min(axis=1), len(rows) // (k + 1)
+                if each:
+                    goal = np.maximum(goal, sims[:, : each * (k + 1)].reshape(len(some), k + 1, each).max(axis=2).min(axis=1))
+                who, which = np.divmod(np.flatnonzero(sims >= (goal - SLACK).astype(np.float32)[:, None]), len(rows))
+                other = own[some[who]] != ids[rows[which]]
+                who, which = who[other], which[other]
+                kept = np.einsum("nd,nd->n", exact[who], v[rows[which]])
+                parts.append((own[some[who]], ids[rows[which]], kept))
+                order = np.lexsort((-kept, who))
+                who, kept = who[order], kept[order]
+                place = np.arange(len(who)) - np.searchsorted(who, who)
+                new = np.full((len(some), k), -2.0)
+                new[who[place < k], place[place < k]] = kept[place < k]
+                reached[some] = np.sort(np.concatenate([reached[some], new], axis=1), axis=1)[:, k:]
         if not parts:
             return none
         a, b, s = (np.concatenate(x) for x in zip(*parts))
-        real = s > -2
-        a, b, s = a[real], b[real], s[real]
         order = np.lexsort((b, -s, a))  # the best k of each query over the leaves here
         a, b, s = a[order], b[order], s[order]
         first = np.concatenate([[True], a[1:] != a[:-1]]) if len(a) else np.empty(0, bool)
@@ -375,19 +403,18 @@ def neighbours(papers: DataFrame, k: int = 5, recall: float = 0.997) -> DataFram
     # A row per leaf reaches the driver: its vectors, and the searches that visit it.
     sizes = dict(placed.groupBy("leaf").count().collect())
     asked = dict(placed.select(F.explode("visits").alias("leaf")).groupBy("leaf").count().collect())
-    most = max(CELL // 4, min(GROUP, total // shuffle_width(spark) + 1))
-    plan, group, vectors_in, visits_in = [], 0, 0, 0
+    most = max(CELL // 4, min(GROUP, total // (2 * spark.sparkContext.defaultParallelism) + 1))
+    grouped, by_group, vectors_in = [], [0], 0
     for leaf in range(tree.leaves):
         cells = max(1, math.ceil(sizes.get(leaf, 0) / CELL))
         for cell in range(cells):
-            in_cell, by = math.ceil(sizes.get(leaf, 0) / cells), asked.get(leaf, 0)
-            if vectors_in and (vectors_in + in_cell > most or visits_in + by > VISITS):
-                group, vectors_in, visits_in = group + 1, 0, 0
-            parts = max(1, math.ceil(by / VISITS))
-            plan.append((leaf, cells, cell, group, parts))
-            vectors_in, visits_in = vectors_in + in_cell, visits_in + by
-            if parts > 1:
-                group, vectors_in, visits_in = group + 1, 0, 0
+            in_cell = math.ceil(sizes.get(leaf, 0) / cells)
+            if vectors_in and vectors_in + in_cell > most:
+                by_group.append(0)
+                vectors_in = 0
+            grouped.append((leaf, cells, cell, len(by_group) - 1))
+            vectors_in, by_group[-1] = vectors_in + in_cell, by_group[-1] + asked.get(leaf, 0)
+    plan = [(*x, max(1, math.ceil(by_group[x[3]] / VISITS))) for x in grouped]  # a search goes to one part of a group, whatever it visits there
     inside = placed.select("id", "vector", "leaf").mapInArrow(_stored(plan), "g int, part int, id long, vector array<float>, leaf int")
     asking = placed.select("id", "vector", "visits").mapInArrow(_asking(plan), "gq int, pq int, q long, qv array<float>, at array<int>")
     compared = inside.groupBy("g", "part").cogroup(asking.groupBy("gq", "pq")).applyInArrow(_compare(k), "q long, id long, sim double")

@@ -1,4 +1,6 @@
+import heapq
 import math
+import time
 
 import numpy as np
 import pytest
@@ -124,3 +126,26 @@ def test_best_bin_first_ends_with_every_leaf():
     assert tree.leaves > 8
     assert all(sorted(o) == list(range(tree.leaves)) for o in order)
     assert (order[:, :1] == tree.leaf_order(x[:50], 1)).all()
+
+
+def queue_order(tree, query, visits):
+    queue, out = [(0.0, 0)], []
+    while queue and len(out) < visits:
+        _, node = heapq.heappop(queue)
+        if tree.leaf_of[node] >= 0:
+            out.append(int(tree.leaf_of[node]))
+        for child in tree.children[node]:
+            heapq.heappush(queue, (tree.half[child] - query @ tree.centres[child], child))
+    return out
+
+
+def test_order_is_that_of_a_queue_and_quick_over_many_leaves():
+    rng = np.random.default_rng(9)
+    x = nearest.unit_rows(rng.normal(size=(30_000, 64)))
+    tree = nearest.Tree(x, len(x), 16)
+    assert tree.leaves > 3000
+    for visits in (1, 40, tree.leaves):
+        assert tree.leaf_order(x[:8], visits).tolist() == [queue_order(tree, q, visits) for q in x[:8]]
+    began = time.process_time()
+    tree.leaf_order(x[:128], tree.leaves)  # as the calibration does, at the driver
+    assert time.process_time() - began < 10
