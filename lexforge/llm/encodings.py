@@ -12,24 +12,29 @@ from __future__ import annotations
 import codecs
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import cut, spread
 
 #: Character sets that texts were read in by mistake, and those they were written in, by their codec names.
 READ_AS = ["latin-1", "cp1252", "cp1250", "cp1251", "cp1253", "cp437", "cp850", "cp852", "cp866", "koi8-r", "mac_roman", "mac_cyrillic", "iso8859-2", "iso8859-5", "iso8859-7", "gbk"]
 WRITTEN_IN = ["cp1252", "cp1250", "cp1251", "cp1253", "cp437", "cp850", "cp852", "cp866", "koi8-r", "mac_roman", "mac_cyrillic", "iso8859-2", "iso8859-5", "iso8859-7"]
-#: Labelled texts per language that the dictionaries are trained on, at most, and characters of each.
-SAMPLE_TEXTS, SAMPLE_CHARACTERS, LANGUAGES = 400, 4000, 32
+#: Bytes of a language's dictionary, and words that are taken to fill it.
 DICTIONARY_BYTES = 48 << 10
+MOST_WORDS = DICTIONARY_BYTES // 3
+#: Share of a language's texts that must have a pair or character for it to count as seen: by the first judge, and by the second.
+FIRST_SHARE, SHARE = 0.03, 1 / 400
+#: Different pairs, characters and words that are counted together before they are given on.
+HELD = 200_000
 #: Characters of context on either side of a change that are compressed with it.
 CONTEXT = 24
 LEVEL = 6
@@ -128,6 +133,25 @@ def _pairs(text: str) -> list[str]:
     return [text[i : i + 2] for m in _HIGH.finditer(text) for i in range(max(0, m.start() - 1), min(m.end(), len(text) - 1))]
 
 
+def _parts(text: str) -> Iterator[tuple[str, str]]:
+    """What is learnt from a text, once each: pairs, characters, and words with the space before them."""
+    if not text.isascii():
+        yield from (("pair", x) for x in set(_pairs(text)))
+        yield from (("character", x) for x in set("".join(_HIGH.findall(text))))
+    yield from (("word", f" {x}") for x in set(text.split()))
+
+
+def _dictionary(words: list[tuple[str, int]]) -> bytes:
+    """The words (word, texts that have it) that save most, the best last, where they are nearest."""
+    raw = sorted(((n * (len(x) - 2), x) for x, n in ((w.encode("utf-8", "replace"), n) for w, n in words)), reverse=True)
+    out, size = [], 0
+    for _, x in raw:
+        if size + len(x) <= DICTIONARY_BYTES:
+            out.append(x)
+            size += len(x)
+    return b"".join(reversed(out))
+
+
 class Judge:
     """Dictionaries and seen character pairs of each language, from clean texts."""
 
@@ -135,42 +159,36 @@ class Judge:
         """``share`` of a language's texts must have a pair or character for it to count as seen."""
         self.samples, self.share = samples, share
 
+    @classmethod
+    def of(cls, pairs: frozenset[str], alphabet: frozenset[str], contents: list[bytes]) -> Judge:
+        """One that learnt from counts taken elsewhere."""
+        made = cls({})
+        made.pairs, made.alphabet, made.contents = pairs, alphabet, contents
+        return made
+
     def __getstate__(self) -> dict:
         """What was learnt, without the texts it was learnt from."""
         return {"samples": {}, "share": self.share} | {k: getattr(self, k) for k in ("pairs", "alphabet", "contents", "_tables")}
 
-    def _seen(self, parts) -> frozenset[str]:
-        out: set[str] = set()
-        for texts in self.samples.values():
-            count: dict[str, int] = defaultdict(int)
-            for t in texts:
-                for p in set(parts(t)):
-                    count[p] += 1
-            out.update(p for p, n in count.items() if n > max(1, self.share * len(texts)))
-        return frozenset(out)
+    @cached_property
+    def _counted(self) -> dict[str, Counter]:
+        return {lang: Counter(x for t in texts for x in _parts(t)) for lang, texts in sorted(self.samples.items())}
+
+    def _seen(self, kind: str) -> frozenset[str]:
+        return frozenset(x for lang, counts in self._counted.items() for (k, x), n in counts.items() if k == kind and n > max(1, self.share * len(self.samples[lang])))
 
     @cached_property
     def pairs(self) -> frozenset[str]:
-        return self._seen(_pairs)
+        return self._seen("pair")
 
     @cached_property
     def alphabet(self) -> frozenset[str]:
-        return self._seen(lambda t: "".join(_HIGH.findall(t)))
+        return self._seen("character")
 
     @cached_property
     def contents(self) -> list[bytes]:
         """The dictionary of each language."""
-        out = []
-        for _, texts in sorted(self.samples.items()):
-            raw = [t.encode("utf-8", "replace") for t in texts]
-            content = b"\n".join(raw)
-            if len(content) > DICTIONARY_BYTES and len(raw) >= 8:
-                try:
-                    content = zstandard.train_dictionary(DICTIONARY_BYTES, raw).as_bytes()
-                except zstandard.ZstdError:  # too little in common
-                    pass
-            out.append(content[-DICTIONARY_BYTES:])
-        return out
+        return [_dictionary([(x, n) for (k, x), n in counts.items() if k == "word"]) for counts in self._counted.values()]
 
     @cached_property
     def compressors(self) -> list[zstandard.ZstdCompressor]:
@@ -197,6 +215,10 @@ class Judge:
             known = memo[run] = self.pairs.issuperset(_pairs(run))
         return known
 
+    def doubts(self, text: str) -> bool:
+        """Whether it would change the text or finds a part of it strange."""
+        return bool(not text.isascii() and (self.strange_spans(text) or self.restored(text)[1]))
+
     def strange_spans(self, text: str) -> list[tuple[int, int]]:
         """Sentences most of whose pairs with a non-ASCII character no language has; neighbours are joined."""
         spans: list[tuple[int, int]] = []
@@ -305,28 +327,73 @@ class Judge:
         return self.size("\n".join(a)) - self.size("\n".join(b))
 
 
+def _plainly_damaged(text: str) -> bool:
+    return shows_loss(text) or any(name in READ_AS[:2] for name, *_ in utf8_readings(text))
+
+
 def clean_judge(samples: dict[str, list[str]]) -> Judge:
     """A judge trained twice: the second time without the texts the first one would change."""
-    samples = {k: [t for t in texts if not shows_loss(t) and not any(name in READ_AS[:2] for name, *_ in utf8_readings(t))] for k, texts in samples.items()}
-    first = Judge(samples, 0.03)
-    return Judge({k: [t for t in texts if not first.restored(t)[1] and not first.strange_spans(t)] for k, texts in samples.items()})
+    samples = {k: [t for t in texts if not _plainly_damaged(t)] for k, texts in samples.items()}
+    first = Judge(samples, FIRST_SHARE)
+    return Judge({k: [t for t in texts if not first.doubts(t)] for k, texts in samples.items()}, SHARE)
 
 
-def training_texts(documents: DataFrame) -> dict[str, list[str]]:
-    """At most ``SAMPLE_TEXTS`` labelled texts of each of the ``LANGUAGES`` most frequent labels, those of the lowest hash of their id.
+def _counting(first: Broadcast | None):
+    """(lang, kind, item, n): how many texts of a language have each pair, character and word, and, of kind 'text', how many there are.
 
-    The rows are chosen without reading a text; a second scan reads the texts of the chosen ones.
+    With a first judge, those of the texts it has doubts about, as negative numbers.
     """
-    rows = documents.select("lang", F.xxhash64("doc_id").alias("h"), F.col("text").cast("string").alias("text")).where(F.col("lang").isNotNull())
-    frequent = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    order = Window.partitionBy("lang").orderBy("h")
-    chosen = rows.where(F.col("lang").isin(frequent)).select("lang", "h").withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE_TEXTS).select("lang", "h").distinct()
-    # LANGUAGES * SAMPLE_TEXTS rows at most
-    texts = rows.join(F.broadcast(chosen), ["lang", "h"]).where(F.length("text") >= 40).select("lang", "h", F.substring("text", 1, SAMPLE_CHARACTERS).alias("text"))
-    out: dict[str, list[str]] = defaultdict(list)
-    for r in texts.orderBy("lang", "h", "text").limit(LANGUAGES * SAMPLE_TEXTS).collect():
-        out[r["lang"]].append(r["text"])
-    return dict(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+
+        def out():
+            columns = list(zip(*((lang, kind, item, n) for (lang, (kind, item)), n in counts.items())))
+            counts.clear()
+            return pa.RecordBatch.from_arrays([*(pa.array(x, pa.string()) for x in columns[:3]), pa.array(columns[3], pa.int64())], ["lang", "kind", "item", "n"])
+
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not text.isascii() and _plainly_damaged(text) or first is not None and (text.isascii() or not first.value.doubts(text)):
+                    continue
+                sign = 1 if first is None else -1
+                for x in (("text", ""), *_parts(text)):
+                    counts[lang, x] += sign
+                if len(counts) >= HELD:
+                    yield out()
+        if counts:
+            yield out()
+
+    return run
+
+
+def _judge_of(counts: DataFrame, share: float) -> Judge:
+    """A judge from counts (lang, kind, item, n): the seen pairs and characters and the words of each dictionary reach the driver."""
+    totals = counts.where(F.col("kind") == "text").select("lang", F.col("n").alias("texts"))
+    known = counts.where(F.col("kind").isin("pair", "character")).join(F.broadcast(totals), "lang")  # a row per label
+    seen = known.where(F.col("n") > F.greatest(F.lit(1.0), F.col("texts") * share)).select("kind", "item").distinct().collect()
+    saved = F.col("n") * (F.octet_length("item") - 2)
+    words = counts.where(F.col("kind") == "word").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc(saved), F.desc("item"))))
+    by: dict[str, list[tuple[str, int]]] = defaultdict(list)
+    for r in words.where(F.col("r") <= MOST_WORDS).select("lang", "item", "n").collect():
+        by[r["lang"]].append((r["item"], r["n"]))
+    return Judge.of(*(frozenset(r["item"] for r in seen if r["kind"] == kind) for kind in ("pair", "character")), [_dictionary(by[lang]) for lang in sorted(by)])
+
+
+def learnt(documents: DataFrame) -> Judge:
+    """What :func:`clean_judge` makes, of every labelled text: texts are counted where they lie, whole, and only counts are moved.
+
+    A second scan takes off what the texts the first judge has doubts about had given.
+    """
+    rows = spread(documents.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull()), "text")
+    kind = "lang string, kind string, item string, n long"
+
+    def summed(counts: DataFrame) -> DataFrame:
+        return cut(counts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")).where(F.col("n") > 0))
+
+    every = summed(rows.mapInArrow(_counting(None), kind))
+    first = documents.sparkSession.sparkContext.broadcast(_judge_of(every, FIRST_SHARE))
+    return _judge_of(summed(every.unionByName(rows.mapInArrow(_counting(first), kind))), SHARE)
 
 
 def repaired(documents: DataFrame) -> DataFrame:
@@ -338,12 +405,11 @@ def repaired(documents: DataFrame) -> DataFrame:
     undone, the last mistake first, as 'written in as read'; empty where nothing could be restored.
     ``restored`` is the text with them undone, otherwise the text as it is. Replacement characters
     mark a loss that can't be undone. ASCII, null, empty and blank texts are never garbled. The
-    dictionaries are trained on a bounded sample of labelled rows; every whole text is judged. No
-    shuffle, but for an input of fewer splits than cores.
+    dictionaries and seen pairs are learnt from every labelled row; every whole text is judged. Counts
+    are shuffled, texts only for an input of fewer splits than cores.
     """
     context = documents.sparkSession.sparkContext
-    # Bounded by languages * texts * characters.
-    judge = context.broadcast(clean_judge(training_texts(documents)))
+    judge = context.broadcast(learnt(documents))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = judge.value

@@ -112,3 +112,17 @@ def test_reasons(spark):
     made = {r["doc_id"]: r for r in encodings.repaired(documents(spark, rows)).collect()}
     assert [made[i]["reason"] for i in (0, 500, 501, 502)] == [None, "chain and loss" if "\x9f" in part or "\x84" in part else "chain", "loss", "chain and loss"]
     assert "Ã" not in made[502]["restored"] and "��" in made[502]["restored"]
+
+
+def test_every_labelled_text_is_learnt_from(spark, monkeypatch):
+    """More texts than a sample had, a long and a short one, and damaged ones that are left out."""
+    rng = random.Random(11)
+    rows = [{"doc_id": i, "text": text(rng, lang, rng.randint(3, 12)), "lang": lang} for i, lang in enumerate(["de", "ru"] * 700)]
+    rows += [{"doc_id": 2000 + i, "text": t, "lang": "de"} for i, t in enumerate(["žluť"] * 40 + ["wort " * 2000 + "ąę"] * 40)]
+    rows += [{"doc_id": 3000 + i, "text": garble(text(rng, "ru").replace("Å", "x"), "cp1251", "latin-1"), "lang": "ru"} for i in range(20)]
+    rows += [{"doc_id": 4000, "text": None, "lang": "de"}, {"doc_id": 4001, "text": "öß", "lang": None}]
+    monkeypatch.setattr(encodings, "HELD", 50)
+    made = encodings.learnt(documents(spark, rows))
+    plain = encodings.clean_judge({lang: [r["text"] for r in rows if r["lang"] == lang and r["text"]] for lang in ("de", "ru")})
+    assert (made.pairs, made.alphabet, made.contents) == (plain.pairs, plain.alphabet, plain.contents)
+    assert {"ž", "ť", "ą"} <= made.alphabet and "ñ" not in made.alphabet
