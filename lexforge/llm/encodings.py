@@ -133,17 +133,17 @@ def _pairs(text: str) -> list[str]:
     return [text[i : i + 2] for m in _HIGH.finditer(text) for i in range(max(0, m.start() - 1), min(m.end(), len(text) - 1))]
 
 
-def _parts(text: str) -> Iterator[tuple[str, str]]:
-    """What is learnt from a text, once each: pairs, characters, and words with the space before them."""
+def _parts(text: str) -> Iterator[tuple[str, set[str]]]:
+    """What is learnt from a text, once each: pairs, characters and words."""
     if not text.isascii():
-        yield from (("pair", x) for x in set(_pairs(text)))
-        yield from (("character", x) for x in set("".join(_HIGH.findall(text))))
-    yield from (("word", f" {x}") for x in set(text.split()))
+        yield "pair", set(_pairs(text))
+        yield "character", set("".join(_HIGH.findall(text)))
+    yield "word", set(text.split())
 
 
 def _dictionary(words: list[tuple[str, int]]) -> bytes:
-    """The words (word, texts that have it) that save most, the best last, where they are nearest."""
-    raw = sorted(((n * (len(x) - 2), x) for x, n in ((w.encode("utf-8", "replace"), n) for w, n in words)), reverse=True)
+    """The words (word, texts that have it), each with a space before it, that save most, the best last, where they are nearest."""
+    raw = sorted(((n * (len(x) - 2), x) for x, n in ((b" " + w.encode("utf-8", "replace"), n) for w, n in words)), reverse=True)
     out, size = [], 0
     for _, x in raw:
         if size + len(x) <= DICTIONARY_BYTES:
@@ -172,7 +172,7 @@ class Judge:
 
     @cached_property
     def _counted(self) -> dict[str, Counter]:
-        return {lang: Counter(x for t in texts for x in _parts(t)) for lang, texts in sorted(self.samples.items())}
+        return {lang: Counter((kind, x) for t in texts for kind, own in _parts(t) for x in own) for lang, texts in sorted(self.samples.items())}
 
     def _seen(self, kind: str) -> frozenset[str]:
         return frozenset(x for lang, counts in self._counted.items() for (k, x), n in counts.items() if k == kind and n > max(1, self.share * len(self.samples[lang])))
@@ -345,21 +345,25 @@ def _counting(first: Broadcast | None):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
 
         def out():
-            columns = list(zip(*((lang, kind, item, n) for (lang, (kind, item)), n in counts.items())))
+            names, items, n = [], [], []
+            for name, own in counts.items():
+                names += [name] * len(own)
+                items += own.keys()
+                n += own.values()
             counts.clear()
-            return pa.RecordBatch.from_arrays([*(pa.array(x, pa.string()) for x in columns[:3]), pa.array(columns[3], pa.int64())], ["lang", "kind", "item", "n"])
+            return pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in names], pa.string()) for i in (0, 1)), pa.array(items, pa.string()), pa.array([sign * x for x in n], pa.int64())], ["lang", "kind", "item", "n"])
 
+        sign = 1 if first is None else -1
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for i, (lang, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 if not text.isascii() and _plainly_damaged(text) or first is not None and (text.isascii() or not first.value.doubts(text)):
                     continue
-                sign = 1 if first is None else -1
-                for x in (("text", ""), *_parts(text)):
-                    counts[lang, x] += sign
-                if len(counts) >= HELD:
+                for kind, own in (("text", ("",)), *_parts(text)):
+                    counts[lang, kind].update(own)
+                if i % 64 == 0 and sum(map(len, counts.values())) >= HELD:
                     yield out()
         if counts:
             yield out()
@@ -372,7 +376,7 @@ def _judge_of(counts: DataFrame, share: float) -> Judge:
     totals = counts.where(F.col("kind") == "text").select("lang", F.col("n").alias("texts"))
     known = counts.where(F.col("kind").isin("pair", "character")).join(F.broadcast(totals), "lang")  # a row per label
     seen = known.where(F.col("n") > F.greatest(F.lit(1.0), F.col("texts") * share)).select("kind", "item").distinct().collect()
-    saved = F.col("n") * (F.octet_length("item") - 2)
+    saved = F.col("n") * (F.octet_length("item") - 1)  # its space besides
     words = counts.where(F.col("kind") == "word").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc(saved), F.desc("item"))))
     by: dict[str, list[tuple[str, int]]] = defaultdict(list)
     for r in words.where(F.col("r") <= MOST_WORDS).select("lang", "item", "n").collect():
