@@ -88,3 +88,39 @@ def test_sinks(spark, tmp_path):
     postings = spark.createDataFrame([("b", 1, 0.1), ("a", 2, 0.3), ("a", 1, 0.9)], "term string, doc_id long, lnc double")
     sinks.write_postings(postings.coalesce(1), str(tmp_path / "post"), "lnc")
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "post")).orderBy("term", F.desc("lnc")).collect()] == [("a", 1, 0.9), ("a", 2, 0.3), ("b", 1, 0.1)]
+
+
+def test_judged_lines_are_read_back_file_by_file(spark, tmp_path, monkeypatch):
+    """Sixteen places however small a score is, gaps, one file at a time and none at the end."""
+    import pyarrow as pa
+
+    scores = [0.25, 1 / 3, -0.5, 0.0, 7.7e-7, 1e-20, 12.5, 1e18, float("nan"), None]
+    names, written, plain_write = ["query_id", "doc", "relevance", "score"], [], sinks.csv.write_csv
+
+    def watched(table, path, options):
+        plain_write(table, path, options)
+        assert len(list(tmp_path.iterdir())) == 1
+        written.extend(open(path).read().splitlines())
+
+    monkeypatch.setattr(sinks.csv, "write_csv", watched)
+    monkeypatch.setattr(sinks.tempfile, "tempdir", str(tmp_path))
+    monkeypatch.setattr(sinks, "PIECE", 4)
+    batches = [pa.RecordBatch.from_arrays([pa.array([i, i]), pa.array([7, None]), pa.array([5, 1], pa.int32()), pa.array([x, x], pa.float64())], names) for i, x in enumerate(scores)]
+    out = pa.Table.from_batches(sinks._reread(iter(batches)))
+    assert written[::2] == [f"{i}\t7\t5\t{'' if x is None else f'{x:.16f}'}" for i, x in enumerate(scores)] and not list(tmp_path.iterdir())
+    assert out["query_id"].to_pylist() == [i for i in range(10) for _ in "ab"] and out["doc"].to_pylist() == [7, None] * 10
+    assert out["score"].to_pylist()[:-2] == pytest.approx([x for x in scores[:-1] for _ in "ab"], abs=1e-16, nan_ok=True) and out["score"].null_count == 2
+
+
+def test_judged_rankings_leave_no_lines(spark):
+    from pathlib import Path
+
+    from lexforge.plans import files as plans
+    from lexforge.session import shared_folder
+
+    def lines():
+        return {p for p in Path(shared_folder(spark).removeprefix("file:")).rglob("*") if p.suffix in (".csv", ".tsv")}
+
+    before = lines()
+    assert plans.files_judged_rankings(spark, "/root/testdata/sf0.001").count()
+    assert lines() == before
