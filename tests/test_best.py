@@ -40,6 +40,63 @@ def test_blocks_give_the_ranking_of_all(spark, monkeypatch, block, name):
     assert {(q, r, d, round(s, 6) + 0.0) for q, r, d, s in map(tuple, found.collect())} == {(q, r, d, s + 0.0) for q, r, d, s in plain(queries, postings, 4)}
 
 
+@pytest.mark.parametrize("block", [300, 3000, 10_000])
+def test_long_queries_are_compared_at_once(monkeypatch, block):
+    """Documents that are alike, weights below zero, terms in no document, queries that match hardly anything; no document is scored term by term."""
+    import pickle
+
+    import pyarrow as pa
+
+    rng = random.Random(block)
+    terms = [f"t{k}" for k in range(60)]
+    shares = [40 / (k + 1) for k in range(60)]
+    texts = {i: {t: rng.choice([0.25, rng.random()]) for t in set(rng.choices(terms, shares, k=15))} for i in range(500)}
+    texts |= {i + 500: own for i, own in texts.items() if i < 200}
+    queries = {q: {t: rng.choice([-0.1, 1.0, rng.random()]) for t in {*rng.choices([*terms, "none"], [*shares, 5], k=25), *terms[:8]}} for q in range(60)}
+    queries[60] = {f"t{k}": -1.0 for k in range(20)}
+    queries[61] = {f"t{k}": 1.0 for k in range(40, 60)}
+    monkeypatch.setattr(best, "BLOCK", block)
+    monkeypatch.setattr(best, "CELLS", 5000)
+    called = []
+    monkeypatch.setattr(best._Block, "add", lambda *more: called.append(more))
+    asked = pa.table(dict(zip(("query_id", "term", "w"), zip(*[(q, t, float(w)) for q, own in queries.items() for t, w in own.items()]))))
+    rows = [(d, t, x) for d, own in texts.items() for t, x in own.items()]
+
+    class Sent:
+        value = pickle.dumps(best._packed(asked.sort_by("query_id").combine_chunks()))
+
+    batch = pa.record_batch(dict(zip(("doc", "term", "x"), map(pa.array, zip(*rows)))))
+    found = {}
+    for out in best._scored(Sent, 5, "doc", None)(iter([batch])):
+        for q, d, s in zip(*(c.to_pylist() for c in out.columns)):
+            found.setdefault(q, []).append((-round(s, 6), d))
+    got = {(q, r + 1, d, -s + 0.0) for q, own in found.items() for r, (s, d) in enumerate(sorted(own)[:5])}
+    assert got == {(q, r, d, s + 0.0) for q, r, d, s in plain({q: list(own.items()) for q, own in queries.items()}, rows, 5)} and not called
+
+
+def test_documents_related_to_seeds_are_scored_once(spark, monkeypatch):
+    """And of the seeds alone vectors are made besides, not of all texts."""
+    from lexforge.plans import learning
+
+    plan = learning.related_docs(spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_postings_are_counted_where_they_lie(spark, size):
+    rng = random.Random(size)
+    rows = [(d, f"t{k}", 1.0) for d in range(200) if d % 9 for k in rng.sample(range(12), rng.randint(1, 6))]
+    placed = best.gathered(spark.createDataFrame(rows, "doc long, term string, x double"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+    try:
+        found = {r["term"]: (r["df"], r["docs"]) for r in best.frequencies(placed, "doc").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert found.pop(None) == (0, len({d for d, _, _ in rows}))
+    assert found == {f"t{k}": (sum(t == f"t{k}" for _, t, _ in rows), 0) for k in range(12)}
+
+
 def test_only_the_best_leave_a_block():
     class Sent:
         value = None
